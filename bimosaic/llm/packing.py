@@ -12,8 +12,8 @@ lengths are ranked by hash bucket, doc_id and piece; an empty table gives no seq
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,42 +25,76 @@ from .common import materialize, text_or_empty
 
 SEQUENCE = 2048
 END_ID = 0
-MEMO = 1 << 18
+MEMO = 600_000
 ROWS_PER_BUCKET = 5000
 
-#: A stretch of text that the byte-level pre-tokenizer treats apart from its neighbours: it starts with one blank or line
-#: feed (or the text itself) before a non-blank, and whatever other white space it holds stays inside.
-_STRETCH = re.compile(r"(?:\A\s*|[ \n])?\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?")
+#: White space besides blank and line feed, and blanks or line feeds that meet: such texts are encoded in one piece.
+_ODD = tuple("\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B))) + ("  ", " \n", "\n ", "\n\n")
+_MARKS = ".,;:!?*#$%&"
 
 
-class Encoder(dict):
-    """Ids as little-endian 32-bit bytes. Words recur, so the ids of short stretches are remembered, ``MEMO`` of them at most."""
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
+
+
+class Encoder:
+    """Ids as little-endian 32-bit bytes, the same as the tokenizer gives for a whole text.
+
+    A byte-level pre-tokenizer parts a text before a single blank or line feed between two other characters, and between a
+    letter and a mark that follows it. So words can be encoded one by one, and as words recur, ``MEMO`` of them at most are
+    remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(_byte_letters()))
+        self.first, self.inner = _Words(self, ""), _Words(self, " ")
+        self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.whole(stretch)
-        if len(stretch) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[stretch] = ids
-        return ids
+    def letters_only(self, word: str) -> bytes:
+        """Ids of letters, maybe after a blank: one stretch for the vocabulary's merges, so no pre-tokenizer is needed."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.special):
+        if any(t in text for t in self.special) or any(x in text for x in _ODD) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
             return self.whole(text)
-        parts = _STRETCH.findall(text)
-        if sum(map(len, parts)) != len(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, parts))
+        out = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out += (self.line_feed, self.first[words[0]])
+            out += map(self.inner.__getitem__, words[1:])
+        return b"".join(out[1:])
+
+
+class _Words(dict):
+    """Ids of words that stand after ``before``."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():
+            if stem != word:
+                return self[stem] + self.encoder.first[word[len(stem) :]]
+            ids = self.encoder.letters_only(self.before + word)
+        else:
+            ids = self.encoder.whole(self.before + word)
+        if len(word) <= 48:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
