@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, quality_mil, rules
+from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality_mil, rules
 from .common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def conversations_with_probe(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_conversations(conversations_with_probe(_table(spark, sf_dir, "conversations"))))
 
@@ -73,6 +77,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), c AS (
+  SELECT t FROM x GROUP BY t HAVING count(*) > 1
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT x.* FROM x JOIN c USING (t)) a JOIN (SELECT x.* FROM x JOIN c USING (t)) b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS m FROM s UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.a
+), m AS (
+  SELECT a AS doc_id, min(m) AS component_id FROM r GROUP BY a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+"""
+
 OP2_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -131,4 +156,4 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
