@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality_mil, rules
+from . import chat, exact_dedup, langid, mixing, near_dedup, packing, pii, quality_mil, rules, sharding
 from .common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.pmod(crc_of_id(), F.lit(4)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_found")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,6 +77,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"), "lang_pred", "score", "nearness")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -155,5 +163,18 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents
+), p AS (
+  SELECT doc_id, n_bytes, d, substr(bits, 1, d) AS shard FROM d, (SELECT unnest(range(0, 61))::INT AS d)
+), s AS (
+  SELECT *, sum(n_bytes) OVER g AS shard_bytes, count(*) OVER g AS shard_docs FROM p WINDOW g AS (PARTITION BY shard)
+)
+SELECT doc_id, n_bytes, arg_min(shard, d) AS shard, min(d)::INT AS depth, arg_min(shard_bytes, d)::BIGINT AS shard_bytes, arg_min(shard_docs, d)::BIGINT AS shard_docs
+FROM s WHERE shard_bytes <= 16777216 OR shard_docs = 1 GROUP BY doc_id, n_bytes
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op10_sharding": OP10_SQL}
