@@ -587,3 +587,6 @@ def _(s, d):
 def _(s, d):
     o = table(s, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("fingerprint"), "o_orderstatus")
     return results.cached_cases(o.select("fingerprint"), o.filter("o_orderstatus = 'O'")).select("fingerprint")
+
+
+from . import seed_queries  # noqa: E402, F401  registers its queries here
