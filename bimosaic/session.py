@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "bimosaic", **conf: str) -> SparkSession:
@@ -14,3 +17,22 @@ def session(name: str = "bimosaic", **conf: str) -> SparkSession:
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_own: dict[str, str] = {}
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder all executors share (``spark.checkpoint.dir``) and read back, so that a loop's lineage ends there.
+
+    Where the setting is missing on one machine (tests), a temporary folder serves.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault("base", tempfile.mkdtemp(prefix="spark-cut-"))
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
