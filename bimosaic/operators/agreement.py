@@ -71,7 +71,7 @@ def evaluable(members: DataFrame, annotations: DataFrame, biclusters: DataFrame,
 
 
 def largest_good(nodes: DataFrame, parents: DataFrame, utilities: list[str], max_degradation: float = 0.15, max_rate: float = 0.20) -> DataFrame:
-    """id, degradation, sources: the largest biclusters of every nest before quality degrades.
+    """id, degradation, source: the largest biclusters of every nest before quality degrades, a row for each bicluster that one stands for.
 
     nodes: id, area and the utility columns (0 to 1); parents: inner, parent. From the innermost outwards a container replaces what
     was chosen inside it if no utility loses more than ``max_degradation``, nor more than ``max_rate`` for each unit of log area.
@@ -89,12 +89,13 @@ def largest_good(nodes: DataFrame, parents: DataFrame, utilities: list[str], max
     depths = cut(depths, "nest-depths")
     deepest = depths.agg(F.max("depth")).first()[0]
     own = [F.col(u).alias(f"own_{u}") for u in utilities]
-    chosen = None  # owner, id, degradation, sources and what the comparison needs
+    chosen = sources = None  # owner, id, degradation and what the comparison needs; id, source
     for depth in range(deepest if deepest is not None else -1, -1, -1):
         here = tree.join(depths.filter(F.col("depth") == depth), "id", "left_semi")
-        alone = here.select(F.col("id").alias("owner"), "id", "area", *utilities, F.lit(0.0).alias("degradation"), F.array("id").alias("sources"))
+        alone = here.select(F.col("id").alias("owner"), "id", "area", *utilities, F.lit(0.0).alias("degradation"))
         if chosen is None:
             chosen = cut(alone, "nest-chosen")
+            sources = chosen.select("id", F.col("id").alias("source"))
             continue
         under = chosen.join(tree.select(F.col("id").alias("owner"), "parent"), "owner").drop("owner").withColumnRenamed("parent", "owner")
         x = under.join(here.select(F.col("id").alias("owner"), F.col("area").alias("own_area"), *own), "owner")
@@ -102,12 +103,16 @@ def largest_good(nodes: DataFrame, parents: DataFrame, utilities: list[str], max
         x = x.withColumn("loss", loss).withColumn("rate", F.col("loss") / F.greatest(F.ln(F.col("own_area") / F.col("area")), F.lit(1e-12)))
         verdict = x.groupBy("owner").agg(
             F.bool_and((F.col("loss") <= max_degradation + 1e-12) & (F.col("rate") <= max_rate + 1e-12)).alias("good"),
-            F.max(F.greatest("loss", "degradation")).alias("worst"), F.flatten(F.collect_list("sources")).alias("inside"),
+            F.max(F.greatest("loss", "degradation")).alias("worst"),
         )
+        verdict = cut(verdict, "nest-verdict")
         up = alone.join(verdict, "owner", "left").filter("good IS NULL OR good")
-        up = up.withColumn("degradation", F.coalesce("worst", "degradation")).withColumn("sources", F.array_sort(F.concat("sources", F.coalesce("inside", F.array().cast(tree.select(F.array("id")).dtypes[0][1])))))
+        up = cut(up.withColumn("degradation", F.coalesce("worst", "degradation")).select(*alone.columns), "nest-up")
+        moved = under.join(verdict.filter("good"), "owner").select("id", F.col("owner").alias("to"))
+        sources = sources.join(moved, "id", "left").select(F.coalesce("to", "id").alias("id"), "source")
+        sources = cut(sources.unionByName(up.select("id", F.col("id").alias("source"))), "nest-sources")
         down = under.join(verdict.filter("NOT good"), "owner", "left_semi")
-        chosen = cut(up.select(*alone.columns).unionByName(down.select(*alone.columns)), "nest-chosen")
+        chosen = cut(up.unionByName(down.select(*alone.columns)), "nest-chosen")
     if chosen is None:
-        return nodes.select("id", F.lit(0.0).alias("degradation"), F.array("id").alias("sources"))
-    return chosen.select("id", "degradation", "sources")
+        return nodes.select("id", F.lit(0.0).alias("degradation"), F.col("id").alias("source"))
+    return chosen.select("id", "degradation").join(sources, "id")

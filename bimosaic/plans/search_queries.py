@@ -185,7 +185,7 @@ def _(s, d):
     x = scored(s, d).select("id", (F.lit(1e6) / (F.col("id") + 1)).alias("area"), F.round("contrast", 1).alias("u1"), F.round(1 - F.col("coherence"), 1).alias("u2"))
     parents = x.select(F.col("id").alias("inner"), F.floor(F.col("id") / 4).alias("parent")).filter("parent > 0")
     out = agreement.largest_good(x, parents, ["u1", "u2"], 0.5, 0.6)
-    return r6(out, "degradation").withColumn("sources", F.array_join(F.transform("sources", lambda v: v.cast("string")), ","))
+    return r6(out, "degradation")
 
 
 @query("q_search")
