@@ -4,12 +4,15 @@ A document is the set of its 5-word shingles (64-bit hashes, over the whole text
 Each of ``TREES`` independent trees branches the remaining sets: a set goes to the child named by its smallest token under one
 random order (a minwise position of its signature). Sets alone in a node are done. Nodes of at most ``LEAF`` sets are compared
 exhaustively; larger ones branch again, at their first time into two children per set so that similar pairs survive, then into one. Where
-``DEPTH`` levels do not part a node (a large group of copies), it is dealt into parts of about half a leaf, each with the
-node's first set as a pivot, which ties the group together. A similar pair of similarity 0.75 shares a first node with
+``DEPTH`` levels do not part a node (a large group of copies), it is first dealt into parts of about half a leaf, each with the
+node's first set as a pivot, which ties most groups together; then all its sets that are still in different candidate groups are
+compared, as pairs of blocks, so no pair of a node is left out. A similar pair of similarity 0.75 shares a first node with
 probability 1 - 0.25**TREES.
 
 Comparison in a leaf uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form candidate groups. Then full sets are compared:
-each small candidate group once and exhaustively, each large one leaf by leaf. Only confirmed links count: the components
+each small candidate group once and exhaustively. A large one is dealt into parts, each with the set that agrees best with the most
+frequent bytes of the group's sketches (the likely base of its copies); then all its sets that are still in different components
+are compared, as pairs of blocks. That costs about its size where the pivot ties it together, and at worst the square. Only confirmed links count: the components
 are those of links with 100 * intersection >= 75 * union on full sets. A leaf emits links that span its components, never all pairs.
 
 A doc_id names one document: rows that repeat it count as the same text. Defined cases: with fewer than five words the whole sequence is the only shingle; without words or text the set is empty and
@@ -41,6 +44,8 @@ PATH_TOKENS = TREES * (DEPTH + 1)
 MAYBE = 0.60
 #: A candidate group up to this many sets, or full-set elements, is compared as one.
 GROUP_SETS, GROUP_ELEMENTS = 128, 1_000_000
+#: Sets in a block where a group or node is compared as pairs of blocks, and in the sample that a group's pivot comes from.
+BLOCK, SAMPLE = 256, 128
 #: Bits of the filter that keeps texts without candidates out of the shuffle: 8 MB, whatever the number of candidates.
 FILTER_BITS = 1 << 26
 
@@ -133,8 +138,11 @@ def _token(position: int) -> F.Column:
     return F.substring("sig", 4 * position + 1, 4)
 
 
-def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """node, rep of all nodes to compare exhaustively; each node has few sets."""
+def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """node, rep of all nodes to compare exhaustively, each of few sets; and grp, rep of the large nodes that no level parts.
+
+    The first has parts of the large nodes too; the second is for what falls in different parts.
+    """
     depth = DEPTH
     at = reps.select("rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(t)).alias("node")) for t in range(trees)])).alias("b"))
     at = materialize(at.select("rep", "b.tree", "b.node"), "paths")
@@ -146,13 +154,14 @@ def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
         done = small if done is None else done.unionByName(small)
         big = counts.filter(F.col("n") > leaf)
         if big.isEmpty():
-            return done
+            return done, None
         rest = at.join(big, "node")
         if level == depth:
             parts = F.ceil(F.col("n") / (leaf // 2)).cast("long")
-            dealt = rest.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", F.lit(9)), parts)).alias("node"), "rep")
+            dealt = rest.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("node"), "rep")
             pivots = big.select(F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("k"), "node", "pivot")
-            return done.unionByName(dealt).unionByName(pivots.select(F.xxhash64("node", "k").alias("node"), F.col("pivot").alias("rep"))).distinct()
+            pivots = pivots.select(F.xxhash64("node", "k").alias("node"), F.col("pivot").alias("rep"))
+            return done.unionByName(dealt).unionByName(pivots).distinct(), rest.select(F.col("node").alias("grp"), "rep")
         child = [
             F.when(F.col("tree") == t, F.array(*[F.xxhash64("node", F.lit(k), _token(p)) for k, p in enumerate(_positions(t, level))]))
             for t in range(trees)
@@ -162,7 +171,53 @@ def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
         at = rest.select("node", "rep", "tree").join(reps, "rep")
         at = at.select("rep", "tree", F.explode(F.coalesce(*child)).alias("node"))
         at = materialize(at, "paths")
-    return done
+    return done, None
+
+
+def cross_blocks(rows: DataFrame) -> DataFrame:
+    """block, rep: blocks in which every two sets of a group meet that have different labels; rows: grp, rep, label, size (elements).
+
+    Labels of half a block's sets or more have blocks of their own, which are not paired with one another; the others of a group share
+    blocks. Groups of one label have none.
+    """
+    rows = materialize(rows, "labelled")
+    per = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    per = per.join(per.groupBy("grp").count().filter("count > 1").select("grp"), "grp")
+    per = per.withColumn("owner", F.when(F.col("n") >= BLOCK // 2, F.col("label").cast("string")).otherwise(""))
+    per = materialize(per, "labels")
+    if per.isEmpty():
+        return rows.limit(0).select(F.col("grp").alias("block"), "rep")
+    parts = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("elements") / GROUP_ELEMENTS)).cast("long")
+    parts = per.groupBy("grp", "owner").agg(parts.alias("parts"))
+    dealt = rows.join(per.select("grp", "label", "owner"), ["grp", "label"]).join(parts, ["grp", "owner"])
+    dealt = materialize(dealt.select("grp", "owner", F.pmod(F.xxhash64("rep", "grp"), "parts").alias("k"), "rep"), "dealt")
+    own = F.struct("owner", "k")
+    blocks = parts.select("grp", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
+    pairs = blocks.select("grp", own.alias("x")).join(blocks.select("grp", own.alias("y")), "grp")
+    pairs = pairs.filter("x <= y AND (x.owner <> y.owner OR x.owner = '')").withColumn("block", F.xxhash64("grp", "x.owner", "x.k", "y.owner", "y.k"))
+    sides = pairs.select("grp", "block", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select("grp", "block", "b.owner", "b.k")
+    return dealt.join(sides, ["grp", "owner", "k"]).select("block", "rep")
+
+
+def centres(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """grp, rep: the set of each group (grp, rep, n sets in it) that agrees best with the most frequent bytes of a sample of its sketches."""
+    rows = members.join(reps.select("rep", "sketch"), "rep").select("grp", "rep", "n", "sketch")
+    some = rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n")) < SAMPLE).groupBy("grp").agg(F.collect_list("sketch").alias("sketches"))
+
+    def modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bytes_ = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, HASHES) for x in b.column(1).to_pylist())
+            out = [bytes(np.bincount(c).argmax() for c in m.T) for m in bytes_]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["grp", "mode"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).sum(1), pa.int64())], ["grp", "rep", "same"])
+
+    common = some.mapInArrow(modes, "grp long, mode binary")
+    found = rows.join(common, "grp").select("grp", "rep", "sketch", "mode").mapInArrow(agree, "grp long, rep long, same long")
+    return found.groupBy("grp").agg(F.max_by("rep", F.struct("same", -F.col("rep"))).alias("rep"))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
@@ -244,13 +299,18 @@ def _full_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     a, b = np.nonzero(np.triu(np.minimum(n[:, None], n) * den >= np.maximum(n[:, None], n) * num, 1))
     if not len(a):
         return []
-    every, at = np.unique(np.concatenate(sets), return_inverse=True)
-    if len(every) * len(sets) <= 1 << 25:
-        m = np.zeros((len(sets), len(every)), np.float32)
-        m[np.repeat(np.arange(len(sets)), n), at] = 1
-        both = (m @ m.T)[a, b].astype(np.int64)
-    else:
-        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # others meet nothing
+    who, at = np.repeat(np.arange(len(sets)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    meet, width = np.zeros((len(sets), len(sets)), np.int64), max(1, (1 << 24) // len(sets))
+    for low in range(0, int(shared.sum()), width):
+        part = slice(*np.searchsorted(at, [low, low + width]))
+        m = np.zeros((len(sets), width if shared.sum() - low > width else int(shared.sum()) - low), np.float32)
+        m[who[part], at[part] - low] = 1
+        meet += (m @ m.T).astype(np.int64)
+    both = meet[a, b]
     ok = both * den >= (n[a] + n[b] - both) * num
     a, b = a[ok], b[ok]
     return [(int(a[k]), int(b[k])) for k in _spanning(a, b, len(sets))]
@@ -301,16 +361,33 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     reps = rows.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__key"))).select("rep", "size", "sig", "sketch").dropDuplicates(["rep"])
     reps = materialize(reps, "signatures")
 
-    parts = materialize(compared_leaves(leaves(reps, trees), reps), "candidates")
-    chains = parts.select(F.explode("members").alias("b"), F.element_at("members", 1).alias("a")).filter("a <> b").distinct()
+    nodes, over = leaves(reps, trees)
+    chain = lambda parts: parts.select(F.explode("members").alias("b"), F.element_at("members", 1).alias("a")).filter("a <> b").distinct()
+    chains = chain(materialize(compared_leaves(nodes, reps), "candidates"))
     group = components(chains, "candidate-groups")
-    sizes = group.join(reps.select(F.col("rep").alias("node"), "size"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
-    large = materialize(sizes.filter((F.col("n") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)).select("component"), "large-groups")
+    if over is not None:
+        label = over.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("label"), F.lit(0).alias("size"))
+        more = materialize(compared_leaves(cross_blocks(label).withColumnRenamed("block", "node"), reps), "candidates")
+        if not more.isEmpty():
+            group = components(chains.unionByName(chain(more)), "candidate-groups")
+    group = materialize(group.join(reps.select(F.col("rep").alias("node"), "size"), "node"), "candidate-groups")
+    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    large = materialize(sizes.filter((F.col("n") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)), "large-groups")
     once = group.join(large, "component", "left_anti").select(F.col("component").alias("block"), F.col("node").alias("rep"))
-    spread = group.join(large, "component").select(F.col("node").alias("a"))
-    by_leaf = parts.withColumn("a", F.element_at("members", 1)).join(spread, "a", "left_semi")
-    by_leaf = by_leaf.select(F.xxhash64("members").alias("block"), F.explode("members").alias("rep"))
-    links = materialize(confirmed_links(docs, once.unionByName(by_leaf)), "links")
+    if large.isEmpty():
+        links = materialize(confirmed_links(docs, once), "links")
+    else:
+        k = F.ceil(F.greatest(F.col("n") / LEAF, F.col("elements") / GROUP_ELEMENTS)).cast("long")
+        spread = materialize(group.join(large.select("component", "n", k.alias("parts")), "component").select(F.col("component").alias("grp"), F.col("node").alias("rep"), "n", "parts", "size"), "large-members")
+        dealt = spread.select(F.xxhash64("grp", F.pmod(F.xxhash64("rep", F.lit(9)), "parts")).alias("block"), "rep")
+        middle = centres(spread, reps).join(large.select(F.col("component").alias("grp"), k.alias("parts")), "grp")
+        middle = middle.select("grp", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).select(F.xxhash64("grp", "k").alias("block"), "rep")
+        links = materialize(confirmed_links(docs, once.unionByName(dealt.unionByName(middle).distinct())), "links")
+        tied = components(links, "tied").withColumnRenamed("node", "rep")
+        label = spread.join(tied, "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("label"), "size")
+        rest = materialize(cross_blocks(label), "rest")
+        if not rest.isEmpty():
+            links = links.unionByName(materialize(confirmed_links(docs, rest), "links"))
 
     final = components(links).withColumnRenamed("component", "__component")
     of_set = by_set.join(final, by_set["rep"] == final["node"], "left").select("set_key", F.coalesce("__component", "rep").alias("component"))

@@ -79,6 +79,29 @@ def test_near_duplicates_match_brute_force(spark):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), expected[i], expected[i] == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_of_a_star(spark):
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for j in range(1200):
+        copy, r = list(base), random.Random(j)
+        for k in (r.randint(2, 38), r.randint(41, 77), r.randint(80, 116)):  # 0.77 to the base, mostly about 0.62 to one another
+            copy[k] = f"x{j}-{k}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base), " ".join(base[:70] + [f"y{k}" for k in range(50)])]
+    expected = brute_components(brute_sets(texts))
+    assert expected[1199] == expected[1200] == 0
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    lost = [i for i, c in got.items() if c != expected[i]]
+    assert got[1200] == 0 and got[1201] == 1201 and len(lost) <= 6, lost  # the paths' own recall
+
+
+def test_full_links_in_column_chunks():
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(0, 1 << 60, 90_000).astype(np.uint64))
+    sets = [np.sort(r.choice(base, int(len(base) * 0.95), replace=False)) for _ in range(200)] + [np.unique(r.integers(0, 1 << 60, 90_000).astype(np.uint64))]
+    assert sorted({y for x in near_dedup._full_links(sets) for y in x}) == list(range(200))
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).collect() == []
     twice = frame(spark, ["a b c d e f"] * 3 + ["g h"], ids=[4, 4, 7, 9])
