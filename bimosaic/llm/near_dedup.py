@@ -3,11 +3,12 @@
 A document is the set of its 5-word shingles (64-bit hashes, over the whole text). Rows with equal sets are merged first.
 Each of ``TREES`` independent trees branches the remaining sets: a set goes to the child named by its smallest token under one
 random order (a minwise position of its signature). Sets alone in a node are done. Nodes of at most ``LEAF`` sets are compared
-exhaustively; larger ones branch again, at their first time into two children per set so that similar pairs survive, then into one. Where
-``DEPTH`` levels do not part a node (a large group of copies), it is first dealt into parts of about half a leaf, each with the
+exhaustively; larger ones branch again, each time into two children per set so that similar pairs survive. Where ``DEPTH`` levels do not part a node (a large group of copies), it is first dealt into parts of about half a leaf, each with the
 node's first set as a pivot, which ties most groups together; then all its sets that are still in different candidate groups are
-compared, as pairs of blocks, so no pair of a node is left out. A similar pair of similarity 0.75 shares a first node with
-probability 1 - 0.25**TREES.
+compared, as pairs of blocks, so no pair of a node is left out. A pair of
+similarity 0.75 shares a first node with probability 1 - 0.25**TREES = 0.99998. Where all its nodes stay large, it survives a
+branching with probability 1 - (0.25 + 0.75 * q)**2 (q: the loss of the branchings below), three of them and the root with 0.675,
+and so meets in some tree with 1 - 0.325**TREES = 0.9998; every branching of a tree has minwise positions of its own.
 
 Comparison in a leaf uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form candidate groups. Then full sets are compared:
 each small candidate group once and exhaustively. A large one is dealt into parts, each with the set that agrees best with the most
@@ -37,9 +38,9 @@ THRESHOLD = (75, 100)
 HASHES = 128
 TREES = 8
 LEAF = 64
-DEPTH = 6
-#: Minwise tokens that paths use: a root for each tree, two for its first branching and one for each later level.
-PATH_TOKENS = TREES * (DEPTH + 1)
+DEPTH = 4
+#: Minwise tokens that paths use: for each tree a root and two for each node of a binary tree above the last level.
+PATH_TOKENS = TREES * (2**DEPTH - 1)
 #: Signatures that agree less than this are below the threshold for all but one in ten thousand pairs (four standard errors).
 MAYBE = 0.60
 #: A candidate group up to this many sets, or full-set elements, is compared as one.
@@ -128,14 +129,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
 
-def _positions(tree: int, level: int) -> list[int]:
-    """Signature positions at which a level of a tree branches."""
-    at = TREES + tree * DEPTH
-    return [at, at + 1] if level == 1 else [at + level]
-
-
-def _token(position: int) -> F.Column:
-    return F.substring("sig", 4 * position + 1, 4)
+def _token(position: F.Column) -> F.Column:
+    """Token at a position of the signature. Root of tree t: t; node h of its binary tree (its root 1, children 2 h and 2 h + 1): TREES + t * (2**DEPTH - 2) + h - 2."""
+    return F.substr("sig", (4 * position + 1).cast("int"), F.lit(4))
 
 
 def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
@@ -144,8 +140,8 @@ def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataF
     The first has parts of the large nodes too; the second is for what falls in different parts.
     """
     depth = DEPTH
-    at = reps.select("rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(t)).alias("node")) for t in range(trees)])).alias("b"))
-    at = materialize(at.select("rep", "b.tree", "b.node"), "paths")
+    at = reps.select("rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(F.lit(t))).alias("node")) for t in range(trees)])).alias("b"))
+    at = materialize(at.select("rep", "b.tree", F.lit(1).alias("at"), "b.node"), "paths")
     done = None
     for level in range(1, depth + 1):
         counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
@@ -162,14 +158,12 @@ def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataF
             pivots = big.select(F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("k"), "node", "pivot")
             pivots = pivots.select(F.xxhash64("node", "k").alias("node"), F.col("pivot").alias("rep"))
             return done.unionByName(dealt).unionByName(pivots).distinct(), rest.select(F.col("node").alias("grp"), "rep")
-        child = [
-            F.when(F.col("tree") == t, F.array(*[F.xxhash64("node", F.lit(k), _token(p)) for k, p in enumerate(_positions(t, level))]))
-            for t in range(trees)
-        ]
+        place = lambda k: TREES + F.col("tree") * (2**DEPTH - 2) + 2 * F.col("at") + k - 2
+        child = [F.struct((2 * F.col("at") + k).alias("at"), F.xxhash64("node", F.lit(k), _token(place(k))).alias("node")) for k in (0, 1)]
         if level == 1:  # later levels need the tokens of few sets
             reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching")
-        at = rest.select("node", "rep", "tree").join(reps, "rep")
-        at = at.select("rep", "tree", F.explode(F.coalesce(*child)).alias("node"))
+        at = rest.select("node", "rep", "tree", "at").join(reps, "rep")
+        at = at.select("rep", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "tree", "c.at", "c.node")
         at = materialize(at, "paths")
     return done, None
 

@@ -95,6 +95,21 @@ def test_near_duplicates_of_a_star(spark):
     assert got[1200] == 0 and got[1201] == 1201 and len(lost) <= 6, lost  # the paths' own recall
 
 
+def test_pairs_in_large_nodes_survive_branching(spark):
+    r, n = np.random.default_rng(7), near_dedup.PATH_TOKENS
+    hot = lambda: np.where(r.random((2000, n)) < 0.85, np.uint32(0), r.integers(1, 1 << 32, (2000, n), dtype=np.uint32))
+    one, other = hot(), hot()
+    other = np.where(r.random((2000, n)) < 0.75, one, r.integers(1, 1 << 32, (2000, n), dtype=np.uint32))  # pairs at 0.75
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(np.concatenate([one, other]))]
+    nodes, over = near_dedup.leaves(spark.createDataFrame(rows, "rep long, sig binary"))
+    at: dict[int, set] = {}
+    for df in (nodes, over):
+        for node, rep in [] if df is None else df.collect():
+            at.setdefault(rep, set()).add(node)
+    assert over is not None
+    assert sum(bool(at.get(i, set()) & at.get(i + 2000, set())) for i in range(2000)) >= 1990
+
+
 def test_full_links_in_column_chunks():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 1 << 60, 90_000).astype(np.uint64))
