@@ -163,14 +163,19 @@ def _digest(rows: DataFrame, columns: DataFrame) -> DataFrame:
 def search(cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int = 12, n_columns: int = 4, bins: int = 4, capacity: int = 4, rate: float = 0.02, max_coherence: float = 0.30, seed: str = "search-1") -> DataFrame:
     """The archive after ``generations`` batches: candidate, generation, cell, signature, n_rows, n_columns, coherence, contrast, violation.
 
-    The first batch is drawn at random; later ones cross two parents of drawn cells and flip members. All of a batch is scored in one
+    The first batch is drawn at random, with shapes up to four times ``n_rows`` and ``n_columns``; later ones cross two parents of drawn
+    cells and flip ``rate`` times their size of rows and columns, in or out, as expected. The grid spans all sizes the table allows. All of a batch is scored in one
     plan, and enters the archive cell by cell in candidate order. The same seed gives the same archive. An empty table gives none.
     """
     spark = cells.sparkSession
     cells = cut(cells.select("row_index", "column_index", "num", "code"), "search-cells")
     stats = cut(prepare.column_stats(cells), "search-stats")
     every = {e: cut(cells.select(e).distinct().withColumn("stratum", F.lit(0)), f"search-{e}") for e in ("row_index", "column_index")}
-    sizes = {"row_index": n_rows, "column_index": n_columns}
+    total = {e: x.count() for e, x in every.items()}
+    sizes = {"row_index": "n_rows", "column_index": "n_columns"}
+    most = {e: max(2, min(4 * n, total[e])) for e, n in (("row_index", n_rows), ("column_index", n_columns))}
+    bounds = spark.range(1).select(F.lit(0).alias("bound"), *[F.lit(v).cast("long").alias(f"{k}_{n}") for n, v_ in (("rows", most["row_index"]), ("columns", most["column_index"])) for k, v in (("min", 2), ("max", v_))])
+    first = shapes(bounds, batch, bins, f"{seed}:shape")
     members: dict[str, DataFrame] = {}
     kept = None
     for g in range(generations):
@@ -182,19 +187,21 @@ def search(cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int
             a, b = (parents(ask, pool, 2, guided, seed=f"{seed}:{g}:{guided}").select(F.col("request").alias("candidate"), F.col("id").alias(n)) for n, guided in (("a", True), ("b", False)))
             pairs = cut(a.join(b, "candidate"), "search-pairs")
             new = pairs.select("candidate")
-        for e, size in sizes.items():
+        for e, side in sizes.items():
             if kept is None:
-                fresh = seeds.random_members(new.withColumn("stratum", F.lit(0)).withColumn("size", F.lit(size)), every[e], e, f"{seed}:{e}")
+                drawn = new.join(first.select(F.col("candidate").cast("long").alias("candidate"), F.col(side).alias("size")), "candidate")
+                fresh = seeds.random_members(drawn.withColumn("stratum", F.lit(0)), every[e], e, f"{seed}:{e}")
             else:
                 crossed = seeds.crossover(pairs, members[e].withColumnRenamed("candidate", "id"), e, f"{seed}:{g}:{e}")
-                universe = new.withColumn("stratum", F.lit(0)).join(every[e], "stratum").select("candidate", e)
-                fresh = seeds.flip(crossed, universe, e, rate, f"{seed}:{g}:flip:{e}")
+                share = crossed.groupBy("candidate").agg((rate * F.count(F.lit(1)) / total[e]).alias("share"))
+                universe = share.withColumn("stratum", F.lit(0)).join(every[e], "stratum").select("candidate", e, "share")
+                fresh = seeds.flip(crossed, universe, e, F.col("share"), f"{seed}:{g}:flip:{e}")
             made[e] = cut(fresh, f"search-{e}")
         rows, columns = made["row_index"], made["column_index"]
         shape = _digest(rows, columns).filter("n_rows >= 2 AND n_columns >= 2")
         rows, columns = (x.join(shape.select("candidate"), "candidate", "left_semi") for x in (rows, columns))
         scored = evaluate.evaluate_constant(cells, rows, columns, stats, max_coherence=max_coherence).select("candidate", "coherence", "contrast", "violation").join(shape, "candidate")
-        cell = archive.geometric_bin(F.col("n_rows"), 2, 4 * n_rows, bins) * bins + archive.linear_bin(F.col("n_columns"), 2, 4 * n_columns, bins)
+        cell = archive.geometric_bin(F.col("n_rows"), 2, max(3, total["row_index"]), bins) * bins + archive.linear_bin(F.col("n_columns"), 2, max(3, total["column_index"]), bins)
         scored = scored.select("candidate", F.lit(g).alias("generation"), cell.cast("long").alias("cell"), "signature", "n_rows", "n_columns", "coherence", "contrast", "violation", F.col("coherence").alias("loss1"), (1 - F.col("contrast")).alias("loss2"))
         together = cut(scored if kept is None else kept.unionByName(scored), "search-scored")
         status = archive.insert_fold(together.withColumn("sequence", F.col("candidate")).withColumn("valid", F.lit(True)), capacity)

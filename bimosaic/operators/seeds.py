@@ -69,8 +69,8 @@ def crossover(pairs: DataFrame, members: DataFrame, element: str, seed: str = "c
     return both.unionByName(one)
 
 
-def flip(members: DataFrame, universe: DataFrame, element: str, rate: float, seed: str = "flip-1") -> DataFrame:
-    """Bit-flip mutation: each (candidate, element) of ``universe`` changes sides with probability ``rate``."""
+def flip(members: DataFrame, universe: DataFrame, element: str, rate: float | Column, seed: str = "flip-1") -> DataFrame:
+    """Bit-flip mutation: each (candidate, element) of ``universe`` changes sides with probability ``rate`` (a number, or a column of ``universe``)."""
     flips = universe.filter(draw(seed, "candidate", element) < rate).select("candidate", element)
     lost = members.join(flips, ["candidate", element], "left_anti")
     return lost.unionByName(flips.join(members, ["candidate", element], "left_anti"))

@@ -190,7 +190,7 @@ def _(s, d):
 
 @query("q_search")
 def _(s, d):
-    return search.search(embedding_cells(s, d), batch=12, generations=2)
+    return search.search(embedding_cells(s, d))
 
 
 _DOCS = "WITH b AS (SELECT DISTINCT l_suppkey % 10 AS source, l_orderkey % 7 AS k, l_linenumber AS row_index, (l_linenumber * 3 + l_orderkey) % 5 AS column_index FROM lineitem)"

@@ -73,6 +73,14 @@ def test_search_is_repeatable_and_bounded(spark):
         assert not any(a[0] <= b[0] and a[1] <= b[1] and a != b and members.count(a) == 1 and (a[0] < b[0] or a[1] < b[1]) for a in members for b in members if members[0] is not None) or len({m for m in members}) == 1
 
 
+@pytest.mark.parametrize("n", [60, 4000])
+def test_children_enter_whatever_the_table_size(spark, n):
+    cells = spark.range(n).select(F.col("id").alias("row_index"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("column_index"))
+    cells = cells.withColumn("num", (F.xxhash64("row_index", "column_index") % 1000).cast("double")).withColumn("code", F.lit(None).cast("int"))
+    out = search.search(cells, batch=8, generations=2, n_rows=12, n_columns=3).collect()
+    assert any(r["generation"] == 1 for r in out) and len({r["cell"] for r in out}) > 1
+
+
 def test_index_outside_fails(spark):
     docs = spark.createDataFrame([(1, '[{"rows": [0, 9], "columns": [true, false]}]')], "source long, json string")
     sets = imports.coordinate_sets(docs, "A_B")
