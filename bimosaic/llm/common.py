@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,10 @@ def crc_of_id(column: str = "doc_id") -> Column:
 def sample_by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most ``n`` rows, those with the smallest hash of ``keys``: the same rows on every run, spread over the whole table."""
     return df.orderBy(F.xxhash64(*keys, F.lit(17)), *keys).limit(n)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task holds for a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

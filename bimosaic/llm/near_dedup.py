@@ -2,23 +2,30 @@
 
 A document is the set of its 5-word shingles (64-bit hashes, over the whole text). Rows with equal sets are merged first.
 Each of ``TREES`` independent trees branches the remaining sets: a set goes to the child named by its smallest token under one
-random order (a minwise position of its signature). Sets alone in a node are done. Nodes of at most ``LEAF`` sets are compared
-exhaustively; larger ones branch again, each time into two children per set so that similar pairs survive. Where ``DEPTH`` levels do not part a node (a large group of copies), it is first dealt into parts of about half a leaf, each with the
-node's first set as a pivot, which ties most groups together; then all its sets that are still in different candidate groups are
-compared, as pairs of blocks, so no pair of a node is left out. A pair of
-similarity 0.75 shares a first node with probability 1 - 0.25**TREES = 0.99998. Where all its nodes stay large, it survives a
-branching with probability 1 - (0.25 + 0.75 * q)**2 (q: the loss of the branchings below), three of them and the root with 0.675,
-and so meets in some tree with 1 - 0.325**TREES = 0.9998; every branching of a tree has minwise positions of its own.
-
-Comparison in a leaf uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form candidate groups. Then full sets are compared:
-each small candidate group once and exhaustively. A large one is dealt into parts, each with the set that agrees best with the most
-frequent bytes of the group's sketches (the likely base of its copies); then all its sets that are still in different components
-are compared, as pairs of blocks. That costs about its size where the pivot ties it together, and at worst the square. Only confirmed links count: the components
-are those of links with 100 * intersection >= 75 * union on full sets. A leaf emits links that span its components, never all pairs.
-
-A doc_id names one document: rows that repeat it count as the same text. Defined cases: with fewer than five words the whole sequence is the only shingle; without words or text the set is empty and
-links with nothing; equal sets link (whatever their size above 0); repeated rows are one set; a null doc_id is compared but never
-represents others unless all rows of its set have none; an empty table gives an empty result.
+random order (a minwise position of its signature). Sets alone in a node are done.
+
+Large groups of copies stay together on every path, so they are tied first: each set goes to the smallest of its large root nodes,
+and the sets of a node that look like its centre (the set that agrees best with the node's most frequent sketch bytes) are
+confirmed against it. Ties are confirmed links on full sets; they only save work, since pairs in one confirmed component need no
+further comparison.
+
+A node is small when all its pairs that are not in one component take at most ``LEAF`` comparisons a set; it is compared
+exhaustively. Other nodes branch again, each time into two children per set so that similar pairs survive; those that are not
+small after ``DEPTH`` levels are compared in full all the same, as pairs of blocks. So no pair that shares a last node is left out.
+A pair of similarity 0.75 shares a first node with probability 1 - 0.25**TREES = 0.99998. Where all its nodes stay large, it
+survives a branching with probability 1 - (0.25 + 0.75 * q)**2 (q: the loss of the branchings below), three of them and the root
+with 0.675, and so meets in some tree with 1 - 0.325**TREES = 0.9998; every branching of a tree has minwise positions of its own.
+
+Comparison in a leaf uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form
+candidate groups. Then full sets are compared: every two sets of a group that are in different components, as one block where the
+group is small, else after its loose sets are tied to a centre too, as pairs of blocks. That costs about the group's size where
+centres tie it together, and at worst the square. Only confirmed links count: the components are those of links with
+100 * intersection >= 75 * union on full sets. A leaf emits links that span its components, never all pairs.
+
+Defined cases: with fewer than five words the whole sequence is the only shingle; without words or text the set is empty and
+links with nothing; equal sets link (whatever their size above 0); repeated rows are one set; rows that share a doc_id but not a
+text are compared as the texts they are, and each has its own component_id; a null doc_id is compared and links others, but the
+component's name is the smallest doc_id that is not null, and null only where there is none; an empty table gives an empty result.
 ``keep_one`` leaves all columns of its input as they are.
 """
 
@@ -28,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -43,10 +50,12 @@ DEPTH = 4
 PATH_TOKENS = TREES * (2**DEPTH - 1)
 #: Signatures that agree less than this are below the threshold for all but one in ten thousand pairs (four standard errors).
 MAYBE = 0.60
-#: A candidate group up to this many sets, or full-set elements, is compared as one.
+#: A block of full sets holds about this many sets, or elements, at most (a pair of blocks: twice that).
 GROUP_SETS, GROUP_ELEMENTS = 128, 1_000_000
-#: Sets in a block where a group or node is compared as pairs of blocks, and in the sample that a group's pivot comes from.
+#: Sets in a block where a group or node is compared as pairs of blocks, and in the sample that a group's centre comes from.
 BLOCK, SAMPLE = 256, 128
+#: Powers are kept between texts up to this length.
+KEPT_POWERS = 1 << 20
 #: Bits of the filter that keeps texts without candidates out of the shuffle: 8 MB, whatever the number of candidates.
 FILTER_BITS = 1 << 26
 
@@ -62,11 +71,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    found = _powers.get(base)
+    if found is None or len(found) < n:
         a = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
         a[0] = 1
-        _powers[base] = np.multiply.accumulate(a)
-    return _powers[base]
+        found = np.multiply.accumulate(a)
+        if n <= KEPT_POWERS:
+            _powers[base] = found
+    return found
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,22 +121,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _digest(s: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the set), sig (path tokens), sketch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def of(text: str | None) -> tuple:
+        s = shingles(text)
+        if not len(s):
+            return 0, None, None, None
+        return len(s), _digest(s), *(x.tobytes() for x in signature(s))
 
-        for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
-            signs = [signature(s) if len(s) else (None, None) for s in sets]
-            columns = [
-                b.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                *(pa.array([x[k] if x[k] is None else x[k].tobytes() for x in signs], pa.binary()) for k in (0, 1)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig", "sketch"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        for b in slices(batches):
+            found = list(zip(*(of(t.as_py()) for t in b.column(1)), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found, kinds)], ["doc_id", "n_shingles", "set_key", "sig", "sketch"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
@@ -134,30 +150,54 @@ def _token(position: F.Column) -> F.Column:
     return F.substr("sig", (4 * position + 1).cast("int"), F.lit(4))
 
 
-def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
-    """node, rep of all nodes to compare exhaustively, each of few sets; and grp, rep of the large nodes that no level parts.
-
-    The first has parts of the large nodes too; the second is for what falls in different parts.
-    """
-    depth = DEPTH
-    at = reps.select("rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(F.lit(t))).alias("node")) for t in range(trees)])).alias("b"))
+def roots(reps: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """rep, tree, at (position in the tree), node of every set's first nodes; and node, n of those that two sets or more share."""
+    first = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(F.lit(t))).alias("node")) for t in range(trees)])
+    at = reps.select("rep", F.explode(first).alias("b"))
     at = materialize(at.select("rep", "b.tree", F.lit(1).alias("at"), "b.node"), "paths")
-    done = None
-    for level in range(1, depth + 1):
-        counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-        counts = materialize(counts, "nodes")
+    return at, shared_nodes(at)
+
+
+def shared_nodes(at: DataFrame) -> DataFrame:
+    return materialize(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "nodes")
+
+
+def homes(at: DataFrame, counts: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """grp, rep, n: the smallest large node of each set that has one, and how many sets are at home there."""
+    large = at.select("rep", "node").join(counts.filter(F.col("n") > leaf), "node")
+    home = materialize(large.groupBy("rep").agg(F.min(F.struct("n", "node")).alias("h")).select("rep", F.col("h.node").alias("grp")), "homes")
+    return home.join(home.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grp").select("grp", "rep", "n")
+
+
+def labelled(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """``rows`` with label: the component (of rep, label) that a set is known to be in, or the set itself."""
+    if tied is None:
+        return rows.withColumn("label", F.col("rep"))
+    found = rows.join(tied.withColumnRenamed("label", "known"), "rep", "left")
+    return found.withColumn("label", F.coalesce("known", "rep")).drop("known")
+
+
+def leaves(reps: DataFrame, at: DataFrame, counts: DataFrame, tied: DataFrame | None = None, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """node, rep of the nodes of few sets; and grp, rep, label, open of larger nodes to compare across labels: those that this makes small, and the open ones that no level parts."""
+    done = crossed = None
+    for level in range(1, DEPTH + 1):
         small = at.join(counts.filter(F.col("n") <= leaf).select("node"), "node").select("node", "rep")
         done = small if done is None else done.unionByName(small)
-        big = counts.filter(F.col("n") > leaf)
-        if big.isEmpty():
-            return done, None
-        rest = at.join(big, "node")
-        if level == depth:
-            parts = F.ceil(F.col("n") / (leaf // 2)).cast("long")
-            dealt = rest.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("node"), "rep")
-            pivots = big.select(F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("k"), "node", "pivot")
-            pivots = pivots.select(F.xxhash64("node", "k").alias("node"), F.col("pivot").alias("rep"))
-            return done.unionByName(dealt).unionByName(pivots).distinct(), rest.select(F.col("node").alias("grp"), "rep")
+        large = counts.filter(F.col("n") > leaf).select("node")
+        if large.isEmpty():
+            break
+        rest = materialize(labelled(at.join(large, "node"), tied), "large-nodes")
+        per = rest.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"))
+        pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2  # in different components
+        per = materialize(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "mixed-nodes")
+        is_small = F.col("pairs") <= F.col("n") * leaf / 2
+        ready = per.select("node", (~is_small).alias("open")) if level == DEPTH else per.filter(is_small).select("node", F.lit(False).alias("open"))
+        ready = rest.join(ready, "node").select(F.col("node").alias("grp"), "rep", "label", "open")
+        crossed = ready if crossed is None else crossed.unionByName(ready)
+        per = per.filter(~is_small).select("node")
+        if level == DEPTH or per.isEmpty():
+            break
+        rest = rest.join(per, "node")
         place = lambda k: TREES + F.col("tree") * (2**DEPTH - 2) + 2 * F.col("at") + k - 2
         child = [F.struct((2 * F.col("at") + k).alias("at"), F.xxhash64("node", F.lit(k), _token(place(k))).alias("node")) for k in (0, 1)]
         if level == 1:  # later levels need the tokens of few sets
@@ -165,13 +205,23 @@ def leaves(reps: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataF
         at = rest.select("node", "rep", "tree", "at").join(reps, "rep")
         at = at.select("rep", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "tree", "c.at", "c.node")
         at = materialize(at, "paths")
-    return done, None
+        counts = shared_nodes(at)
+    return done, crossed
+
+
+def dealt(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """node, rep: the sets of each group (grp, rep) in parts of about half a leaf, each with the group's first set as a pivot."""
+    per = rows.groupBy("grp").agg(F.min("rep").alias("pivot"), F.ceil(F.count(F.lit(1)) / (leaf // 2)).cast("long").alias("parts"))
+    per = materialize(per, "parts")
+    parts = rows.join(per, "grp").select(F.xxhash64("grp", F.pmod(F.xxhash64("rep", "grp"), "parts")).alias("node"), "rep")
+    pivots = per.select("grp", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
+    return parts.unionByName(pivots.select(F.xxhash64("grp", "k").alias("node"), F.col("pivot").alias("rep"))).distinct()
 
 
 def cross_blocks(rows: DataFrame) -> DataFrame:
     """block, rep: blocks in which every two sets of a group meet that have different labels; rows: grp, rep, label, size (elements).
 
-    Labels of half a block's sets or more have blocks of their own, which are not paired with one another; the others of a group share
+    A label of half a block's sets or more has blocks of its own, which are not paired among themselves; the others of a group share
     blocks. Groups of one label have none.
     """
     rows = materialize(rows, "labelled")
@@ -193,25 +243,35 @@ def cross_blocks(rows: DataFrame) -> DataFrame:
     return dealt.join(sides, ["grp", "owner", "k"]).select("block", "rep")
 
 
-def centres(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """grp, rep: the set of each group (grp, rep, n sets in it) that agrees best with the most frequent bytes of a sample of its sketches."""
-    rows = members.join(reps.select("rep", "sketch"), "rep").select("grp", "rep", "n", "sketch")
+def tie_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """block, rep: the sets of each group (grp, rep, n sets in it) that look like its centre, in blocks of bounded size that all have it.
+
+    The centre agrees best with the most frequent bytes of a sample of the group's sketches; what is sampled decides only which
+    sets are tied early.
+    """
+    rows = materialize(members.join(reps.select("rep", "sketch", "size"), "rep").select("grp", "rep", "n", "size", "sketch"), "members")
     some = rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n")) < SAMPLE).groupBy("grp").agg(F.collect_list("sketch").alias("sketches"))
 
     def modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             bytes_ = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, HASHES) for x in b.column(1).to_pylist())
             out = [bytes(np.bincount(c).argmax() for c in m.T) for m in bytes_]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["grp", "mode"])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).sum(1), pa.int64())], ["grp", "rep", "same"])
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (3, 4))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array((x == y).sum(1), pa.int64())], ["grp", "rep", "size", "same"])
 
     common = some.mapInArrow(modes, "grp long, mode binary")
-    found = rows.join(common, "grp").select("grp", "rep", "sketch", "mode").mapInArrow(agree, "grp long, rep long, same long")
-    return found.groupBy("grp").agg(F.max_by("rep", F.struct("same", -F.col("rep"))).alias("rep"))
+    found = rows.join(common, "grp").select("grp", "rep", "size", "sketch", "mode").mapInArrow(agree, "grp long, rep long, size long, same long")
+    near = materialize(found.filter(F.col("same") >= MAYBE * HASHES), "alike")
+    most = F.ceil(F.greatest(F.count(F.lit(1)) / LEAF, F.sum("size") / GROUP_ELEMENTS)).cast("long")
+    per = near.groupBy("grp").agg(F.max_by("rep", F.struct("same", -F.col("rep"))).alias("rep"), most.alias("parts"), F.count(F.lit(1)).alias("n"))
+    per = materialize(per.filter("n > 1"), "centres")
+    dealt = near.join(per.select("grp", "parts"), "grp").select(F.xxhash64("grp", F.pmod(F.xxhash64("rep", F.lit(9)), "parts")).alias("block"), "rep")
+    copies = per.select("grp", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).select(F.xxhash64("grp", "k").alias("block"), "rep")
+    return dealt.unionByName(copies).distinct()
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
@@ -233,36 +293,42 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
+    """The first element of each element's component."""
+    out = list(range(n))
+    for k in _spanning(a, b, n):
+        old, new = sorted((out[a[k]], out[b[k]]), reverse=True)
+        if old != new:
+            out = [new if p == old else p for p in out]
+    return out
+
+
 def _maybe_pairs(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a leaf whose signatures agree enough, the best first."""
-    same = (sketches[:, None] == sketches[None]).sum(2, dtype=np.int32)
-    a, b = np.nonzero(np.triu(same >= MAYBE * HASHES, 1))
-    order = np.argsort(-same[a, b], kind="stable")
-    return a[order], b[order]
+    """Pairs of a leaf whose signatures agree enough."""
+    n = len(sketches)
+    same = np.empty((n, n), np.uint8)
+    for at in range(0, n, 64):
+        same[at : at + 64] = (sketches[at : at + 64, None] == sketches[None]).sum(2, dtype=np.uint8)
+    return np.nonzero(np.triu(same >= MAYBE * HASHES, 1))
 
 
 def compared_leaves(nodes: DataFrame, reps: DataFrame) -> DataFrame:
-    """members (sorted array of reps) of every part of a leaf whose sets may be similar."""
-    own = nodes.groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("members")).select("members").distinct()
-    own = own.withColumn("leaf", F.xxhash64("members")).select("leaf", F.explode("members").alias("rep"))
+    """a, b: a link from the first set of every part of a node (node, rep) whose sets may be similar to each other set of the part."""
+    # Nodes of the same sets, in several trees, are one leaf; nodes that get one name by chance are only compared together.
+    leaf = F.bit_xor(F.xxhash64("rep")).over(Window.partitionBy("node"))
+    own = nodes.select(leaf.alias("leaf"), "rep").distinct()
     rows = own.join(reps.select("rep", "sketch"), "rep").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rep", "sketch"))).alias("m"))
     rows = rows.select(F.transform("m", lambda x: x["rep"]).alias("reps"), F.transform("m", lambda x: x["sketch"]).alias("sketches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for reps_, sketches_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x, y = _maybe_pairs(np.frombuffer(b"".join(sketches_), np.uint8).reshape(len(sketches_), HASHES))
-                part = list(range(len(reps_)))
-                for k in _spanning(x, y, len(reps_)):
-                    old, new = sorted((part[x[k]], part[y[k]]), reverse=True)
-                    part = [new if p == old else p for p in part]
-                for p in set(part):
-                    if part.count(p) > 1:
-                        out.append([r for r, q in zip(reps_, part, strict=True) if q == p])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
+                out += [(reps_[r], reps_[k]) for k, r in enumerate(_roots(x, y, len(reps_))) if r != k]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "members array<long>").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -298,7 +364,7 @@ def _full_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     who, at = np.repeat(np.arange(len(sets)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
     order = np.argsort(at, kind="stable")
     who, at = who[order], at[order]
-    meet, width = np.zeros((len(sets), len(sets)), np.int64), max(1, (1 << 24) // len(sets))
+    meet, width = np.zeros((len(sets), len(sets)), np.int64), max(1, (1 << 22) // len(sets))
     for low in range(0, int(shared.sum()), width):
         part = slice(*np.searchsorted(at, [low, low + width]))
         m = np.zeros((len(sets), width if shared.sum() - low > width else int(shared.sum()) - low), np.float32)
@@ -323,17 +389,18 @@ def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.select(*rows.columns)
 
 
-def confirmed_links(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of ``blocks`` (block, rep), confirmed on full sets; rep is a doc_id that has the set."""
-    reps = materialize(blocks.select(F.col("rep").alias("doc_id")).distinct(), "compared")
-    texts = maybe_among(_texts(docs).dropna(), reps).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of ``blocks`` (block, rep), confirmed on full sets; by_set has rep, set_key and first_id, a doc_id."""
+    blocks = materialize(blocks.join(by_set.select("rep", "set_key", "first_id"), "rep"), "blocks")
+    texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["rep", "full"])
+        for b in slices(batches):
+            sets = [s for s in (shingles(t.as_py()) for t in b.column(1)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "full"])
 
-    sets = texts.mapInArrow(full, "rep long, full binary")
-    rows = blocks.join(sets, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "full")).alias("m"))
+    sets = texts.mapInArrow(full, "set_key binary, full binary").dropDuplicates(["set_key"])
+    rows = blocks.select("block", "rep", "set_key").join(sets, "set_key").groupBy("block").agg(F.collect_list(F.struct("rep", "full")).alias("m"))
     rows = rows.select(F.transform("m", lambda x: x["rep"]).alias("reps"), F.transform("m", lambda x: x["full"]).alias("sets"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,58 +410,84 @@ def confirmed_links(docs: DataFrame, blocks: DataFrame) -> DataFrame:
                 links = _full_links([np.frombuffer(s.as_py(), np.uint64) for s in b.column(1)[k]])
                 yield pa.RecordBatch.from_arrays([pa.array([reps_[x] for x, _ in links], pa.int64()), pa.array([reps_[y] for _, y in links], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return materialize(rows.mapInArrow(compare, "a long, b long"), "links")
+
+
+def known(links: DataFrame) -> DataFrame:
+    """rep, label: the components of links."""
+    return components(links, "tied").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """rep (a number of its own), set_key, first_id (its smallest doc_id, or null), size, sig and sketch of every distinct set."""
+    by_set = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    return materialize(by_set.withColumn("rep", F.monotonically_increasing_id()), "distinct-sets")
+
+
+def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFrame | None:
+    """Confirmed links (a, b) that span the components of the distinct sets."""
+    at, counts = roots(by_set, trees)
+    links = tied = None
+    if not counts.filter(F.col("n") > LEAF).isEmpty():
+        links = confirmed_links(docs, tie_blocks(homes(at, counts), by_set), by_set)
+        tied = known(links)
+
+    nodes, crossed = leaves(by_set, at, counts, tied)
+    if crossed is not None:  # what one part or the pivot ties into one candidate group need not be compared across the node
+        crossed = materialize(crossed, "crossed")
+        nodes = nodes.unionByName(dealt(crossed.filter("open")))
+    maybe = materialize(compared_leaves(nodes, by_set), "candidates")
+    all_links = maybe if links is None else maybe.unionByName(links)
+    group = components(all_links, "candidate-groups")
+    if crossed is not None:
+        label = group.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        blocks = cross_blocks(labelled(crossed.select("grp", "rep"), label).withColumn("size", F.lit(0)))
+        more = materialize(compared_leaves(blocks.withColumnRenamed("block", "node"), by_set), "candidates")
+        if not more.isEmpty():
+            group = components(all_links.unionByName(more), "candidate-groups")
+    group = group.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    group = materialize(labelled(group.join(by_set.select("rep", "size"), "rep"), tied), "candidate-groups")
+    sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"), F.min("label").alias("least"), F.max("label").alias("greatest"))
+    sizes = materialize(sizes.filter("least <> greatest"), "open-groups")
+    is_large = (F.col("n") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)
+    blocks = group.join(sizes.filter(~is_large).select("grp"), "grp").select(F.col("grp").alias("block"), "rep")
+    large = sizes.filter(is_large).select("grp")
+    if large.isEmpty():
+        found = confirmed_links(docs, blocks, by_set)
+        return found if links is None else links.unionByName(found)
+    group = materialize(group.join(large, "grp"), "large-groups")
+    loose = group.filter("label = rep").select("grp", "rep")
+    loose = loose.join(loose.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp").select("grp", "rep", "n")
+    found = confirmed_links(docs, blocks.unionByName(tie_blocks(loose, by_set)), by_set)
+    links = found if links is None else links.unionByName(found)
+    rest = materialize(cross_blocks(labelled(group.drop("label"), known(links))), "rest")
+    return links if rest.isEmpty() else links.unionByName(confirmed_links(docs, rest, by_set))
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = materialize(sets_of(docs), "shingle-sets")
-    by_set = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    by_set = materialize(by_set, "distinct-sets")
-    named = by_set.filter("rep IS NOT NULL").select("rep", "size", F.col("set_key").alias("__key"))
-    reps = rows.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__key"))).select("rep", "size", "sig", "sketch").dropDuplicates(["rep"])
-    reps = materialize(reps, "signatures")
-
-    nodes, over = leaves(reps, trees)
-    chain = lambda parts: parts.select(F.explode("members").alias("b"), F.element_at("members", 1).alias("a")).filter("a <> b").distinct()
-    chains = chain(materialize(compared_leaves(nodes, reps), "candidates"))
-    group = components(chains, "candidate-groups")
-    if over is not None:
-        label = over.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("label"), F.lit(0).alias("size"))
-        more = materialize(compared_leaves(cross_blocks(label).withColumnRenamed("block", "node"), reps), "candidates")
-        if not more.isEmpty():
-            group = components(chains.unionByName(chain(more)), "candidate-groups")
-    group = materialize(group.join(reps.select(F.col("rep").alias("node"), "size"), "node"), "candidate-groups")
-    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
-    large = materialize(sizes.filter((F.col("n") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)), "large-groups")
-    once = group.join(large, "component", "left_anti").select(F.col("component").alias("block"), F.col("node").alias("rep"))
-    if large.isEmpty():
-        links = materialize(confirmed_links(docs, once), "links")
-    else:
-        k = F.ceil(F.greatest(F.col("n") / LEAF, F.col("elements") / GROUP_ELEMENTS)).cast("long")
-        spread = materialize(group.join(large.select("component", "n", k.alias("parts")), "component").select(F.col("component").alias("grp"), F.col("node").alias("rep"), "n", "parts", "size"), "large-members")
-        dealt = spread.select(F.xxhash64("grp", F.pmod(F.xxhash64("rep", F.lit(9)), "parts")).alias("block"), "rep")
-        middle = centres(spread, reps).join(large.select(F.col("component").alias("grp"), k.alias("parts")), "grp")
-        middle = middle.select("grp", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).select(F.xxhash64("grp", "k").alias("block"), "rep")
-        links = materialize(confirmed_links(docs, once.unionByName(dealt.unionByName(middle).distinct())), "links")
-        tied = components(links, "tied").withColumnRenamed("node", "rep")
-        label = spread.join(tied, "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("label"), "size")
-        rest = materialize(cross_blocks(label), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(materialize(confirmed_links(docs, rest), "links"))
-
-    final = components(links).withColumnRenamed("component", "__component")
-    of_set = by_set.join(final, by_set["rep"] == final["node"], "left").select("set_key", F.coalesce("__component", "rep").alias("component"))
+    by_set = distinct_sets(rows)
+    final = components(set_links(docs, by_set, trees))
+    of_set = by_set.select("rep", "set_key", "first_id").join(final, by_set["rep"] == final["node"], "left")
+    of_set = of_set.select("set_key", "first_id", F.coalesce("component", "rep").alias("label"))
+    names = of_set.filter("label IS NOT NULL").groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_set = materialize(of_set.join(names, "label").select("set_key", "component_id"), "named-sets")
     linked = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
-    out = linked.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, trees: int = TREES) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id."""
-    found = materialize(near_duplicates(docs, trees), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    if found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows without a doc_id stay, as no name tells them apart; rows that repeat doc_id and text are one; a doc_id with several texts
+    stays as long as one of them represents its group.
+    """
+    found = materialize(near_duplicates(docs, trees).select("doc_id", "kept").filter("doc_id IS NOT NULL"), "near-duplicates")
+    per = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    per = materialize(per.filter("NOT kept OR n > 1").withColumnRenamed("doc_id", "__gone"), "gone")
+    out = docs.join(per.filter("NOT kept").select("__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if per.filter("kept").isEmpty():
         return out
-    return out.filter(F.col("doc_id").isNull()).unionByName(out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    return out.filter(F.col("doc_id").isNull()).unionByName(out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
