@@ -9,18 +9,18 @@ and the sets of a node that look like its centre (the set that agrees best with
 confirmed against it. Ties are confirmed links on full sets; they only save work, since pairs in one confirmed component need no
 further comparison.
 
-A node is small when all its pairs that are not in one component take at most ``LEAF`` comparisons a set; it is compared
-exhaustively. Other nodes branch again, each time into two children per set so that similar pairs survive; those that are not
-small after ``DEPTH`` levels are compared in full all the same, as pairs of blocks. So no pair that shares a last node is left out.
-A pair of similarity 0.75 shares a first node with probability 1 - 0.25**TREES = 0.99998. Where all its nodes stay large, it
-survives a branching with probability 1 - (0.25 + 0.75 * q)**2 (q: the loss of the branchings below), three of them and the root
-with 0.675, and so meets in some tree with 1 - 0.325**TREES = 0.9998; every branching of a tree has minwise positions of its own.
-
-Comparison in a leaf uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form
-candidate groups. Then full sets are compared: every two sets of a group that are in different components, as one block where the
-group is small, else after its loose sets are tied to a centre too, as pairs of blocks. That costs about the group's size where
-centres tie it together, and at worst the square. Only confirmed links count: the components are those of links with
-100 * intersection >= 75 * union on full sets. A leaf emits links that span its components, never all pairs.
+A node is small when its pairs that are not in one component take at most ``LEAF`` comparisons a set; it is compared exhaustively.
+Other nodes branch again, each time into two children per set so that similar pairs survive; those that are not small after
+``DEPTH`` levels are compared in full all the same, as pairs of blocks. So no pair that shares a last node is left out. A pair of
+similarity 0.75 shares a first node with probability 1 - 0.25**TREES = 0.99998. Where all its nodes stay large, it survives a
+branching with probability 1 - (0.25 + 0.75 * q)**2 (q: the loss of the branchings below), three of them and the root with 0.675,
+and so meets in some tree with 1 - 0.325**TREES = 0.9998; every branching of a tree has minwise positions of its own.
+
+Comparison in a node uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form
+candidate groups. Then full sets are compared: every two sets of a group that are not in one component yet, as one block or as pairs
+of blocks. That costs about the group's size where a centre ties it together, and at worst the square. Only confirmed links count:
+the components are those of links with 100 * intersection >= 75 * union on full sets. A comparison emits links that span its
+components, never all pairs.
 
 Defined cases: with fewer than five words the whole sequence is the only shingle; without words or text the set is empty and
 links with nothing; equal sets link (whatever their size above 0); repeated rows are one set; rows that share a doc_id but not a
@@ -44,7 +44,7 @@ WORDS = 5
 THRESHOLD = (75, 100)
 HASHES = 128
 TREES = 8
-LEAF = 64
+LEAF = 512
 DEPTH = 4
 #: Minwise tokens that paths use: for each tree a root and two for each node of a binary tree above the last level.
 PATH_TOKENS = TREES * (2**DEPTH - 1)
@@ -150,22 +150,23 @@ def _token(position: F.Column) -> F.Column:
     return F.substr("sig", (4 * position + 1).cast("int"), F.lit(4))
 
 
-def roots(reps: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """rep, tree, at (position in the tree), node of every set's first nodes; and node, n of those that two sets or more share."""
+def roots(reps: DataFrame, trees: int = TREES) -> DataFrame:
+    """rep, tree, at (position in the tree), node, n: the first nodes of every set that others share, and how many do."""
     first = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(F.lit(t))).alias("node")) for t in range(trees)])
     at = reps.select("rep", F.explode(first).alias("b"))
-    at = materialize(at.select("rep", "b.tree", F.lit(1).alias("at"), "b.node"), "paths")
-    return at, shared_nodes(at)
+    return shared(at.select("rep", "b.tree", F.lit(1).alias("at"), "b.node"))
 
 
-def shared_nodes(at: DataFrame) -> DataFrame:
-    return materialize(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "nodes")
+def shared(at: DataFrame) -> DataFrame:
+    """``at`` without sets that are alone in a node, with n, the sets in the node."""
+    at = materialize(at, "paths")
+    return materialize(at.join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node"), "nodes")
 
 
-def homes(at: DataFrame, counts: DataFrame, leaf: int = LEAF) -> DataFrame:
+def homes(at: DataFrame, leaf: int = LEAF) -> DataFrame:
     """grp, rep, n: the smallest large node of each set that has one, and how many sets are at home there."""
-    large = at.select("rep", "node").join(counts.filter(F.col("n") > leaf), "node")
-    home = materialize(large.groupBy("rep").agg(F.min(F.struct("n", "node")).alias("h")).select("rep", F.col("h.node").alias("grp")), "homes")
+    home = at.filter(F.col("n") > 2 * leaf).groupBy("rep").agg(F.min(F.struct("n", "node")).alias("h"))
+    home = materialize(home.select("rep", F.col("h.node").alias("grp")), "homes")
     return home.join(home.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grp").select("grp", "rep", "n")
 
 
@@ -177,20 +178,20 @@ def labelled(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
     return found.withColumn("label", F.coalesce("known", "rep")).drop("known")
 
 
-def leaves(reps: DataFrame, at: DataFrame, counts: DataFrame, tied: DataFrame | None = None, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+def leaves(reps: DataFrame, at: DataFrame, tied: DataFrame | None = None, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
     """node, rep of the nodes of few sets; and grp, rep, label, open of larger nodes to compare across labels: those that this makes small, and the open ones that no level parts."""
     done = crossed = None
     for level in range(1, DEPTH + 1):
-        small = at.join(counts.filter(F.col("n") <= leaf).select("node"), "node").select("node", "rep")
+        small = at.filter(F.col("n") <= 2 * leaf).select("node", "rep")
         done = small if done is None else done.unionByName(small)
-        large = counts.filter(F.col("n") > leaf).select("node")
-        if large.isEmpty():
+        rest = at.filter(F.col("n") > 2 * leaf).drop("n")
+        if rest.isEmpty():
             break
-        rest = materialize(labelled(at.join(large, "node"), tied), "large-nodes")
+        rest = materialize(labelled(rest, tied), "large-nodes")
         per = rest.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"))
         pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2  # in different components
         per = materialize(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "mixed-nodes")
-        is_small = F.col("pairs") <= F.col("n") * leaf / 2
+        is_small = F.col("pairs") <= F.col("n") * leaf
         ready = per.select("node", (~is_small).alias("open")) if level == DEPTH else per.filter(is_small).select("node", F.lit(False).alias("open"))
         ready = rest.join(ready, "node").select(F.col("node").alias("grp"), "rep", "label", "open")
         crossed = ready if crossed is None else crossed.unionByName(ready)
@@ -203,15 +204,13 @@ def leaves(reps: DataFrame, at: DataFrame, counts: DataFrame, tied: DataFrame |
         if level == 1:  # later levels need the tokens of few sets
             reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching")
         at = rest.select("node", "rep", "tree", "at").join(reps, "rep")
-        at = at.select("rep", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "tree", "c.at", "c.node")
-        at = materialize(at, "paths")
-        counts = shared_nodes(at)
+        at = shared(at.select("rep", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "tree", "c.at", "c.node"))
     return done, crossed
 
 
-def dealt(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """node, rep: the sets of each group (grp, rep) in parts of about half a leaf, each with the group's first set as a pivot."""
-    per = rows.groupBy("grp").agg(F.min("rep").alias("pivot"), F.ceil(F.count(F.lit(1)) / (leaf // 2)).cast("long").alias("parts"))
+def dealt(rows: DataFrame) -> DataFrame:
+    """node, rep: the sets of each group (grp, rep) in parts of about a block, each with the group's first set as a pivot."""
+    per = rows.groupBy("grp").agg(F.min("rep").alias("pivot"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
     per = materialize(per, "parts")
     parts = rows.join(per, "grp").select(F.xxhash64("grp", F.pmod(F.xxhash64("rep", "grp"), "parts")).alias("node"), "rep")
     pivots = per.select("grp", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
@@ -286,6 +285,8 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 
     out = []
     for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if x == y:
+            continue
         x, y = root(x), root(y)
         if x != y:
             parent[max(x, y)] = min(x, y)
@@ -293,16 +294,6 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """The first element of each element's component."""
-    out = list(range(n))
-    for k in _spanning(a, b, n):
-        old, new = sorted((out[a[k]], out[b[k]]), reverse=True)
-        if old != new:
-            out = [new if p == old else p for p in out]
-    return out
-
-
 def _maybe_pairs(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a leaf whose signatures agree enough."""
     n = len(sketches)
@@ -313,19 +304,21 @@ def _maybe_pairs(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compared_leaves(nodes: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b: a link from the first set of every part of a node (node, rep) whose sets may be similar to each other set of the part."""
+    """a, b: links that span the labels of each node (node, rep) whose sets may be similar; reps: rep, label, sketch."""
     # Nodes of the same sets, in several trees, are one leaf; nodes that get one name by chance are only compared together.
     leaf = F.bit_xor(F.xxhash64("rep")).over(Window.partitionBy("node"))
     own = nodes.select(leaf.alias("leaf"), "rep").distinct()
-    rows = own.join(reps.select("rep", "sketch"), "rep").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rep", "sketch"))).alias("m"))
-    rows = rows.select(F.transform("m", lambda x: x["rep"]).alias("reps"), F.transform("m", lambda x: x["sketch"]).alias("sketches"))
+    rows = own.join(reps.select("rep", F.struct("label", "sketch").alias("m")), "rep").groupBy("leaf").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    rows = rows.select(F.transform("m", lambda x: x["label"]).alias("labels"), F.transform("m", lambda x: x["sketch"]).alias("sketches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 32):
             out = []
-            for reps_, sketches_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = _maybe_pairs(np.frombuffer(b"".join(sketches_), np.uint8).reshape(len(sketches_), HASHES))
-                out += [(reps_[r], reps_[k]) for k, r in enumerate(_roots(x, y, len(reps_))) if r != k]
+            for labels, sketches in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names, own = np.unique(np.array(labels, np.int64), return_inverse=True)
+                x, y = _maybe_pairs(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), HASHES))
+                x, y = own[x], own[y]
+                out += [(names[x[k]], names[y[k]]) for k in _spanning(x, y, len(names))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -413,55 +406,41 @@ def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> Da
     return materialize(rows.mapInArrow(compare, "a long, b long"), "links")
 
 
-def known(links: DataFrame) -> DataFrame:
-    """rep, label: the components of links."""
-    return components(links, "tied").select(F.col("node").alias("rep"), F.col("component").alias("label"))
-
-
 def distinct_sets(rows: DataFrame) -> DataFrame:
     """rep (a number of its own), set_key, first_id (its smallest doc_id, or null), size, sig and sketch of every distinct set."""
     by_set = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     return materialize(by_set.withColumn("rep", F.monotonically_increasing_id()), "distinct-sets")
 
 
-def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFrame | None:
+def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFrame:
     """Confirmed links (a, b) that span the components of the distinct sets."""
-    at, counts = roots(by_set, trees)
+    at = roots(by_set, trees)
     links = tied = None
-    if not counts.filter(F.col("n") > LEAF).isEmpty():
-        links = confirmed_links(docs, tie_blocks(homes(at, counts), by_set), by_set)
-        tied = known(links)
+    if not at.filter(F.col("n") > 2 * LEAF).isEmpty():
+        links = confirmed_links(docs, tie_blocks(homes(at), by_set), by_set)
+        tied = components(links, "tied").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    reps = materialize(labelled(by_set.select("rep", "size", "sketch"), tied), "labelled-sets")
 
-    nodes, crossed = leaves(by_set, at, counts, tied)
+    nodes, crossed = leaves(by_set, at, tied)
     if crossed is not None:  # what one part or the pivot ties into one candidate group need not be compared across the node
         crossed = materialize(crossed, "crossed")
         nodes = nodes.unionByName(dealt(crossed.filter("open")))
-    maybe = materialize(compared_leaves(nodes, by_set), "candidates")
-    all_links = maybe if links is None else maybe.unionByName(links)
-    group = components(all_links, "candidate-groups")
+    maybe = materialize(compared_leaves(nodes, reps), "candidates")
+    group = components(maybe, "candidate-groups")
     if crossed is not None:
-        label = group.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-        blocks = cross_blocks(labelled(crossed.select("grp", "rep"), label).withColumn("size", F.lit(0)))
-        more = materialize(compared_leaves(blocks.withColumnRenamed("block", "node"), by_set), "candidates")
+        label = group.select(F.col("node").alias("label"), "component")
+        rows = crossed.join(label, "label", "left").select("grp", "rep", F.coalesce("component", "label").alias("label"), F.lit(0).alias("size"))
+        more = materialize(compared_leaves(cross_blocks(rows).withColumnRenamed("block", "node"), reps), "candidates")
         if not more.isEmpty():
-            group = components(all_links.unionByName(more), "candidate-groups")
-    group = group.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    group = materialize(labelled(group.join(by_set.select("rep", "size"), "rep"), tied), "candidate-groups")
-    sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"), F.min("label").alias("least"), F.max("label").alias("greatest"))
-    sizes = materialize(sizes.filter("least <> greatest"), "open-groups")
+            group = components(maybe.unionByName(more), "candidate-groups")
+    group = materialize(reps.select("rep", "label", "size").join(group.select(F.col("node").alias("label"), F.col("component").alias("grp")), "label"), "candidate-groups")
+    sizes = materialize(group.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")), "group-sizes")
     is_large = (F.col("n") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)
     blocks = group.join(sizes.filter(~is_large).select("grp"), "grp").select(F.col("grp").alias("block"), "rep")
-    large = sizes.filter(is_large).select("grp")
-    if large.isEmpty():
-        found = confirmed_links(docs, blocks, by_set)
-        return found if links is None else links.unionByName(found)
-    group = materialize(group.join(large, "grp"), "large-groups")
-    loose = group.filter("label = rep").select("grp", "rep")
-    loose = loose.join(loose.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp").select("grp", "rep", "n")
-    found = confirmed_links(docs, blocks.unionByName(tie_blocks(loose, by_set)), by_set)
-    links = found if links is None else links.unionByName(found)
-    rest = materialize(cross_blocks(labelled(group.drop("label"), known(links))), "rest")
-    return links if rest.isEmpty() else links.unionByName(confirmed_links(docs, rest, by_set))
+    if not sizes.filter(is_large).isEmpty():
+        blocks = blocks.unionByName(cross_blocks(group.join(sizes.filter(is_large).select("grp"), "grp")))
+    found = confirmed_links(docs, blocks, by_set)
+    return found if links is None else links.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:

@@ -102,7 +102,7 @@ def test_pairs_in_large_nodes_survive_branching(spark):
     other = np.where(r.random((2000, n)) < 0.75, one, r.integers(1, 1 << 32, (2000, n), dtype=np.uint32))  # pairs at 0.75
     rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(np.concatenate([one, other]))]
     reps = spark.createDataFrame(rows, "rep long, sig binary")
-    nodes, over = near_dedup.leaves(reps, *near_dedup.roots(reps))
+    nodes, over = near_dedup.leaves(reps, near_dedup.roots(reps), leaf=32)
     over = over.filter("open").select("grp", "rep")
     at: dict[int, set] = {}
     for df in (nodes, over):
