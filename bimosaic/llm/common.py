@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word: a run without space, tab, newline, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bits of the filter that keeps rows without a partner out of a shuffle: 8 MB, whatever the number of partners.
+FILTER_BITS = 1 << 26
+
 _own: dict[str, str] = {}
 
 
@@ -55,3 +58,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` may be among those of ``keys``: one bit for each hash value, in parts of 4 KB, ``FILTER_BITS`` in all.
+
+    The parts are broadcast, as their size has that bound. Where the filter fills up it lets more rows through, never fewer.
+    """
+    value = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long") + 1
+    parts = keys.select(value.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("__bits"))
+    marked = rows.withColumn("__part", F.bitmap_bucket_number(value)).withColumn("__at", F.bitmap_bit_position(value))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = marked.join(F.broadcast(parts), "__part").filter(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
+    return hit.select(*rows.columns)

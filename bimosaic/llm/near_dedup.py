@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, maybe_among, slices
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -56,8 +56,6 @@ GROUP_SETS, GROUP_ELEMENTS = 128, 1_000_000
 BLOCK, SAMPLE = 256, 128
 #: Powers are kept between texts up to this length.
 KEPT_POWERS = 1 << 20
-#: Bits of the filter that keeps texts without candidates out of the shuffle: 8 MB, whatever the number of candidates.
-FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(20_011)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,13 +190,13 @@ def leaves(reps: DataFrame, at: DataFrame, tied: DataFrame | None = None, leaf:
         pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2  # in different components
         per = materialize(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "mixed-nodes")
         is_small = F.col("pairs") <= F.col("n") * leaf
-        ready = per.select("node", (~is_small).alias("open")) if level == DEPTH else per.filter(is_small).select("node", F.lit(False).alias("open"))
-        ready = rest.join(ready, "node").select(F.col("node").alias("grp"), "rep", "label", "open")
+        rest = materialize(rest.join(per.select("node", (~is_small).alias("open")), "node"), "mixed")
+        ready = rest if level == DEPTH else rest.filter("NOT open")
+        ready = ready.select(F.col("node").alias("grp"), "rep", "label", "open")
         crossed = ready if crossed is None else crossed.unionByName(ready)
-        per = per.filter(~is_small).select("node")
-        if level == DEPTH or per.isEmpty():
+        rest = rest.filter("open")
+        if level == DEPTH or rest.isEmpty():
             break
-        rest = rest.join(per, "node")
         place = lambda k: TREES + F.col("tree") * (2**DEPTH - 2) + 2 * F.col("at") + k - 2
         child = [F.struct((2 * F.col("at") + k).alias("at"), F.xxhash64("node", F.lit(k), _token(place(k))).alias("node")) for k in (0, 1)]
         if level == 1:  # later levels need the tokens of few sets
@@ -369,23 +367,10 @@ def _full_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(int(a[k]), int(b[k])) for k in _spanning(a, b, len(sets))]
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose doc_id may be among ``ids``: one bit for each hash value, in parts of 4 KB, ``FILTER_BITS`` in all.
-
-    The parts are broadcast, as their size has that bound. Where the filter fills up it lets more rows through, never fewer.
-    """
-    value = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long") + 1
-    parts = ids.select(value("doc_id").alias("v")).groupBy(F.bitmap_bucket_number("v").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("__bits"))
-    marked = rows.withColumn("__part", F.bitmap_bucket_number(value("doc_id"))).withColumn("__at", F.bitmap_bit_position(value("doc_id")))
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = marked.join(F.broadcast(parts), "__part").filter(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
-    return hit.select(*rows.columns)
-
-
 def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> DataFrame:
     """Links (a, b) between the sets of ``blocks`` (block, rep), confirmed on full sets; by_set has rep, set_key and first_id, a doc_id."""
     blocks = materialize(blocks.join(by_set.select("rep", "set_key", "first_id"), "rep"), "blocks")
-    texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct())
+    texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
