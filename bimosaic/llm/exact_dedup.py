@@ -2,9 +2,10 @@
 
 A slim log (row number, doc_id, SHA-256 of the text, bytes, locator) is written once and then read as a stream.
 The stream keeps one state row per digest, without expiry, in RocksDB: the stable identifier that stays, its row number,
-its content locator, and the number of rows seen. A later run may go on from the same checkpoint (``dedup_stream``).
-Groups of more than one row are then confirmed on their whole bytes: the least and the greatest text of a digest are equal
-exactly if all are, and both aggregate on the map side, so a group that holds a third of all rows shuffles a few rows.
+its content locator (the file that holds it), and the number of rows seen. A later run may go on from the same checkpoint
+(``dedup_stream``). Only hits, the digests of more than one row, are confirmed on their whole bytes: a filter of fixed size keeps
+all other texts out of the shuffle, and the least and the greatest text of a digest are equal exactly if all are; both aggregate
+on the map side, so a group that holds a third of all rows shuffles a few rows.
 
 Defined cases: a null text counts as empty; all empty texts form one group. Of equal texts the row with the largest doc_id
 stays (null ids come last; among rows equal in id too, the one logged last), so repeated rows leave one. An empty table
@@ -14,14 +15,18 @@ even if they are named like the columns of ``exact_groups``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, text_or_empty
+from .common import materialize, maybe_among, scratch, text_or_empty
 
 #: Settings of the state store while the stream runs; the session's own values come back afterwards.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # for all stores of an executor together
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.maxOpenFiles": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -29,12 +34,16 @@ STATE_CONF = {
 }
 
 
-def digest_log(docs: DataFrame) -> DataFrame:
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def digest_log(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """row_no, doc_id, digest, n_bytes, locator: all that the state needs of a row."""
     return docs.select(
         F.monotonically_increasing_id().alias("row_no"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.sha2(text_or_empty(), 256).alias("digest"),
+        digest(text_or_empty()).alias("digest"),
         F.octet_length(text_or_empty()).cast("long").alias("n_bytes"),
         F.input_file_name().alias("locator"),
     )
@@ -72,34 +81,32 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def unequal_digests(docs: DataFrame) -> DataFrame:
-    """Digests whose rows differ in their bytes."""
-    return (
-        docs.select(F.sha2(text_or_empty(), 256).alias("digest"), text_or_empty().alias("text"))
-        .groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
-        .filter(F.col("a") != F.col("b")).select("digest")
-    )
+def unequal_digests(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Digests among ``hits`` whose rows differ in their bytes."""
+    rows = docs.select(digest(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
+    found = maybe_among(rows, hits.select("digest"), "digest").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    return found.filter(F.col("a") != F.col("b")).select("digest")
 
 
-def exact_groups(docs: DataFrame, max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_no."""
+def exact_groups(docs: DataFrame, max_bytes_per_trigger: int = 64 << 30, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (the digest), row_no, locator (file of the row that stays)."""
     spark = docs.sparkSession
     path, checkpoint = scratch(spark, "digest-log"), scratch(spark, "dedup-state")
-    digest_log(docs).write.parquet(path)
+    digest_log(docs, digest).write.parquet(path)
     log = spark.read.schema("row_no long, doc_id long, digest string, n_bytes long, locator string").parquet(path)
     stream = spark.readStream.schema(log.schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(path)
     dedup_stream(spark, stream, checkpoint)
     state = materialize(read_state(spark, checkpoint), "dedup-groups")
     out = _decide(log, state)
-    bad = materialize(unequal_digests(docs), "dedup-unequal")
+    bad = materialize(unequal_digests(docs, state.filter("group_size > 1"), digest), "dedup-unequal")
     if not bad.isEmpty():
-        exact = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("digest"), text_or_empty().alias("text"))
+        exact = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text_or_empty()).alias("digest"), text_or_empty().alias("text"), F.input_file_name().alias("locator"))
         exact = exact.join(bad, "digest", "left_semi").withColumn("row_no", F.monotonically_increasing_id())
         exact = materialize(exact, "dedup-rehash")
-        top = exact.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "row_no")).alias("k"), F.count(F.lit(1)).alias("group_size"))
-        again = exact.join(top, ["digest", "text"]).select(
+        top = exact.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "row_no", "locator")).alias("k"), F.count(F.lit(1)).alias("group_size"))
+        again = exact.drop("locator").join(top, ["digest", "text"]).select(
             "doc_id", F.col("k.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("k.row_no")).alias("kept"),
-            F.col("digest").alias("text_sha256"), "row_no",
+            F.col("digest").alias("text_sha256"), "row_no", F.col("k.locator").alias("locator"),
         )
         out = out.join(bad.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").select(again.columns).unionByName(again)
     return out
@@ -112,8 +119,9 @@ def _decide(log: DataFrame, state: DataFrame) -> DataFrame:
     rest = state.filter(F.col("group_size") <= limit)
     columns = (
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"),
-        F.col("digest").alias("text_sha256"), "row_no",
+        F.col("digest").alias("text_sha256"), "row_no", "locator",
     )
+    log = log.drop("locator")
     cool = log.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     return log.join(F.broadcast(hot), "digest").select(*columns).unionByName(cool.join(rest, "digest").select(*columns))
 

@@ -303,8 +303,14 @@ def test_dedup_state_goes_on_from_its_checkpoint(spark, tmp_path):
         assert collect(exact_dedup.read_state(spark, str(tmp_path / "state")), "keep_id", "group_size") == [(2, 2), (3, 3)][step : step + 1]
 
 
-def test_equal_digests_with_other_bytes_would_be_found(spark):
-    assert exact_dedup.unequal_digests(frame(spark, ["a", "a", "b"])).collect() == []
+def test_equal_digests_with_other_bytes_are_told_apart(spark):
+    texts, ids = ["a", "b", "a", "c", "d", None, "a"], [3, 8, 5, 1, 2, 9, 5]
+    weak = lambda c: F.when(c.isin("a", "b", ""), F.lit("same")).otherwise(F.sha2(c, 256))
+    docs = frame(spark, texts, ids=ids)
+    assert collect(exact_dedup.unequal_digests(docs, spark.createDataFrame([("same",)], "digest string"), weak), "digest") == [("same",)]
+    out = exact_dedup.exact_groups(docs, digest=weak)
+    assert sorted(collect(out, "doc_id", "keep_id", "group_size")) == [(1, 1, 1), (2, 2, 1), (3, 5, 3), (5, 5, 3), (5, 5, 3), (8, 8, 1), (9, 9, 1)]
+    assert sum(r["kept"] for r in out.collect()) == 5
 
 
 # mixing
