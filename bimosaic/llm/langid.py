@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TOP = 400
 DOCS_PER_LANGUAGE = 400
 #: Below this nearness a text is like none of the learned languages, and the filter rejects it.
@@ -111,7 +113,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred, score, nearness of every document."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [profiles.predict(t.as_py()) for t in b.column(1)]
             kinds = (pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "lang_pred", "score", "nearness"])
@@ -124,7 +126,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, min_nearness: float = MIN_NE
     """``docs`` without the rows whose language is not recognised; one pass, no shuffle."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             kept = [lang != "und" and near >= min_nearness for lang, _, near in (profiles.predict(t.as_py()) for t in b.column("text"))]
             yield b.filter(pa.array(kept, pa.bool_()))
 

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, slices, text_or_empty
 
 SEQUENCE = 2048
 END_ID = 0
-MEMO = 600_000
+MEMO = 150_000
 ROWS_PER_BUCKET = 5000
 
 #: White space besides blank and line feed, and blanks or line feeds that meet: such texts are encoded in one piece.
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids:
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             encoder = encoder or Encoder(tokenizer_path)
             rows = []
             for doc, text in zip(b.column(0), b.column(1), strict=True):
