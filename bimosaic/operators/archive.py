@@ -61,7 +61,7 @@ def top_k_per_cell(members: DataFrame, order: list[Column], k: int, cell: str =
     return members.withColumn("rank", F.row_number().over(Window.partitionBy(cell).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-STATUSES = ("INSERTED", "REJECTED_INVALID", "REJECTED_OUT_OF_BOUNDS", "REJECTED_DUPLICATE", "REJECTED_DOMINATED", "REJECTED_CAPACITY", "EVICTED")
+STATUSES = ("INSERTED", "INSERTED_WITH_EVICTIONS", "REJECTED_INVALID", "REJECTED_OUT_OF_BOUNDS", "REJECTED_DUPLICATE", "REJECTED_DOMINATED", "REJECTED_CAPACITY")
 
 
 def _dominates(a: dict, b: dict) -> bool:
@@ -84,41 +84,62 @@ def _crowds(rows: list[dict]) -> dict[str, float]:
 
 
 def insert_fold(candidates: DataFrame, capacity: int = 8) -> DataFrame:
-    """Status of every insertion in order of ``sequence``, cell by cell: what enters depends on what came before.
+    """Outcome of every insertion in order of ``sequence``: cell, sequence, status, created_cell, evicted (sequences it drove out).
 
-    Columns: cell, sequence, signature, loss1, loss2, violation, valid; a null cell is out of bounds. A cell holds
-    ``capacity`` members; the least crowded survive, the largest signature goes first among equals.
+    Columns: cell, sequence, signature, loss1, loss2, violation, valid; a null cell is out of bounds. What enters a cell depends on
+    what came before, so cells are folded one by one; a cell holds ``capacity`` members, the least crowded survive, and the largest
+    signature goes first among equals. Invalid candidates and those out of bounds never reach the fold. A member evicted later
+    keeps the outcome of its own insertion.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
-        status: dict[int, str] = {}
+        out = []
         for r in pdf.sort_values("sequence").to_dict("records"):
-            at = r["sequence"]
-            if not r["valid"]:
-                status[at] = "REJECTED_INVALID"
-            elif pd.isna(r["cell"]):
-                status[at] = "REJECTED_OUT_OF_BOUNDS"
-            elif any(k["signature"] == r["signature"] for k in kept):
-                status[at] = "REJECTED_DUPLICATE"
+            status, created, gone = "INSERTED", not kept, []
+            if any(k["signature"] == r["signature"] for k in kept):
+                status = "REJECTED_DUPLICATE"
             elif any(_dominates(k, r) for k in kept):
-                status[at] = "REJECTED_DOMINATED"
+                status = "REJECTED_DOMINATED"
             else:
-                for k in [k for k in kept if _dominates(r, k)]:
-                    status[k["sequence"]] = "EVICTED"
-                    kept.remove(k)
-                kept.append(r)
-                status[at] = "INSERTED"
-                if len(kept) > capacity:
-                    crowd = _crowds(kept)
+                gone = [k for k in kept if _dominates(r, k)]
+                now = [k for k in kept if k not in gone] + [r]
+                if len(now) > capacity:
+                    crowd = _crowds(now)
                     low = min(crowd.values())
-                    victim = max((k for k in kept if crowd[k["signature"]] == low), key=lambda k: k["signature"])
-                    kept.remove(victim)
-                    status[victim["sequence"]] = "REJECTED_CAPACITY" if victim is r else "EVICTED"
-        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "sequence": list(status), "status": list(status.values())})
-
-    rows = candidates.select("cell", "sequence", "signature", "loss1", "loss2", "violation", "valid")
-    return rows.groupBy("cell").applyInPandas(run, "cell long, sequence long, status string")
+                    victim = max((k for k in now if crowd[k["signature"]] == low), key=lambda k: k["signature"])
+                    now.remove(victim)
+                    if victim is r:
+                        status, now, gone = "REJECTED_CAPACITY", kept, []
+                    else:
+                        gone.append(victim)
+                kept = now
+                if gone:
+                    status = "INSERTED_WITH_EVICTIONS"
+            out.append((r["cell"], r["sequence"], status, created, [k["sequence"] for k in gone]))
+        return pd.DataFrame(out, columns=["cell", "sequence", "status", "created_cell", "evicted"])
+
+    schema = "cell long, sequence long, status string, created_cell boolean, evicted array<long>"
+    rows = candidates.select(F.col("cell").cast("long").alias("cell"), F.col("sequence").cast("long").alias("sequence"), "signature", "loss1", "loss2", "violation", F.coalesce("valid", F.lit(False)).alias("valid"))
+    bad = F.when(~F.col("valid"), "REJECTED_INVALID").otherwise("REJECTED_OUT_OF_BOUNDS")
+    refused = rows.filter("NOT valid OR cell IS NULL").select("cell", "sequence", bad.alias("status"), F.lit(False).alias("created_cell"), F.array().cast("array<long>").alias("evicted"))
+    return rows.filter("valid AND cell IS NOT NULL").groupBy("cell").applyInPandas(run, schema).unionByName(refused)
+
+
+def survivors(outcomes: DataFrame) -> DataFrame:
+    """sequence of the members that are left after all of ``outcomes``."""
+    entered = outcomes.filter(F.col("status").startswith("INSERTED")).select("sequence")
+    return entered.join(outcomes.select(F.explode("evicted").alias("sequence")), "sequence", "left_anti")
+
+
+def bin_bounds(bins: DataFrame, low: str, high: str, count: str, geometric: bool = False) -> DataFrame:
+    """bin, from, to, representative of every bin of the axes in ``bins``: equal steps, or equal ratios with the geometric mean in the middle."""
+    x = bins.select("*", F.explode(F.sequence(F.lit(0), (F.col(count) - 1).cast("int"))).alias("bin"))
+    if geometric:
+        edge = lambda k: F.col(low) * F.pow(F.col(high) / F.col(low), (F.col("bin") + k) / F.col(count))
+        return x.select("*", edge(0).alias("from"), edge(1).alias("to"), edge(0.5).alias("representative"))
+    edge = lambda k: F.col(low) + (F.col(high) - F.col(low)) * (F.col("bin") + k) / F.col(count)
+    return x.select("*", edge(0).alias("from"), edge(1).alias("to"), edge(0.5).alias("representative"))
 
 
 def cell_targets(occupied: DataFrame, bins: list[int]) -> DataFrame:

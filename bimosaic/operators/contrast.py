@@ -47,6 +47,13 @@ def additive_contrast(cells: DataFrame, rows: DataFrame, columns: DataFrame, alp
     return _gated(residual_auc(x), x, min_background)
 
 
+def multiplicative_contrast(cells: DataFrame, rows: DataFrame, columns: DataFrame, alpha: DataFrame, beta: DataFrame, min_background: float = 0.1) -> DataFrame:
+    """Residuals of x - alpha * beta in cells brought to their columns' scale (``fit.scaled_cells``), row effects estimated for all rows."""
+    x = flagged(cells, rows, columns).join(alpha, ["candidate", "row_index"]).join(beta, ["candidate", "column_index"])
+    x = x.select("candidate", "column_index", F.abs(F.col("num") - F.col("alpha") * F.col("beta")).alias("r"), "local")
+    return _gated(residual_auc(x), x, min_background)
+
+
 def _gated(auc: DataFrame, x: DataFrame, min_background: float) -> DataFrame:
     """Contrast 0 and an issue where too few rows outside are observed."""
     outside = x.groupBy("candidate", "column_index").agg(F.count_if(F.col("local") == 0).alias("outside"))

@@ -53,6 +53,12 @@ def residual_scale(robust_range: Column, median: Column) -> Column:
     return F.when(robust_range > ZERO, robust_range).otherwise(F.greatest(F.abs(median), F.lit(1.0)))
 
 
+def scaled_cells(cells: DataFrame, stats: DataFrame) -> DataFrame:
+    """``cells`` with num divided by its column's residual scale; stats (column_index, robust_range, median)."""
+    scale = stats.select("column_index", residual_scale(F.col("robust_range"), F.col("median")).alias("__scale"))
+    return cells.join(scale, "column_index").withColumn("num", F.col("num") / F.col("__scale")).drop("__scale")
+
+
 def additive_row_effects(cells: DataFrame, columns: DataFrame, beta: DataFrame, ratio: float = 0.8) -> DataFrame:
     """candidate, row_index, alpha for all rows: median over the candidate's columns of x - beta; beta (candidate, column_index, beta)."""
     x = cells.join(columns, "column_index").join(beta, ["candidate", "column_index"])

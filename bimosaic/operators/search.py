@@ -205,7 +205,7 @@ def search(cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int
         scored = scored.select("candidate", F.lit(g).alias("generation"), cell.cast("long").alias("cell"), "signature", "n_rows", "n_columns", "coherence", "contrast", "violation", F.col("coherence").alias("loss1"), (1 - F.col("contrast")).alias("loss2"))
         together = cut(scored if kept is None else kept.unionByName(scored), "search-scored")
         status = archive.insert_fold(together.withColumn("sequence", F.col("candidate")).withColumn("valid", F.lit(True)), capacity)
-        kept = cut(together.join(status.filter("status = 'INSERTED'").select(F.col("sequence").alias("candidate")), "candidate", "left_semi"), "search-archive")
+        kept = cut(together.join(archive.survivors(status).withColumnRenamed("sequence", "candidate"), "candidate", "left_semi"), "search-archive")
         for e in sizes:
             both = made[e] if e not in members else members[e].unionByName(made[e])
             members[e] = cut(both.join(kept.select("candidate"), "candidate", "left_semi"), f"search-members-{e}")

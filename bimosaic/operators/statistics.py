@@ -46,9 +46,11 @@ def chi_square(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     ry = df.groupBy(group, y).agg(F.count(F.lit(1)).alias("ry"))
     n = rx.groupBy(group).agg(F.sum("rx").alias("n"), F.count(F.lit(1)).alias("kx"))
     k = ry.groupBy(group).agg(F.count(F.lit(1)).alias("ky"))
-    # sum (o - e)^2 / e = n * (sum o^2 / (rx * ry) - 1); empty cells add nothing
-    s = o.join(rx, [group, x]).join(ry, [group, y]).groupBy(group).agg(F.sum(F.col("o") * F.col("o") / (F.col("rx") * F.col("ry"))).alias("s"))
-    out = s.join(n, group).join(k, group).withColumn("statistic", F.col("n") * (F.col("s") - 1)).withColumn("degrees", (F.col("kx") - 1) * (F.col("ky") - 1))
+    # Every cell of the table, empty ones too: no difference of large sums, so an exact 0 stays 0.
+    cells = rx.join(ry, group).join(n.select(group, "n"), group).join(o, [group, x, y], "left")
+    e = F.col("rx") * F.col("ry") / F.col("n")
+    s = cells.groupBy(group).agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - e, F.lit(2)) / e).alias("statistic"))
+    out = s.join(n, group).join(k, group).withColumn("degrees", (F.col("kx") - 1) * (F.col("ky") - 1))
     v = F.sqrt(F.col("statistic") / (F.col("n") * F.nullif(F.least(F.col("kx"), F.col("ky")) - 1, F.lit(0))))
     return out.select(group, "statistic", "degrees", v.alias("cramers_v"))
 

@@ -186,6 +186,19 @@ def _(s, d):
     return r6(contrast.additive_contrast(cells, rows, columns, fit.additive_row_effects(cells, columns, beta), beta), "contrast")
 
 
+_SCALED = EMB.replace("cells", "raw") + """, cells AS (SELECT row_index, column_index, num / CASE WHEN rr > 1e-12 THEN rr ELSE greatest(abs(median), 1) END AS num FROM raw JOIN stats USING (column_index)),
+held AS (SELECT candidate, row_index, column_index, num FROM cells JOIN ccols USING (column_index) JOIN crows USING (candidate, row_index))"""
+
+
+@query("q_contrast_multiplicative", f"""WITH {_SCALED}, {_B.replace("inside", "held")}, alpha AS (SELECT candidate, row_index, median(num / beta) AS alpha FROM cells JOIN ccols USING (column_index) JOIN beta USING (candidate, column_index) WHERE abs(beta) > 1e-12 GROUP BY 1, 2 HAVING count(num) >= 2)"""
+    + AUC.replace("{r}", "abs(num - alpha * beta)").replace("{join}", "JOIN alpha USING (candidate, row_index) JOIN beta USING (candidate, column_index)") + "SELECT candidate, column_index, round(contrast, 5) AS contrast, true AS valid FROM auc")
+def _(s, d):
+    cells, rows, columns, stats, _ = _emb(s, d)
+    cells = fit.scaled_cells(cells, stats)
+    beta = fit.column_medians(fit.submatrix(cells, rows, columns))
+    return contrast.multiplicative_contrast(cells, rows, columns, fit.multiplicative_row_effects(cells, columns, beta), beta).withColumn("contrast", F.round("contrast", 5))
+
+
 @query("q_joint_fit_additive")
 def _(s, d):
     _, _, _, stats, inside = _emb(s, d)
@@ -239,11 +252,14 @@ def _(s, d):
     return archive.constrained_front(scored(s, d), "loss1", "loss2").select("id", "cell")
 
 
-@query("q_crowding", f"""WITH {SCORED}, g AS (SELECT id, cell, (lead(loss1) OVER a - lag(loss1) OVER a) / nullif(max(loss1) OVER c - min(loss1) OVER c, 0) AS g1, (lead(loss2) OVER b - lag(loss2) OVER b) / nullif(max(loss2) OVER c - min(loss2) OVER c, 0) AS g2
+_GAP = "CASE WHEN max({0}) OVER c - min({0}) OVER c <= 1e-15 THEN 0 ELSE coalesce((lead({0}) OVER {1} - lag({0}) OVER {1}) / (max({0}) OVER c - min({0}) OVER c), 'inf'::DOUBLE) END"
+
+
+@query("q_crowding", f"""WITH {SCORED}, g AS (SELECT id, cell, {_GAP.format("loss1", "a")} AS g1, {_GAP.format("loss2", "b")} AS g2
   FROM scored WINDOW a AS (PARTITION BY cell ORDER BY loss1, id), b AS (PARTITION BY cell ORDER BY loss2, id), c AS (PARTITION BY cell))
-SELECT id, cell, round(g1 + g2, 6) AS crowding FROM g WHERE g1 IS NOT NULL AND g2 IS NOT NULL""")
+SELECT id, cell, round(g1 + g2, 6) AS crowding FROM g""")
 def _(s, d):
-    return r6(archive.crowding(scored(s, d), ["loss1", "loss2"]).filter("crowding < double('Infinity')"), "crowding").select("id", "cell", "crowding")
+    return r6(archive.crowding(scored(s, d), ["loss1", "loss2"]), "crowding").select("id", "cell", "crowding")
 
 
 @query("q_topk_cell", f"WITH {SCORED} SELECT id, cell, rank::INT AS rank FROM (SELECT id, cell, row_number() OVER (PARTITION BY cell ORDER BY loss1, loss2, id) AS rank FROM scored) WHERE rank <= 8")
@@ -257,10 +273,19 @@ def _(s, d):
     return archive.insert_fold(x)
 
 
-@query("q_cell_targets", f"WITH {SCORED}, o AS (SELECT n_columns % 8 AS x, n_rows % 8 AS y, count(*) AS n FROM scored WHERE id % 9 = 0 GROUP BY 1, 2) SELECT i::INT AS x, j::INT AS y, coalesce(n, 0)::BIGINT AS n FROM range(8) u(i) CROSS JOIN range(8) v(j) LEFT JOIN o ON o.x = i AND o.y = j")
+@query("q_cell_targets", f"WITH {SCORED}, o AS (SELECT n_columns AS x, n_rows // 4 AS y, count(*) AS n FROM scored GROUP BY 1, 2) SELECT i::INT AS x, j::INT AS y, coalesce(n, 0)::BIGINT AS n FROM range(16) u(i) CROSS JOIN range(32) v(j) LEFT JOIN o ON o.x = i AND o.y = j")
+def _(s, d):
+    o = scored(s, d).select(F.col("n_columns").cast("int").alias("x"), F.floor(F.col("n_rows") / 4).cast("int").alias("y"))
+    return archive.cell_targets(o, [16, 32])
+
+
+@query("q_bin_bounds", """WITH b AS (SELECT s_suppkey::BIGINT AS axis, (s_suppkey % 7 + 1)::DOUBLE AS low, (s_suppkey % 7 + 1 + s_suppkey % 90 + 5)::DOUBLE AS high, (s_suppkey % 6 + 2)::INT AS bins FROM supplier),
+x AS (SELECT *, unnest(range(bins))::INT AS bin FROM b)
+SELECT axis, bin, round(low * power(high / low, bin / bins::DOUBLE), 6) AS "from", round(low * power(high / low, (bin + 1) / bins::DOUBLE), 6) AS "to", round(low * power(high / low, (bin + 0.5e0) / bins::DOUBLE), 6) AS representative FROM x""")
 def _(s, d):
-    o = scored(s, d).filter("id % 9 = 0").select((F.col("n_columns") % 8).cast("int").alias("x"), (F.col("n_rows") % 8).cast("int").alias("y"))
-    return archive.cell_targets(o, [8, 8])
+    k = F.col("s_suppkey")
+    b = table(s, d, "supplier").select(k.cast("long").alias("axis"), (k % 7 + 1).cast("double").alias("low"), (k % 7 + 1 + k % 90 + 5).cast("double").alias("high"), (k % 6 + 2).cast("int").alias("bins"))
+    return r6(archive.bin_bounds(b, "low", "high", "bins", geometric=True), "from", "to", "representative").select("axis", "bin", "from", "to", "representative")
 
 
 @query("q_dedup_representative", f"""WITH {SCORED}, s AS (SELECT signature, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS sources FROM scored GROUP BY 1)
@@ -274,17 +299,42 @@ def _(s, d):
     return r6(selection.utilities(scored(s, d), ["coherence"], ["contrast"]), "utility").select("id", "utility")
 
 
-@query("q_quality_knee", f"""WITH {SCORED}, r AS (SELECT contrast * contrast AS q, (row_number() OVER (ORDER BY contrast * contrast DESC, id) - 1) / (count(*) OVER () - 1)::DOUBLE AS x,
-  (contrast * contrast - min(contrast * contrast) OVER ()) / (max(contrast * contrast) OVER () - min(contrast * contrast) OVER ()) AS y FROM scored) SELECT round(q, 6) AS floor FROM r ORDER BY 1 - x - y DESC, q DESC LIMIT 1""")
+def _knee_sql(quality: str) -> str:
+    return f"""WITH {SCORED}, o AS (SELECT {quality} AS q, row_number() OVER (ORDER BY {quality} DESC) - 1 AS i FROM scored),
+b AS (SELECT count(*) AS n, max(q) - min(q) AS span, min(q) AS lo, quantile_cont(q, 0.5) AS m FROM o),
+p AS (SELECT q, i, (q - lo) / nullif(span, 0) - 1 + i / nullif(n - 1, 0)::DOUBLE AS p FROM o, b WHERE i BETWEEN 1 AND n - 2),
+u AS (SELECT q AS uq, i AS ui, p AS up FROM p ORDER BY p DESC, i LIMIT 1), l AS (SELECT q AS lq, i AS li, -p AS lp FROM p ORDER BY p, i LIMIT 1),
+k AS (SELECT *, greatest(0, least(up, lp)) AS pr, coalesce(ui < li AND greatest(0, least(up, lp)) + 1e-12 >= 0.05e0, false) AS knee FROM b LEFT JOIN u ON true LEFT JOIN l ON true)
+SELECT round(CASE WHEN n < 8 THEN 0.5e0 ELSE greatest(0.5e0, least(0.85e0, CASE WHEN knee THEN (uq + lq) / 2 ELSE m END)) END, 6) AS floor,
+  CASE WHEN n < 8 THEN 'minimum' WHEN knee THEN 'knee' ELSE 'quantile' END AS source, n, round(span, 6) AS span, round(CASE WHEN n >= 8 AND knee THEN pr ELSE 0 END, 6) AS prominence FROM k"""
+
+
+_S_CURVE = "(tanh((contrast - 0.62e0) * 9e0) + 1e0) / 2e0"
+
+
+@query("q_quality_knee", _knee_sql(_S_CURVE))
 def _(s, d):
-    return r6(selection.quality_knee(scored(s, d).withColumn("quality", F.col("contrast") * F.col("contrast"))), "floor")
+    x = scored(s, d).withColumn("quality", (F.tanh((F.col("contrast") - 0.62) * 9.0) + 1.0) / 2.0)
+    return r6(selection.quality_knee(x), "floor", "span", "prominence")
 
 
-@query("q_evidence_first_round", f"""WITH {SCORED} SELECT id, round(greatest(contrast - 0.5e0, 0) / 0.5e0 * n_rows * n_columns - 0.25e0 * (
-  (lgamma(1001) - lgamma(n_rows + 1) - lgamma(1001 - n_rows)) / ln(2) + (lgamma(65) - lgamma(n_columns + 1) - lgamma(65 - n_columns)) / ln(2)), 4) AS net FROM scored""")
+@query("q_quality_quantile", _knee_sql("contrast * contrast"))
+def _(s, d):
+    return r6(selection.quality_knee(scored(s, d).withColumn("quality", F.col("contrast") * F.col("contrast"))), "floor", "span", "prominence")
+
+
+@query("q_evidence_first_round", f"""WITH {SCORED}, t AS (SELECT count(*) AS m FROM customer) SELECT id, round((greatest(contrast - 0.5e0, 0) / 0.5e0 - 0.5e0 * greatest(0.5e0 - contrast, 0) / 0.5e0) * n_rows * n_columns - 0.25e0 * (
+  (lgamma(m + 1) - lgamma(n_rows + 1) - lgamma(m + 1 - n_rows)) / ln(2) + (lgamma(65) - lgamma(n_columns + 1) - lgamma(65 - n_columns)) / ln(2)), 4) AS net FROM scored, t""")
 def _(s, d):
     x = scored(s, d).withColumn("quality", F.col("contrast"))
-    return selection.first_round_gain(x, 1000, 64).select("id", F.round("net", 4).alias("net"))
+    return selection.first_round_gain(x, table(s, d, "customer").count(), 64).select("id", F.round("net", 4).alias("net"))
+
+
+@query("q_evidence_cover")
+def _(s, d):
+    m = memberships(s, d)
+    quality = m["det_rows"].select("id").distinct().withColumn("quality", 0.6 + F.col("id") % 7 / 20.0)
+    return selection.evidence_cover(quality, m["det_rows"], m["det_columns"], table(s, d, "customer").count(), 12)
 
 
 @query("q_emitter_feedback", f"WITH {SCORED} SELECT generation AS emitter, count(*) AS evaluated, count(*) FILTER (violation <= 0) AS accepted, count(DISTINCT cell) AS cells, round(avg(contrast), 6) AS credit FROM scored GROUP BY 1")
@@ -392,8 +442,9 @@ def _(s, d):
 
 
 @query("q_chi_square", f"""WITH {_DOCS}, o AS (SELECT lang, source, toxic, count(*) AS o FROM docs GROUP BY 1, 2, 3), a AS (SELECT lang, source, count(*) AS rx FROM docs GROUP BY 1, 2), b AS (SELECT lang, toxic, count(*) AS ry FROM docs GROUP BY 1, 2),
-n AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS kx, count(DISTINCT toxic) AS ky FROM docs GROUP BY 1), x AS (SELECT lang, sum(o * o / (rx * ry)::DOUBLE) AS s FROM o JOIN a USING (lang, source) JOIN b USING (lang, toxic) GROUP BY 1)
-SELECT lang, round(n * (s - 1), 6) AS statistic, (kx - 1) * (ky - 1) AS degrees, round(sqrt(n * (s - 1) / (n * nullif(least(kx, ky) - 1, 0))), 6) AS cramers_v FROM x JOIN n USING (lang)""")
+n AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS kx, count(DISTINCT toxic) AS ky FROM docs GROUP BY 1),
+x AS (SELECT lang, sum(power(coalesce(o, 0) - rx * ry / n::DOUBLE, 2) / (rx * ry / n::DOUBLE)) AS s FROM a JOIN b USING (lang) JOIN n USING (lang) LEFT JOIN o USING (lang, source, toxic) GROUP BY 1)
+SELECT lang, round(s, 6) AS statistic, (kx - 1) * (ky - 1) AS degrees, round(sqrt(s / (n * nullif(least(kx, ky) - 1, 0))), 6) AS cramers_v FROM x JOIN n USING (lang)""")
 def _(s, d):
     return r6(statistics.chi_square(_docs(s, d), "lang", "source", "toxic"), "statistic", "cramers_v")
 

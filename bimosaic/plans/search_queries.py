@@ -75,12 +75,13 @@ def _(s, d):
     return search.mate_pool(pairs.select("a", "b"), pairs, members, 5)
 
 
-@query("q_least_occupied", f"""WITH {SCORED}, o AS (SELECT n_columns % 8 AS x, n_rows % 8 AS y, count(*) AS n FROM scored WHERE id % 9 = 0 GROUP BY 1, 2),
-t AS (SELECT i::INT AS x, j::INT AS y, coalesce(n, 0)::BIGINT AS n, ((i + j) % 3)::INT AS pattern FROM range(8) u(i) CROSS JOIN range(8) v(j) LEFT JOIN o ON o.x = i AND o.y = j)
+@query("q_least_occupied", f"""WITH {SCORED}, o AS (SELECT n_columns AS x, n_rows // 4 AS y, count(*) AS n FROM scored GROUP BY 1, 2),
+t AS (SELECT i::INT AS x, j::INT AS y, coalesce(n, 0)::BIGINT AS n, ((i + j) % 3)::INT AS pattern FROM range(2, 15) u(i) CROSS JOIN range(25) v(j) LEFT JOIN o ON o.x = i AND o.y = j)
 SELECT pattern, x, y, n FROM t QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY n, x, y) = 1""")
 def _(s, d):
-    o = scored(s, d).filter("id % 9 = 0").select((F.col("n_columns") % 8).cast("int").alias("x"), (F.col("n_rows") % 8).cast("int").alias("y"))
-    return search.least_occupied(archive.cell_targets(o, [8, 8]).withColumn("pattern", ((F.col("x") + F.col("y")) % 3).cast("int")), "pattern")
+    o = scored(s, d).select(F.col("n_columns").cast("int").alias("x"), F.floor(F.col("n_rows") / 4).cast("int").alias("y"))
+    targets = archive.cell_targets(o, [16, 32]).filter("x BETWEEN 2 AND 14 AND y < 25")
+    return search.least_occupied(targets.withColumn("pattern", ((F.col("x") + F.col("y")) % 3).cast("int")), "pattern")
 
 
 def _levels(high: str, name: str) -> str:

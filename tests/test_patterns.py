@@ -63,12 +63,22 @@ def test_golden_contrast(spark):
     assert contrast.constant_contrast_discrete(flags, rows, columns, fits).first()["contrast"] == 1.0
 
 
-@pytest.mark.parametrize(("labels", "expected"), [([0, 0, 0, 1], 1.0), ([0, 0, 0, 0], 0.5), ([0, 1, 0, 0], 0.25)])
-def test_categorical_separation(spark, labels, expected):
-    cells = codes(spark, labels)
-    rows, columns = candidate(spark, [0, 1], [0])
-    fits = fit.constant_fit_discrete(fit.submatrix(cells, rows, columns), prepare.frequencies(cells))
-    assert contrast.constant_contrast_discrete(cells, rows, columns, fits).first()["contrast"] == expected
+def test_categorical_separation_matches_brute_force(spark):
+    rng = np.random.default_rng(12)
+    for size, kinds in ((9, 2), (14, 3), (20, 5)):
+        labels = rng.integers(0, kinds, size).tolist()
+        inside = sorted(rng.choice(size, 4, replace=False).tolist())
+        cells = codes(spark, labels)
+        rows, columns = candidate(spark, inside, [0])
+        fits = fit.constant_fit_discrete(fit.submatrix(cells, rows, columns), prepare.frequencies(cells))
+        own = [labels[i] for i in inside]
+        mode = min(own, key=lambda x: (-own.count(x), x))
+        rest = [x for i, x in enumerate(labels) if i not in inside]
+        p, q = own.count(mode) / len(own), rest.count(mode) / len(rest)
+        room = 1 - q if p >= q else q  # to the largest possible change on that side
+        expected = (1 + (p - q) / room) / 2 if room else 0.5
+        got = contrast.constant_contrast_discrete(cells, rows, columns, fits).collect()
+        assert [r["contrast"] for r in got] == pytest.approx([expected])
 
 
 def test_mixed_coherence(spark):
@@ -104,14 +114,50 @@ def test_pareto_front_matches_brute_force(spark):
     assert out == {a[0] for a in rows if not dominated(a)}
 
 
-def test_archive_fold(spark):
-    rows = [(0, 0, "a", 0.2, 0.2), (0, 1, "b", 0.3, 0.3), (0, 2, "c", 0.1, 0.4), (0, 3, "a", 0.2, 0.2)]
-    df = spark.createDataFrame([(*r, 0.0, True) for r in rows], "cell long, sequence long, signature string, loss1 double, loss2 double, violation double, valid boolean")
-    got = {r["sequence"]: r["status"] for r in archive.insert_fold(df, 3).collect()}
-    assert got == {0: "INSERTED", 1: "REJECTED_DOMINATED", 2: "INSERTED", 3: "REJECTED_DUPLICATE"}
-    line = [(0, 0, "left", 0.1, 0.6), (0, 1, "middle", 0.2, 0.4), (0, 2, "right", 0.3, 0.1)]
-    df = spark.createDataFrame([(*r, 0.0, True) for r in line], df.schema)
-    assert {r["sequence"]: r["status"] for r in archive.insert_fold(df, 2).collect()} == {0: "INSERTED", 1: "EVICTED", 2: "INSERTED"}
+def brute_archive(rows, capacity):
+    """Outcome by sequence, by plain re-evaluation of each cell."""
+    better = lambda a, b: a["l1"] <= b["l1"] and a["l2"] <= b["l2"] and (a["l1"], a["l2"]) != (b["l1"], b["l2"])
+    cells, out = {}, {}
+    for r in rows:
+        own = cells.setdefault(r["cell"], [])
+        if any(x["sig"] == r["sig"] for x in own):
+            out[r["seq"]] = ("REJECTED_DUPLICATE", False, set())
+        elif any(better(x, r) for x in own):
+            out[r["seq"]] = ("REJECTED_DOMINATED", False, set())
+        else:
+            after = [x for x in own if not better(r, x)] + [r]
+            if len(after) > capacity:
+                score = []
+                for x in after:
+                    total = 0.0
+                    for loss in ("l1", "l2"):
+                        line = sorted(after, key=lambda y: (y[loss], y["sig"]))
+                        k, span = line.index(x), line[-1][loss] - line[0][loss]
+                        if span > 0:
+                            total += math.inf if k in (0, len(line) - 1) else (line[k + 1][loss] - line[k - 1][loss]) / span
+                    score.append(total)
+                worst = max((x["sig"] for x, t in zip(after, score) if t == min(score)))
+                after = [x for x in after if x["sig"] != worst]
+            gone = {x["seq"] for x in own} - {x["seq"] for x in after}
+            if r not in after:
+                out[r["seq"]] = ("REJECTED_CAPACITY", False, set())
+                continue
+            out[r["seq"]] = ("INSERTED_WITH_EVICTIONS" if gone else "INSERTED", not own, gone)
+            cells[r["cell"]] = after
+    return out, {x["seq"] for own in cells.values() for x in own}
+
+
+def test_archive_fold_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [{"cell": int(rng.integers(3)), "seq": i, "sig": f"s{rng.integers(60):02d}", "l1": float(x), "l2": float(12 - x + rng.integers(-2, 3))} for i, x in enumerate(rng.integers(0, 12, 150))]
+    schema = "cell long, sequence long, signature string, loss1 double, loss2 double, violation double, valid boolean"
+    data = [(r["cell"], r["seq"], r["sig"], r["l1"], r["l2"], 0.0, True) for r in rows] + [(None, 900, "o", 0.0, 0.0, 0.0, True), (1, 901, "v", 0.0, 0.0, 0.0, False)]
+    outcomes = archive.insert_fold(spark.createDataFrame(data, schema), 4)
+    got = {r["sequence"]: (r["status"], r["created_cell"], set(r["evicted"])) for r in outcomes.collect()}
+    expected, left = brute_archive(rows, 4)
+    assert got.pop(900)[0] == "REJECTED_OUT_OF_BOUNDS" and got.pop(901)[0] == "REJECTED_INVALID"
+    assert got == expected and {x[0] for x in expected.values()} == set(archive.STATUSES[:2] + archive.STATUSES[4:])
+    assert {r["sequence"] for r in archive.survivors(outcomes).collect()} == left
 
 
 def test_assignment_is_optimal():
@@ -131,11 +177,48 @@ def test_relevance_uses_independent_bests(spark):
     assert structure.relevance(b_rows.select("id").distinct(), structure.overlap(b_rows, a_rows, "row_index"), structure.overlap(b_rows, a_rows, "row_index")).first()["value"] == 0.5
 
 
-def test_evidence_cover_skips_copies(spark):
-    c = spark.createDataFrame([(0, 0.95), (1, 0.90), (2, 0.92)], "id long, quality double")
-    rows = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (2, 3)], "id long, row_index long")
-    columns = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1), (2, 1), (2, 2)], "id long, column_index int")
-    assert [i for i, _ in selection.evidence_cover(c, rows, columns)] == [0, 2]
+def test_evidence_cover_matches_brute_force(spark):
+    rng = np.random.default_rng(21)
+    n, m, floor = 40, 9, 0.5
+    rows = {i: sorted(rng.choice(n, rng.integers(6, 20), replace=False).tolist()) for i in range(14)}
+    columns = {i: sorted(rng.choice(m, rng.integers(2, 6), replace=False).tolist()) for i in range(14)}
+    rows[13], columns[13] = rows[0], columns[0]  # a copy of the first
+    quality = {i: 0.55 + 0.03 * i for i in range(13)} | {13: 0.5}
+    bits = lambda a, b: math.log2(math.comb(a, b))
+    cover, expected = {}, []
+    while True:
+        gains = []
+        for i in set(rows) - set(expected):
+            s = max(quality[i] - floor, 0) / (1 - floor)
+            own = [cover.get((r, c), 0.0) for r in rows[i] for c in columns[i]]
+            net = sum(max(s - x, 0) for x in own) - 0.5 * sum(min(s, x) for x in own) - 0.25 * (bits(n, len(rows[i])) + bits(m, len(columns[i])))
+            gains.append((net - 0.5 * len(own) * max(floor - quality[i], 0) / floor, quality[i], len(own), -i, s))
+        best = max(gains)
+        if best[0] <= 1.0:
+            break
+        expected.append(-best[3])
+        for r in rows[expected[-1]]:
+            for c in columns[expected[-1]]:
+                cover[r, c] = max(cover.get((r, c), 0.0), best[4])
+    frame = lambda members, name: spark.createDataFrame([(i, x) for i, v in members.items() for x in v], f"id long, {name} int")
+    got = selection.evidence_cover(spark.createDataFrame(list(quality.items()), "id long, quality double"), frame(rows, "row_index"), frame(columns, "column_index"), n, m)
+    assert [r["id"] for r in got.orderBy("rank").collect()] == expected and len(expected) > 2
+
+
+def test_quality_floor(spark):
+    floor = lambda q: selection.quality_knee(spark.createDataFrame([(float(x),) for x in q], "quality double")).first()
+    assert floor([0.9] * 3)["source"] == "minimum" and floor([])["floor"] == 0.5
+    assert floor([0.7] * 20)[:2] == (0.7, "quantile")
+    two = [0.9 - 0.001 * k for k in range(20)] + [0.6 - 0.001 * k for k in range(20)]
+    r = floor(two)
+    assert r["source"] == "knee" and r["floor"] == pytest.approx((two[19] + two[20]) / 2)
+
+
+def test_chi_square_of_independent_variables_is_zero(spark):
+    x = spark.createDataFrame([(g, a, b) for g in (0, 1) for a in range(3) for b in range(2) for _ in range((a + 1) * (b + 2))], "g int, a int, b int")
+    assert [tuple(r)[1:] for r in statistics.chi_square(x, "g", "a", "b").collect()] == [(0.0, 2, 0.0)] * 2
+    y = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], x.schema)
+    assert statistics.chi_square(y, "g", "a", "b").first()["statistic"] == pytest.approx(2.0)
 
 
 def test_tail_probabilities():
