@@ -3,15 +3,17 @@
 Matches of one pattern are cut out of a text, permuted under a key and put back. The permutation is a Feistel network inside the
 format of the match, so different values stay different, equal values stay equal in all documents, and the text keeps its shape:
 
-card, account   13 to 19 digits, blanks and hyphens in place: all but the last digit are permuted; the last keeps its distance
-                to the Luhn check digit, so valid numbers stay valid and others stay invalid
-phone, ssn      digits permuted, all other characters (and a country code) in place
+card, account   13 to 19 digits, in one run or in the usual groups, whose last digit is the Luhn check digit: all but the last are
+                permuted, and the last is the check digit of the new number
+phone           digits permuted, all other characters (and a country code) in place
+ssn             a number of an area, group and serial that exist, permuted among these
 ip              four octets up to 255, permuted as a 32-bit number
 date            a real calendar day of 1900 to 2099, permuted among these days, year-month-day or day/month/year as written
 key             32 to 64 hexadecimal digits, permuted as such
 email           letters and digits of the local part permuted within their kinds
 
-Numbers that only look like an address or a day (an octet over 255, a 13th month) are left alone.
+What only looks like such a value (a number that fails its check digit, an octet over 255, a 13th month, an area 000, 666 or from
+900 on) is left alone and not counted. The key is a secret of the caller.
 
 Defined cases: null text stays null and empty text empty, with nothing found; texts without a digit or @ are passed
 over; repeated rows are changed alike; an empty table gives an empty result. ``pseudonymize`` keeps all columns of its input and adds ``pii_found``
@@ -23,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "corpus-key-1"
 ROUNDS = 8
 
 DIGITS, HEX = "0123456789", "0123456789abcdef"
@@ -37,7 +38,7 @@ PATTERNS = {
     "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9])",
     "phone": r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "number": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "number": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
 }
 ANY = "|".join(PATTERNS[k] for k in PATTERNS)
 
@@ -94,8 +95,8 @@ def _number(v: Column, key: str) -> Column:
     n = F.length(plain)
     body = F.substring(plain, F.lit(1), n - 1)
     new = permute_text(body, key, "number", (DIGITS,))
-    last = F.pmod(luhn_digit(new) + F.substring(plain, n, F.lit(1)).cast("int") - luhn_digit(body), F.lit(10))
-    digits = F.concat(new, last.cast("string"))
+    valid = F.substring(plain, n, F.lit(1)).cast("int") == luhn_digit(body)
+    digits = F.concat(new, luhn_digit(new).cast("string"))
     # The n-th digit of the match takes the n-th new digit; blanks and hyphens stay.
     chars = F.filter(F.split(v, ""), lambda c: c != "")
     placed = F.aggregate(
@@ -103,7 +104,15 @@ def _number(v: Column, key: str) -> Column:
         lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(digits, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))),
         lambda s: s["out"],
     )
-    return F.when(v.rlike("^[0-9]+$"), digits).otherwise(placed)
+    return F.when(~valid, v).when(v.rlike("^[0-9]+$"), digits).otherwise(placed)
+
+
+def _ssn(v: Column, key: str) -> Column:
+    exists = lambda x: x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+    # Permuted again until the number exists, which keeps the permutation within those.
+    again = lambda s, _: F.when(exists(s), s).otherwise(permute_text(s, key, "ssn", (DIGITS,)))
+    new = F.aggregate(F.array(*map(F.lit, range(20))), permute_text(v, key, "ssn", (DIGITS,)), again)
+    return F.when(exists(v) & exists(new), new).otherwise(v)
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -135,21 +144,25 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(permute_text(local, key, "email", (DIGITS, LOWER, UPPER)), F.substring(v, F.length(local) + 1, F.length(v)))
 
 
-def pseudonym(v: Column, key: str = KEY) -> Column:
+def pseudonym(v: Column, key: str) -> Column:
     """What stands in for a match."""
     whole = lambda name: v.rlike(f"^(?:{PATTERNS[name]})$")
     return (
         F.when(v.contains("@"), _email(v, key)).when(whole("key"), permute_text(v, key, "key", (HEX,))).when(whole("ip"), _ip(v, key))
-        .when(whole("date"), _date(v, key)).when(whole("phone"), _phone(v, key)).when(whole("ssn"), permute_text(v, key, "ssn", (DIGITS,))).otherwise(_number(v, key))
+        .when(whole("date"), _date(v, key)).when(whole("phone"), _phone(v, key)).when(whole("ssn"), _ssn(v, key)).otherwise(_number(v, key))
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with the personal data of ``text`` replaced, and ``pii_found``, the number of matches."""
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the personal data of ``text`` replaced, and ``pii_found``, the number of values replaced."""
     has = F.col("text").rlike("[0-9@]")
     found = F.when(has, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    new = F.concat(F.transform("__found", lambda v: pseudonym(v, key)), F.array(F.lit("")))
-    pieces = F.zip_with(F.split("text", ANY, -1), new, lambda a, b: F.concat(a, b))
+    names = [c for c in docs.columns if c not in ("text", "pii_found")]
+    row = F.struct(*names).alias("__row") if names else F.lit(None).alias("__row")
+    rows = docs.select(row, "text", F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
+    rows = rows.withColumn("__new", F.transform("__found", lambda v: pseudonym(v, key)))
+    pieces = F.zip_with(F.split("text", ANY, -1), F.concat("__new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     text = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("pii_found", F.size("__found").cast("long")).drop("__found")
+    changed = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda p: p["__found"] != p["__new"])).cast("long")
+    own = [text.alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != "pii_found"]
+    return rows.select(*own, changed.alias("pii_found"))
