@@ -150,6 +150,15 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
+def test_chat_parser_is_strict(spark):
+    read = lambda x: spark.range(1).select(chat.parse(F.lit(x))).first()[0]
+    assert [tuple(t) for t in read("### user:\na\\\\b</turn>\n")] == [("user", "a\\b")]
+    assert read("no head</turn>\n") == [None] and read("### u:\na ### b</turn>\n") == [None] and read("### u:\na</turn>b</turn>\n") == [None]
+    odd = spark.createDataFrame([(None, 1, None, "x"), (None, 1, None, "x"), (5, 0, "user", "long " * 300_000)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_conversations(odd).collect()}
+    assert got[None]["n_turns"] == 2 and got[5]["round_trip"] and len(got[5]["formatted"]) > 1_500_000
+
+
 # quality
 
 
@@ -216,6 +225,23 @@ def test_rule_statistics_match_brute_force():
     assert rules.statistics(None)[0] == 0
 
 
+def test_path_lengths_match_a_walk_by_hand():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(90, 3))
+    forest = rules.Forest(x, x.min(0), x.max(0), trees=7, sample=32, depth=5)
+    by_hand = []
+    for row in np.concatenate([x[:20], x[:1] + 50]):
+        total = 0.0
+        for t in forest.trees:
+            k = 0
+            while t[k][0] >= 0:
+                k = int(t[k][3] if row[int(t[k][0])] >= t[k][1] else t[k][2])
+            total += t[k][4]
+        by_hand.append(2 ** (-total / 7 / forest.unit))
+    assert forest.score(np.concatenate([x[:20], x[:1] + 50])) == pytest.approx(by_hand)
+    assert by_hand[-1] > np.mean(by_hand[:-1])
+
+
 def test_rules_keep_clean_and_drop_junk(spark):
     texts, labels = clean_and_junk(200)
     docs = frame(spark, texts + ["short", None])
@@ -339,7 +365,7 @@ def test_mixing_meets_targets_to_the_word(spark):
 # personal data
 
 
-PRIVATE = ["4465758382889437", "4111 1111 1111 1111", "+1 (323) 555-9830", "233.171.252.9", "anna.b50@mail6.example.com", "aebccd4559894937c75946a5f6a3ed5b13ef9ee9", "123-45-6789", "1999-12-31", "31/12/1999"]
+PRIVATE = ["4012888888881881", "4111 1111 1111 1111", "+1 (323) 555-9830", "233.171.252.9", "anna.b50@mail6.example.com", "aebccd4559894937c75946a5f6a3ed5b13ef9ee9", "123-45-6789", "1999-12-31", "31/12/1999"]
 
 
 def luhn(v):
@@ -348,17 +374,17 @@ def luhn(v):
 
 
 def test_pseudonyms_keep_format_and_links(spark):
-    docs = frame(spark, [f"see {v}, or {v} now" for v in PRIVATE] + ["call " + PRIVATE[2], None, "", "no data 12 of 1999-13-45 at 300.1.1.1"])
-    out = {r["doc_id"]: r for r in pii.pseudonymize(docs).collect()}
+    docs = frame(spark, [f"see {v}, or {v} now" for v in PRIVATE] + ["call " + PRIVATE[2], None, "", "no data 12 of 1999-13-45 at 300.1.1.1, 4012888888881882 or 900-12-3456"])
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs, "secret").collect()}
     n = len(PRIVATE)
     for i, v in enumerate(PRIVATE):
         a, b = re.fullmatch(r"see (.*), or (.*) now", out[i]["text"]).groups()
         assert a == b != v and v not in out[i]["text"] and out[i]["pii_found"] == 2
         assert re.sub("[0-9]", "0", re.sub("[a-z]", "a", a)) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", v)) or i in (3, 5)
         if i < 2:
-            assert (luhn(a) - luhn(v)) % 10 == 0
+            assert luhn(a) % 10 == luhn(v) % 10 == 0
     assert out[n]["text"][5:] == re.fullmatch(r"see (.*), or .* now", out[2]["text"]).group(1)
-    assert out[n + 1]["text"] is None and out[n + 2]["text"] == "" and out[n + 3]["text"] == "no data 12 of 1999-13-45 at 300.1.1.1"
+    assert out[n + 1]["text"] is None and out[n + 2]["text"] == "" and out[n + 3]["text"] == docs.collect()[n + 3]["text"] and out[n + 3]["pii_found"] == 0
     pd.to_datetime(re.search("see (.*), or", out[7]["text"]).group(1), format="%Y-%m-%d")
 
 
@@ -368,6 +394,34 @@ def test_permutations_are_one_to_one(spark):
     assert df.agg(F.count_distinct("a"), F.count_distinct("b"), F.count_distinct("c")).first()[:] == (3000, 3000, 3000)
 
 
+def feistel(value: str, key: str, kind: str, alphabets) -> str:
+    """The permutation, digit by digit."""
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+
+    def add(text, turn, other):
+        digest = hashlib.sha256(f"{key}|{kind}|{turn}|{other}".encode()).digest()
+        out = ""
+        for i, c in enumerate(text):
+            own = next((x for x in alphabets if c in x), None)
+            out += own[(own.index(c) + digest[i % 32]) % len(own)] if own else c
+        return out
+
+    for turn in range(pii.ROUNDS):
+        a, b = (add(a, turn, b), b) if turn % 2 == 0 else (a, add(b, turn, a))
+    return a + b
+
+
+def test_pseudonyms_match_a_plain_feistel_network(spark):
+    values = [("555-0123-99", "phone", (pii.DIGITS,)), ("deadbeef" * 4, "key", (pii.HEX,)), ("Ann.b+7", "email", (pii.DIGITS, pii.LOWER, pii.UPPER)), ("7", "x", (pii.DIGITS,))]
+    for v, kind, alphabets in values:
+        got = spark.range(1).select(pii.permute_text(F.lit(v), "k2", kind, alphabets)).first()[0]
+        assert got == feistel(v, "k2", kind, alphabets)
+    body = feistel("411111111111111", "k2", "number", (pii.DIGITS,))
+    got = spark.range(1).select(pii.pseudonym(F.lit("4111 1111 1111 1111"), "k2")).first()[0]
+    assert got.replace(" ", "")[:15] == body and luhn(got) % 10 == 0 and [len(x) for x in got.split()] == [4] * 4
+    assert pii.pseudonymize(frame(spark, []), "k").collect() == []
+
+
 # language
 
 
