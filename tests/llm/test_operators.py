@@ -95,6 +95,31 @@ def test_near_duplicates_of_a_star(spark):
     assert got[1200] == 0 and got[1201] == 1201 and len(lost) <= 6, lost  # the paths' own recall
 
 
+def test_twins_of_one_template_are_found(spark):
+    r, words_, texts = random.Random(1), 600, []
+    for p in range(150):  # twins share 5 of the 13 words that each replaces: 0.763, and about 0.67 to all others
+        common = r.sample(range(words_), 5)
+        for side in "ab":
+            t = [f"w{k}" for k in range(words_)]
+            for k in common:
+                t[k] = f"c{p}x{k}"
+            for k in r.sample([k for k in range(words_) if k not in common], 8):
+                t[k] = f"{side}{p}x{k}"
+            texts.append(" ".join(t))
+    expected = brute_components(brute_sets(texts))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert sum(got[i] == expected[i] for i in got) >= 0.99 * len(texts)
+
+
+def test_near_duplicates_without_ids_and_with_two_texts_of_one_id(spark):
+    one, other, lone = words(31, 60), words(32, 60), words(33, 60)
+    rows = [(None, one), (None, lone), (8, one + " x"), (5, other), (5, one + " y"), (9, other + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(collect(near_dedup.near_duplicates(docs), "doc_id", "component_id", "kept"), key=str)
+    assert got == sorted([(None, 5, False), (None, None, True), (8, 5, False), (5, 5, True), (5, 5, True), (9, 5, False)], key=str)
+    assert sorted((str(r["doc_id"]) for r in near_dedup.keep_one(docs).collect())) == ["5", "5", "None", "None"]
+
+
 def test_pairs_in_large_nodes_survive_branching(spark):
     r, n = np.random.default_rng(7), near_dedup.PATH_TOKENS
     hot = lambda: np.where(r.random((2000, n)) < 0.85, np.uint32(0), r.integers(1, 1 << 32, (2000, n), dtype=np.uint32))
