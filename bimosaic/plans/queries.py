@@ -640,4 +640,4 @@ def _(s, d):
     return results.cached_cases(o.select("fingerprint"), o.filter("o_orderstatus = 'O'")).select("fingerprint")
 
 
-from . import search_queries, seed_queries  # noqa: E402, F401  these register their queries here
+from . import move_queries, search_queries, seed_queries  # noqa: E402, F401  these register their queries here
