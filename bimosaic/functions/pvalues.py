@@ -48,6 +48,40 @@ def chi_square_tail(x: float, k: float) -> float:
     return front * h
 
 
+def signed_rank_tail(n: int, w: int) -> float:
+    """Two-sided exact p of a signed-rank sum ``w`` of n ranks without ties: all 2 ** n choices of signs counted by sum."""
+    counts = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for s in range(len(counts) - 1, rank - 1, -1):
+            counts[s] += counts[s - rank]
+    low = min(w, len(counts) - 1 - w)
+    return min(1.0, 2 * sum(counts[: low + 1]) / 2**n)
+
+
+def rank_sum_tail(n1: int, n2: int, u: int) -> float:
+    """Two-sided exact p of a Mann-Whitney ``u`` without ties: the choices of n1 ranks counted by u (coefficients of a Gaussian binomial)."""
+    counts = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for s in range(len(counts) - 1, n2 + i - 1, -1):
+            counts[s] -= counts[s - n2 - i]
+        for s in range(i, len(counts)):
+            counts[s] += counts[s - i]
+    low = min(u, n1 * n2 - u)
+    return min(1.0, 2 * sum(counts[: low + 1]) / math.comb(n1 + n2, n1))
+
+
+@F.pandas_udf(T.DoubleType())
+def signed_rank(n: pd.Series, w: pd.Series) -> pd.Series:
+    """Null where w is null."""
+    return pd.Series([None if pd.isna(b) else signed_rank_tail(int(a), round(b)) for a, b in zip(n, w, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_sum(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    """Null where u is null."""
+    return pd.Series([None if pd.isna(c) else rank_sum_tail(*sorted((int(a), int(b))), round(c)) for a, b, c in zip(n1, n2, u, strict=True)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_exact(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)

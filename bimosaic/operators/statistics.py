@@ -24,7 +24,7 @@ def fisher(tables: DataFrame) -> DataFrame:
     return tables.withColumn("odds_ratio", odds).withColumn("p_value", pvalues.fisher("a", "b", "c", "d"))
 
 
-def mann_whitney(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
+def mann_whitney(df: DataFrame, group: str, member: str, value: str, with_ties: bool = False) -> DataFrame:
     """group, n1, n2, u, rank_biserial, median_in, median_out; average ranks from counts per value, so ties need no big peer group."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_if(F.col(member) == 1).alias("m"), F.count(F.lit(1)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -36,7 +36,15 @@ def mann_whitney(df: DataFrame, group: str, member: str, value: str) -> DataFram
     z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)) / F.sqrt(var)
     m = df.groupBy(group).agg(F.median(F.when(F.col(member) == 1, F.col(value))).alias("median_in"), F.median(F.when(F.col(member) == 0, F.col(value))).alias("median_out"))
     out = s.withColumn("rank_biserial", 2 * F.col("u") / F.nullif(F.col("n1") * F.col("n2"), F.lit(0)) - 1).withColumn("z", z).join(m, group)
-    return out.select(group, "n1", "n2", "u", "rank_biserial", "z", "median_in", "median_out")
+    return out.select(group, "n1", "n2", "u", "rank_biserial", "z", "median_in", "median_out", *(["ties"] if with_ties else []))
+
+
+def mann_whitney_p(df: DataFrame, group: str, member: str, value: str, small: int = 8, most: int = 10_000) -> DataFrame:
+    """``mann_whitney`` with p_value: exact without ties where the smaller side has at most ``small`` values and n1 * n2 is at most ``most``,
+    else by the normal approximation with continuity correction; null where a side is empty or all values are equal."""
+    x = mann_whitney(df, group, member, value, with_ties=True)
+    exact = (F.col("ties") == 0) & (F.least("n1", "n2").between(1, small)) & (F.col("n1") * F.col("n2") <= most)
+    return x.withColumn("p_value", F.coalesce(pvalues.rank_sum("n1", "n2", F.when(exact, F.col("u"))), pvalues.normal_two_sided("z"))).drop("ties")
 
 
 def chi_square(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
@@ -95,13 +103,29 @@ def holm(p: DataFrame, key: str, family: str | None = None) -> DataFrame:
     return r.withColumn("adjusted", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__s")
 
 
-def wilcoxon(deltas: DataFrame, group: str, delta: str) -> DataFrame:
+def log_rank_p(df: DataFrame, time: str, event: str, member: str, group: str) -> DataFrame:
+    """``log_rank`` with p_value, chi-square with one degree; null without variance."""
+    return log_rank(df, time, event, member, group).withColumn("p_value", pvalues.chi_square("statistic", F.lit(1)))
+
+
+def wilcoxon_p(deltas: DataFrame, group: str, delta: str, small: int = 50) -> DataFrame:
+    """``wilcoxon`` with p_value: exact without ties for at most ``small`` differences, else by the normal approximation with tie correction."""
+    x = wilcoxon(deltas, group, delta, with_ties=True)
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)
+    exact = F.when((F.col("ties") == 0) & (F.col("n") <= small), F.col("w_plus"))
+    return x.withColumn("z", z).withColumn("p_value", F.coalesce(pvalues.signed_rank("n", exact), pvalues.normal_two_sided("z"))).drop("ties")
+
+
+def wilcoxon(deltas: DataFrame, group: str, delta: str, with_ties: bool = False) -> DataFrame:
     """group, n, w_plus, w_minus, rank_biserial of the signed ranks; zero differences are left out, ties share average ranks."""
     d = deltas.filter(F.abs(delta) > 1e-8).withColumn("__a", F.round(F.abs(delta), 12))
     counts = d.groupBy(group, "__a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(delta) > 0).alias("plus"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
-    out = r.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("n") - F.col("plus")) * F.col("rank")).alias("w_minus"))
+    out = r.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("n") - F.col("plus")) * F.col("rank")).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
+    out = out if with_ties else out.drop("ties")
     return out.withColumn("rank_biserial", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
 
 

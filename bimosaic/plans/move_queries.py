@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fit, grouping, moves, prepare
 from ..streaming import observers
+from ..sources import bundle
 from . import results
 from .inputs import CUST, EMB, MEMBERS, SCORED, customer_cells, embedding_cells, label_candidates, memberships, scored, table
 from .queries import query, r6
@@ -277,3 +278,14 @@ def _(s, d):
     )
     supports = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("column_index")).agg(F.count(F.lit(1)).alias("support"))
     return results.feasible_shapes(wanted, supports)
+
+
+@query("q_bundle_faults", """WITH c AS (SELECT l_orderkey AS row_index, l_linenumber AS column_index, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS num, CASE WHEN l_linenumber IN (3, 4) THEN l_suppkey % 6 END AS code FROM lineitem),
+k AS (SELECT * FROM (VALUES (1, 'numeric', NULL), (2, 'numeric', NULL), (3, 'discrete', 4), (4, 'discrete', 9)) t(column_index, kind, labels)), x AS (SELECT * FROM c LEFT JOIN k USING (column_index))
+SELECT count(*) FILTER (row_index >= 1000) AS bad_rows, count(*) FILTER (kind IS NULL) AS bad_columns, count(*) FILTER ((num IS NOT NULL AND kind <> 'numeric') OR (code IS NOT NULL AND kind <> 'discrete')) AS bad_kinds,
+  count(*) FILTER (kind = 'discrete' AND code >= labels) AS bad_codes, count(*) FILTER (isinf(num) OR isnan(num)) AS not_finite, count(*) - (SELECT count(*) FROM (SELECT DISTINCT row_index, column_index FROM c)) AS repeated FROM x""")
+def _(s, d):
+    n = F.col("l_linenumber")
+    cells = table(s, d, "lineitem").select(F.col("l_orderkey").alias("row_index"), n.alias("column_index"), F.when(n != 3, F.col("l_quantity")).cast("double").alias("num"), F.when(n.isin(3, 4), F.col("l_suppkey") % 6).cast("int").alias("code"))
+    columns = s.createDataFrame([(1, "numeric", None), (2, "numeric", None), (3, "discrete", ["a", "b", "c", "d"]), (4, "discrete", list("abcdefghi"))], "column_index int, kind string, categories array<string>")
+    return bundle.faults(cells, columns, 1000)

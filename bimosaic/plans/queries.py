@@ -437,8 +437,17 @@ def _(s, d):
 
 @query("q_mann_whitney_p")
 def _(s, d):
-    x = statistics.mann_whitney(_docs(s, d), "lang", "quality", "n_chars")
-    return x.select("lang", F.round(pvalues.normal_two_sided("z"), 6).alias("p_value"))
+    return r6(statistics.mann_whitney_p(_docs(s, d), "lang", "quality", "n_chars").select("lang", "p_value"), "p_value")
+
+
+@query("q_log_rank_p")
+def _(s, d):
+    return r6(statistics.log_rank_p(_surv(s, d), "t", "e", "m", "grp").select("grp", "p_value"), "p_value")
+
+
+@query("q_wilcoxon_p")
+def _(s, d):
+    return r6(statistics.wilcoxon_p(statistics.paired_deltas(_res(s, d), ["dataset"], "variant", "1-URGENT", "value"), "variant", "delta").select("variant", "n", "p_value"), "p_value")
 
 
 @query("q_chi_square", f"""WITH {_DOCS}, o AS (SELECT lang, source, toxic, count(*) AS o FROM docs GROUP BY 1, 2, 3), a AS (SELECT lang, source, count(*) AS rx FROM docs GROUP BY 1, 2), b AS (SELECT lang, toxic, count(*) AS ry FROM docs GROUP BY 1, 2),
