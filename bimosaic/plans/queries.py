@@ -130,6 +130,21 @@ def q_evaluate_constant(s, d):
     return r6(evaluate.evaluate_constant(cells, rows, columns, stats, max_coherence=0.25), "coherence", "contrast", "size", "violation")
 
 
+_MANY = _EVAL.replace("SELECT label::BIGINT AS candidate, vec_id::BIGINT AS row_index FROM embeddings", "SELECT DISTINCT ((vec_id * 37 + k * 101) % 1000)::BIGINT AS candidate, vec_id::BIGINT AS row_index FROM embeddings, range(20) t(k)")
+_MANY = _MANY.replace("SELECT (c % 10)::BIGINT AS candidate, c::INT AS column_index FROM range(64) t(c)", "SELECT i::BIGINT AS candidate, ((i * 7 + k * 11) % 64)::INT AS column_index FROM range(1000) u(i), range(6) t(k)")
+
+
+@query("q_evaluate_thousand", _MANY)
+def q_evaluate_thousand(s, d):
+    """A thousand overlapping candidates in one plan."""
+    cells, k = embedding_cells(s, d), F.col("k")
+    rows = table(s, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    rows = rows.select(((F.col("vec_id") * 37 + k * 101) % 1000).cast("long").alias("candidate"), F.col("vec_id").cast("long").alias("row_index")).distinct()
+    columns = s.range(1000).select(F.col("id").alias("candidate"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    columns = columns.select("candidate", ((F.col("candidate") * 7 + k * 11) % 64).cast("int").alias("column_index"))
+    return r6(evaluate.evaluate_constant(cells, rows, columns, prepare.column_stats(cells), max_coherence=0.25), "coherence", "contrast", "size", "violation")
+
+
 @query("q_fit_constant_discrete", f"WITH {FITD} SELECT candidate, column_index, mode::INT AS mode, round(error, 6) AS error, support::BIGINT AS support FROM fits")
 def _(s, d):
     cells = customer_cells(s, d)

@@ -231,3 +231,30 @@ def test_multiplicity(spark):
     p = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.20)], "id long, p_value double")
     assert [r["q_value"] for r in statistics.benjamini_hochberg(p, "id").orderBy("id").collect()] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.2])
     assert [r["adjusted"] for r in statistics.holm(p, "id").orderBy("id").collect()] == pytest.approx([0.04, 0.09, 0.09, 0.2])
+
+
+def test_contrast_against_all_pairs(spark):
+    """Ties, missing values, large magnitudes and more values than ranges: the chance by every pair of rows inside and outside."""
+    rng = np.random.default_rng(4)
+    columns = [np.round(rng.normal(size=700), 2), rng.integers(0, 4, 700).astype(float), np.round(rng.normal(size=700), 2) * 1e6, np.r_[np.full(500, 7.0), rng.normal(size=200)]]
+    columns = [[None if rng.random() < 0.1 else float(v) for v in c] for c in columns]
+    cells = numeric(spark, *columns)
+    members = {k: sorted(rng.choice(700, size, replace=False).tolist()) for k, size in ((0, 40), (1, 300), (2, 699))}
+    rows = spark.createDataFrame([(k, r) for k, m in members.items() for r in m], "candidate long, row_index long")
+    chosen = spark.createDataFrame([(k, c) for k in members for c in range(4)], "candidate long, column_index int")
+    fits = fit.constant_fit_numeric(fit.submatrix(cells, rows, chosen), prepare.column_stats(cells)).cache()
+    parameter = {(r["candidate"], r["column_index"]): r["parameter"] for r in fits.collect()}
+    got = {(r["candidate"], r["column_index"]): (r["contrast"], r["valid"]) for r in contrast.constant_contrast_numeric(cells, rows, chosen, fits).collect()}
+    assert set(got) == set(parameter) and len(got) == 12
+    for (k, c), p in parameter.items():
+        inside = [abs(v - p) for r, v in enumerate(columns[c]) if v is not None and r in set(members[k])]
+        outside = [abs(v - p) for r, v in enumerate(columns[c]) if v is not None and r not in set(members[k])]
+        if len(outside) < 2:
+            assert got[k, c] == (0.0, False)
+            continue
+        tie = 1e-12 if c != 2 else 1e-8
+        expected = np.mean([1.0 if b > a + tie else 0.5 if abs(a - b) <= tie else 0.0 for a in inside for b in outside])
+        assert got[k, c][1] and got[k, c][0] == pytest.approx(expected, abs=1e-12)
+    long = [(k, c, None if v is None else abs(v - parameter[k, c]), int(r in set(members[k]))) for k, c in parameter for r, v in enumerate(columns[c]) if c != 2]
+    again = contrast.residual_auc(spark.createDataFrame(long, "candidate long, column_index int, r double, local long")).filter("n_background > 1").collect()
+    assert len(again) >= 6 and all(r["auc"] == pytest.approx(got[r["candidate"], r["column_index"]][0], abs=1e-12) for r in again)
