@@ -51,15 +51,16 @@ def best_columns(fits: DataFrame, size: int, maximum: float = 1.0) -> DataFrame:
     return _smallest(fits.filter(F.col("error") <= maximum), "column_index", [F.round("error", 9)], F.lit(size)).select("candidate", "column_index", "error")
 
 
-def combine(pairs: DataFrame, members: DataFrame, element: str, how: str) -> DataFrame:
-    """candidate, element of offspring (candidate, a, b): union, intersection, difference or symmetric difference of two parents' members.
-
-    One equi-join and one grouping; a parent's members are never gathered into an array.
-    """
+def _held(pairs: DataFrame, members: DataFrame, element: str) -> DataFrame:
+    """candidate, element, in_a, in_b of what either parent (candidate, a, b) holds; a parent's members are never gathered into an array."""
     sides = pairs.select("candidate", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")), F.struct(F.col("b").alias("id"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))).alias("s"))
-    held = sides.select("candidate", "s.*").join(members, "id").groupBy("candidate", element).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    return sides.select("candidate", "s.*").join(members, "id").groupBy("candidate", element).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+
+
+def combine(pairs: DataFrame, members: DataFrame, element: str, how: str) -> DataFrame:
+    """candidate, element of offspring (candidate, a, b): union, intersection, difference or symmetric difference of two parents' members."""
     keep = {"union": "in_a + in_b > 0", "intersection": "in_a + in_b = 2", "difference": "in_a = 1 AND in_b = 0", "symmetric": "in_a + in_b = 1"}[how]
-    return held.filter(keep).select("candidate", element)
+    return _held(pairs, members, element).filter(keep).select("candidate", element)
 
 
 def crossover(pairs: DataFrame, members: DataFrame, element: str, seed: str = "cross-1") -> DataFrame:
@@ -69,6 +70,38 @@ def crossover(pairs: DataFrame, members: DataFrame, element: str, seed: str = "c
     return both.unionByName(one)
 
 
+def half_uniform(pairs: DataFrame, members: DataFrame, element: str, rate: float = 0.5, seed: str = "half-1") -> DataFrame:
+    """The first parent's members; each element that one parent alone has changes sides with probability ``rate``."""
+    keep = F.when(F.col("in_a") == F.col("in_b"), True).otherwise((F.col("in_a") == 1) != (draw(seed, "candidate", element) < rate))
+    return _held(pairs, members, element).filter(keep).select("candidate", element)
+
+
+def recombine(
+    pairs: DataFrame, members: DataFrame, element: str, minimum: int = 2, maximum: int | None = None, rate: float = 0.5, losses: DataFrame | None = None, seed: str = "mix-1"
+) -> DataFrame:
+    """Recombination: a size between the parents' sizes, within ``minimum`` and ``maximum``, is drawn; what both parents have comes
+    first, the rest from what one of them has. A candidate drawn above ``rate`` repeats its first parent.
+
+    Without ``losses`` all draws are even, also among shared elements where they exceed the size. With ``losses`` (candidate,
+    element, loss) shared elements all stay and the others come by weighted draws without replacement, 0.05 + (1 - loss) each,
+    a missing or infinite loss counting 1.
+    """
+    held = _held(pairs, members, element)
+    n = held.groupBy("candidate").agg(F.sum("in_a").alias("na"), F.sum("in_b").alias("nb"), F.count(F.lit(1)).alias("nu"))
+    low = F.greatest(F.lit(minimum), F.least("na", "nb"))
+    high = F.greatest(low, F.least(F.greatest("na", "nb"), "nu", F.lit(maximum) if maximum else F.col("nu")))
+    n = n.withColumn("size", low + F.floor(draw(seed + ":size", "candidate") * (high - low + 1))).withColumn("mixed", draw(seed + ":apply", "candidate") < rate)
+    x = held.join(n.select("candidate", "size", "mixed"), "candidate").withColumn("u", draw(seed, "candidate", element))
+    both = F.col("in_a") + F.col("in_b") == 2
+    if losses is not None:
+        loss = F.when(F.abs("loss") < float("inf"), F.col("loss"))  # NaN is above infinity
+        x = x.join(losses.select("candidate", element, "loss"), ["candidate", element], "left")
+        x = x.withColumn("u", -F.log1p(-F.col("u")) / (0.05 + F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.coalesce(loss, F.lit(1.0))))))
+    rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc(both), "u", element))
+    keep = F.when(F.col("mixed"), (F.col("rank") <= F.col("size")) | (both if losses is not None else F.lit(False))).otherwise(F.col("in_a") == 1)
+    return x.withColumn("rank", rank).filter(keep).select("candidate", element)
+
+
 def flip(members: DataFrame, universe: DataFrame, element: str, rate: float | Column, seed: str = "flip-1") -> DataFrame:
     """Bit-flip mutation: each (candidate, element) of ``universe`` changes sides with probability ``rate`` (a number, or a column of ``universe``)."""
     flips = universe.filter(draw(seed, "candidate", element) < rate).select("candidate", element)

@@ -62,6 +62,35 @@ def _(s, d):
     return seeds.crossover(pairs, members, "row_index")
 
 
+@query("q_half_uniform", f"WITH {HELD} SELECT candidate, row_index FROM held WHERE in_a = in_b OR (in_a = 1) <> ({U.format(seed='half-1')} < 0.5e0)")
+def _(s, d):
+    pairs, members = _parents(s, d)
+    return seeds.half_uniform(pairs, members, "row_index")
+
+
+_ONE = "('0x' || substr(md5('{seed}:' || candidate), 1, 13))::BIGINT / 4503599627370496e0"
+_SIZED = f"""{HELD}, n AS (SELECT candidate, sum(in_a) AS na, sum(in_b) AS nb, count(*) AS nu FROM held GROUP BY 1),
+b AS (SELECT *, greatest(2, least(na, nb)) AS lo FROM n), z AS (SELECT candidate, lo + floor({_ONE.format(seed='mix-1:size')} * (greatest(lo, least(greatest(na, nb), nu)) - lo + 1)) AS size,
+  {_ONE.format(seed='mix-1:apply')} < 0.5e0 AS mixed FROM b)"""
+
+
+@query("q_recombine", f"""WITH {_SIZED}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY in_a + in_b DESC, {U.format(seed='mix-1')}, row_index) AS rank FROM held JOIN z USING (candidate))
+SELECT candidate, row_index FROM r WHERE CASE WHEN mixed THEN rank <= size ELSE in_a = 1 END""")
+def _(s, d):
+    pairs, members = _parents(s, d)
+    return seeds.recombine(pairs, members, "row_index")
+
+
+@query("q_recombine_by_evidence", f"""WITH {_SIZED}, w AS (SELECT *, CASE WHEN row_index % 10 < 9 THEN (row_index % 100) / 80e0 END AS loss FROM held JOIN z USING (candidate)),
+r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY in_a + in_b DESC, -ln(1 - {U.format(seed='mix-1')}) / (0.05e0 + greatest(0, 1 - least(1, coalesce(loss, 1)))), row_index) AS rank FROM w)
+SELECT candidate, row_index FROM r WHERE CASE WHEN mixed THEN rank <= size OR in_a + in_b = 2 ELSE in_a = 1 END""")
+def _(s, d):
+    pairs, members = _parents(s, d)
+    k = F.col("row_index")
+    losses = seeds.combine(pairs, members, "row_index", "union").select("candidate", k, F.when(k % 10 < 9, k % 100 / 80.0).otherwise(float("inf")).alias("loss"))
+    return seeds.recombine(pairs, members, "row_index", losses=losses)
+
+
 @query("q_flip", f"""WITH u AS (SELECT ((c_nationkey + k) % 25)::BIGINT AS candidate, c_custkey::BIGINT AS row_index, k = 0 AS member FROM customer, range(2) t(k))
 SELECT candidate, row_index FROM u WHERE member <> ({U.format(seed='flip-1')} < 0.2e0)""")
 def _(s, d):
