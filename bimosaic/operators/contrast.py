@@ -67,12 +67,14 @@ def residual_auc(residuals: DataFrame) -> DataFrame:
     return out.select(*key, "n_local", (F.col("n_all") - F.col("n_local")).alias("n_background"), "outside", _auc(F.col("n_local"), F.col("n_all"), F.col("counted")).alias("auc"))
 
 
-def constant_contrast_numeric(cells: DataFrame, rows: DataFrame, columns: DataFrame, fits: DataFrame, min_background: float = 0.1) -> DataFrame:
+def constant_contrast_numeric(
+    cells: DataFrame, rows: DataFrame, columns: DataFrame, fits: DataFrame, min_background: float = 0.1, inside: DataFrame | None = None
+) -> DataFrame:
     """The background is all rows less the members: a residual inside asks its column how many values lie within its distance of the
     parameter, so the work grows with the cells inside candidates and with the table, not with their product. Residuals tie within
-    1e-12 or four units in the last place of what they are computed from."""
+    1e-12 or four units in the last place of what they are computed from. ``inside``: the submatrix, where it is at hand."""
     key = ["candidate", "column_index"]
-    inside = submatrix(cells, rows, columns)
+    inside = submatrix(cells, rows, columns) if inside is None else inside
     p = F.col("parameter")
     q = inside.filter("num IS NOT NULL").join(fits.select(*key, "parameter"), key).groupBy(*key, "parameter", F.abs(F.col("num") - p).alias("q")).agg(F.count(F.lit(1)).alias("w"))
     q = q.withColumn("t", F.greatest(F.lit(TIE), (F.abs(p) + F.col("q")) * 2.0**-50))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import contrast, fit, prepare
 
 
@@ -46,11 +47,14 @@ def mean_loss(objectives: DataFrame) -> DataFrame:
 
 
 def evaluate_constant(cells: DataFrame, rows: DataFrame, columns: DataFrame, stats: DataFrame, ratio: float = 0.8, max_coherence: float = 0.30) -> DataFrame:
-    """candidate, n_rows, n_columns, coherence, contrast, size, violation, feasible of numeric candidates under the constant pattern."""
+    """candidate, n_rows, n_columns, coherence, contrast, size, violation, feasible of numeric candidates under the constant pattern.
+
+    The cells inside the candidates and their fits are each needed twice, so both are written to the shared folder once.
+    """
     used = cells.join(columns.select("column_index").distinct(), "column_index", "left_semi")
-    inside = fit.submatrix(used, rows, columns)
-    fits = fit.constant_fit_numeric(inside, stats, ratio)
-    c = contrast.constant_contrast_numeric(used, rows, columns, fits)
+    inside = cut(fit.submatrix(used, rows, columns), "inside")
+    fits = cut(fit.constant_fit_numeric(inside, stats, ratio), "fits")
+    c = contrast.constant_contrast_numeric(used, rows, columns, fits, inside=inside)
     c = columns.join(c, ["candidate", "column_index"], "left").groupBy("candidate").agg(F.avg(F.coalesce("contrast", F.lit(0.0))).alias("contrast"))
     n = rows.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_rows")).join(columns.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_columns")), "candidate")
     whole = cells.agg(F.count_distinct("row_index").alias("__rows"), F.count_distinct("column_index").alias("__columns"))
