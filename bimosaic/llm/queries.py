@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, near_dedup, packing, pii, quality_mil, rules, sharding
+from . import chat, exact_dedup, golay_dedup, langid, mixing, near_dedup, packing, pii, prefix_trie, quality_mil, rules, sharding, whitening
 from .common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,6 +84,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -179,5 +191,37 @@ FROM s WHERE shard_bytes <= 16777216 OR shard_docs = 1 GROUP BY doc_id, n_bytes
 """
 
 
+OP11_SQL = r"""
+WITH x AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS k, list(w ORDER BY turn NULLS FIRST, k) AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda p, z: xor(p >> 1, (p & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM x GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.k, [])[1:c.h], c.k[c.h + 1:]) AS k, list_concat(coalesce(b.w, [])[1:c.h], c.w[c.h + 1:]) AS w
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20
+), p AS (
+  SELECT conv_id, d, array_to_string(k[1:d], '') AS key, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, len(k) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM r)
+), n AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY key, d
+), e AS (
+  SELECT a.*, u.key AS parent, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n b WHERE b.d = a.d + 1 AND b.key[1:32 * a.d] = a.key) AS n_children
+  FROM n a LEFT JOIN n u ON u.d = a.d - 1 AND u.key = a.key[1:32 * (a.d - 1)]
+), t AS (
+  SELECT key[1:32 * up] AS key, up AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM e) GROUP BY 1, 2
+)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM e JOIN t USING (key, d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op10_sharding": OP10_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op10_sharding": OP10_SQL, "op11_prefix_trie": OP11_SQL}
