@@ -43,6 +43,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the identifier written as text; splits rows into folds that any engine can reproduce."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

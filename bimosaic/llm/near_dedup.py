@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, slices
+from .common import materialize, maybe_among, slices, unused
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -54,29 +54,8 @@ MAYBE = 0.60
 GROUP_SETS, GROUP_ELEMENTS = 128, 1_000_000
 #: Sets in a block where a group or node is compared as pairs of blocks, and in the sample that a group's centre comes from.
 BLOCK, SAMPLE = 256, 128
-#: Powers are kept between texts up to this length.
-KEPT_POWERS = 1 << 20
-
-_rng = np.random.default_rng(20_011)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDERS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    found = _powers.get(base)
-    if found is None or len(found) < n:
-        a = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
-        a[0] = 1
-        found = np.multiply.accumulate(a)
-        if n <= KEPT_POWERS:
-            _powers[base] = found
-    return found
+
+_ORDERS = np.random.default_rng(20_011).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,25 +65,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Ascending distinct hashes of the word shingles; a shingle is its words joined by one blank.
+    """Ascending distinct hashes of the word shingles, made of the hashes of their words."""
+    import xxhash
 
-    A prefix sum of byte codes times powers of an odd base gives the hash of any stretch by one subtraction, modulo 2**64.
-    """
-    b = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    space = _SPACE[b]
-    if space.all():
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and the six white-space characters
+    if not words:
         return np.empty(0, np.uint64)
-    after = np.concatenate([[True], space[:-1]])  # the byte before is white space, or there is none
-    keep = ~space | ~after  # one blank after each word stays
-    starts = (np.cumsum(keep) - 1)[~space & after]
-    n = int(keep.sum())
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[np.where(space, np.uint8(32), b)[keep]] * _power(_BASE, n)[:n], out=prefix[1:])
-    ends = np.append(starts[1:] - 1, n - bool(space[-1]))
-    k = min(WORDS, len(starts))
-    first, last = starts[: len(starts) - k + 1], ends[k - 1 :]
-    back = _power(pow(_BASE, -1, 1 << 64), n)[first]
-    return np.unique(_mix((prefix[last] - prefix[first]) * back))
+    of = xxhash.xxh3_64_intdigest
+    h = np.array([of(w) for w in words], np.uint64)
+    k = min(WORDS, len(words))
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
+    return np.unique(out)
 
 
 def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,8 +424,9 @@ def keep_one(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """
     found = materialize(near_duplicates(docs, trees).select("doc_id", "kept").filter("doc_id IS NOT NULL"), "near-duplicates")
     per = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    per = materialize(per.filter("NOT kept OR n > 1").withColumnRenamed("doc_id", "__gone"), "gone")
-    out = docs.join(per.filter("NOT kept").select("__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = unused(docs, "gone")
+    per = materialize(per.filter("NOT kept OR n > 1").withColumnRenamed("doc_id", gone), "gone")
+    out = docs.join(per.filter("NOT kept").select(gone), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     if per.filter("kept").isEmpty():
         return out
     return out.filter(F.col("doc_id").isNull()).unionByName(out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
