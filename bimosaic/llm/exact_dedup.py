@@ -129,12 +129,12 @@ def _decide(log: DataFrame, state: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat a text; all columns stay as they are."""
     groups = exact_groups(docs)
-    keep = materialize(groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")), "dedup-kept")
-    names = docs.columns
-    marked = docs.withColumn("__digest2", F.sha2(text_or_empty(), 256))
-    out = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest2") == F.col("__digest")), "left_semi")
-    rows = keep.groupBy("__id", "__digest").count()
+    keep = materialize(groups.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")), "dedup-kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # the caller's columns, whatever their names
+    marked = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
+    out = marked.join(keep, marked["doc_id"].eqNullSafe(keep["id"]) & (marked["text_sha256"] == keep["digest"]), "left_semi")
+    rows = keep.groupBy("id", "digest").count()
     logged = groups.groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    if logged.join(rows, logged["doc_id"].eqNullSafe(rows["__id"]) & (logged["text_sha256"] == rows["__digest"]), "left_semi").isEmpty():
-        return out.select(*names)
-    return out.dropDuplicates(["doc_id", "__digest2"]).select(*names)
+    if not logged.join(rows, logged["doc_id"].eqNullSafe(rows["id"]) & (logged["text_sha256"] == rows["digest"]), "left_semi").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text_sha256"])
+    return out.select("row.*")

@@ -108,21 +108,15 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     No text is shuffled by id: a row decides from its own key and the row of its source.
     """
     _, plan = mixing_plan(docs, weights, max_epochs, seed)
-    names = docs.columns
-    own = {c: f"__plan_{c}" for c in ("source_size", "source_rows", "target", "epochs", "rest", "cut_key", "cut_size", "cut_words")}
-    plan = plan.withColumnRenamed("source", "__source").withColumnsRenamed(own)
-    rows = docs.withColumn("__size", word_count()).withColumn("__key", mixing_key(seed))
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["__source"]))
-    first = F.struct(F.col("__key").alias("k"), F.col("__size").alias("s")) < F.struct(F.col("__plan_cut_key").alias("k"), F.col("__plan_cut_size").alias("s"))
-    at_cut = (F.col("__key") == F.col("__plan_cut_key")) & (F.col("__size") == F.col("__plan_cut_size"))
-    part = F.when(F.col("__plan_cut_key").isNull(), 0).when(first, F.col("__size")).when(at_cut, F.col("__plan_cut_words")).otherwise(0)
-    rows = rows.withColumn("__part", part.cast("long"))
-    copies = F.col("__plan_epochs") + F.when(F.col("__part") > 0, 1).otherwise(0)
-    rows = rows.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    short = (F.col("__copy") > F.col("__plan_epochs")) & (F.col("__part") < F.col("__size"))
-    pieces = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    text = F.when(short, F.array_join(F.slice(pieces, 1, F.col("__part").cast("int")), "")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(short, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # the caller's columns, whatever their names
+    rows = docs.select(row, "source", word_count().alias("size"), mixing_key(seed).alias("key"))
+    rows = _on_source(rows, plan).withColumn("part", _part_words())
+    copies = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    rows = rows.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    short = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    pieces = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    text = F.when(short, F.array_join(F.slice(pieces, 1, F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
+    own = {"text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(short, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
