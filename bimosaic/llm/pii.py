@@ -120,7 +120,8 @@ def _ip(v: Column, key: str) -> Column:
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     new = permute_number(number, key, "ip", 65536)
     part = lambda k: F.pmod(F.floor(new / 256**k), F.lit(256)).cast("string")
-    return F.when(F.forall(octets, lambda x: x < 256), F.concat_ws(".", part(3), part(2), part(1), part(0))).otherwise(v)
+    # An octet with a leading zero is no address: as a number it would be one with the address without the zero.
+    return F.when(F.forall(octets, lambda x: x < 256) & ~v.rlike(r"(^|\.)0[0-9]"), F.concat_ws(".", part(3), part(2), part(1), part(0))).otherwise(v)
 
 
 def _date(v: Column, key: str) -> Column:
