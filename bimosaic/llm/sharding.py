@@ -56,7 +56,12 @@ def shards(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
         placed = rows.withColumn("cell", _prefix(depth)).join(cells, "cell")
         done = placed.filter("shard IS NOT NULL")
         out = done if out is None else out.unionByName(done)
-        if depth == BITS or cells.filter("shard IS NULL").isEmpty():
+        if cells.filter("shard IS NULL").isEmpty():
+            break
+        if depth == BITS:  # rows of one address
+            left = placed.filter("shard IS NULL").drop("shard", "shard_bytes", "shard_docs")
+            whole = left.groupBy("cell").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
+            out = out.unionByName(left.join(whole, "cell").withColumn("shard", F.col("cell")).select(*out.columns))
             break
         rows = materialize(placed.filter("shard IS NULL").select(*slim.columns), "shard-rows")
         start, depth = depth + 1, min(BITS, depth + 16)
