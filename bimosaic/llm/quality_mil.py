@@ -164,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gated
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "n", "x"])
 
     rows = texts.select("doc_id", "quality", "text").mapInArrow(encoded, "doc_id long, quality int, n int, x binary").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values(["doc_id", "n", "x"]).drop_duplicates("doc_id")  # of several texts the same one on every run
     y = rows["quality"].to_numpy(float)
     if len(set(y)) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
