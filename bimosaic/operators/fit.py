@@ -1,14 +1,11 @@
 """Pattern fits of many candidates at once.
 
 ``rows`` (candidate, row_index) and ``columns`` (candidate, column_index) say which cells a candidate has. Constant fits and
-fits with given column parameters are DataFrame plans; the alternating medians of joint fits run in one Arrow group per
-candidate, which holds its own submatrix only.
+fits with given column parameters are DataFrame plans; ``joint`` has the alternating medians.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,76 +82,3 @@ def additive_step(inside: DataFrame, beta: DataFrame) -> tuple[DataFrame, DataFr
 
 def column_medians(inside: DataFrame) -> DataFrame:
     return inside.groupBy("candidate", "column_index").agg(F.median("num").alias("beta"))
-
-
-def fit_additive_matrix(x: np.ndarray, scale: np.ndarray, iterations: int = 25, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """alpha, beta, error per column and rounds of the additive model of one matrix (NaN: missing)."""
-    with np.errstate(all="ignore"):
-        beta = np.nanmedian(x, 0)
-        alpha = np.zeros(len(x))
-        unit = max(float(np.median(scale)), ZERO)
-        for k in range(1, iterations + 1):
-            a = np.nanmedian(x - beta, 1)
-            a = a - np.nanmedian(a)
-            b = np.nanmedian(x - a[:, None], 0)
-            moved = max(np.nanmax(np.abs(a - alpha)), np.nanmax(np.abs(b - beta))) / unit
-            alpha, beta = a, b
-            if moved <= tolerance:
-                break
-        error = np.nanmean(np.minimum(np.abs(x - alpha[:, None] - beta) / scale, 1), 0)
-    return alpha, beta, error, k
-
-
-def fit_multiplicative_matrix(x: np.ndarray, scale: np.ndarray, iterations: int = 25, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The same for the multiplicative model: x / scale near alpha * beta, started at the column with the widest local range."""
-    y = x / scale
-    with np.errstate(all="ignore"):
-        spread = np.nanpercentile(y, 95, 0) - np.nanpercentile(y, 5, 0)
-        count = np.isfinite(y).sum(0)
-        anchor = sorted(range(y.shape[1]), key=lambda j: (-spread[j], -count[j], j))[0]
-        alpha, beta = y[:, anchor].copy(), np.ones(y.shape[1])
-
-        def ratio(a: np.ndarray, b: np.ndarray, axis: int) -> np.ndarray:
-            return np.nanmedian(np.where(np.abs(b) > ZERO, a / b, np.nan), axis)
-
-        for k in range(1, iterations + 1):
-            b = np.nan_to_num(ratio(y, alpha[:, None], 0))
-            a = np.nan_to_num(ratio(y, b[None, :], 1))
-            size = np.median(np.abs(a[np.abs(a) > ZERO])) if (np.abs(a) > ZERO).any() else 1.0
-            first = next((v for v in b if abs(v) > ZERO), 1.0)
-            sign = -1.0 if first < 0 else 1.0
-            a, b = a / size * sign, b * size * sign
-            moved = max(np.nanmax(np.abs(a - alpha)), np.nanmax(np.abs(b - beta)))
-            alpha, beta = a, b
-            if moved <= tolerance:
-                break
-        error = np.nanmean(np.minimum(np.abs(y - alpha[:, None] * beta), 1), 0)
-    return alpha, beta, error, k
-
-
-FITTERS = {"additive": fit_additive_matrix, "multiplicative": fit_multiplicative_matrix}
-
-
-def joint_fit(inside: DataFrame, stats: DataFrame, pattern: str) -> DataFrame:
-    """candidate, column_index, beta, error, iterations; one group holds one candidate's submatrix."""
-    scaled = inside.join(stats.select("column_index", residual_scale(F.col("robust_range"), F.col("median")).alias("scale")), "column_index")
-    fitter = FITTERS[pattern]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="row_index", columns="column_index", values="num")
-        scale = pdf.drop_duplicates("column_index").set_index("column_index")["scale"].loc[x.columns].to_numpy(float)
-        _, beta, error, k = fitter(x.to_numpy(float), scale)
-        return pd.DataFrame({"candidate": pdf["candidate"].iloc[0], "column_index": x.columns, "beta": beta, "error": error, "iterations": k})
-
-    return scaled.groupBy("candidate").applyInPandas(run, "candidate long, column_index int, beta double, error double, iterations int")
-
-
-def best_pattern(fits: DataFrame, min_improvement: float = 0.10) -> DataFrame:
-    """``fits`` (candidate, column_index, pattern, error) to the winning pattern: the constant model unless another one improves its error by
-    ``min_improvement``; ``ambiguous`` if another model is within 1e-12 of the winner."""
-    cost = F.when(F.col("pattern") == "constant", F.col("error")).otherwise(F.col("error") + min_improvement)
-    ranked = fits.withColumn("cost", cost).groupBy("candidate", "column_index").agg(
-        F.min(F.struct("cost", "pattern", "error")).alias("best"), F.sort_array(F.collect_list("cost")).alias("costs")
-    )
-    near = F.coalesce(F.try_element_at("costs", F.lit(2)) - F.col("costs")[0] <= 1e-12, F.lit(False))
-    return ranked.select("candidate", "column_index", F.col("best.pattern").alias("pattern"), F.col("best.error").alias("error"), near.alias("ambiguous"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pvalues
-from ..operators import archive, contrast, evaluate, fit, prepare, selection, statistics, structure
+from ..operators import archive, assignment, contrast, evaluate, fit, joint, prepare, selection, statistics, structure
 from ..streaming import events as ev
 from . import results
 from .inputs import AUC, CUST, EMB, FIT, FITD, MEMBERS, SCORED, customer_cells, embedding_cells, label_candidates, memberships, nation_candidates, scored, table
@@ -217,21 +217,20 @@ def _(s, d):
 @query("q_joint_fit_additive")
 def _(s, d):
     _, _, _, stats, inside = _emb(s, d)
-    return r6(fit.joint_fit(inside, stats, "additive"), "beta", "error")
+    return r6(joint.joint_fit(inside, stats, "additive"), "beta", "error")
 
 
 @query("q_joint_fit_multiplicative")
 def _(s, d):
     _, _, _, stats, inside = _emb(s, d)
-    return r6(fit.joint_fit(inside, stats, "multiplicative"), "beta", "error")
+    return r6(joint.joint_fit(inside, stats, "multiplicative"), "beta", "error")
 
 
 @query("q_best_pattern")
 def _(s, d):
     _, _, _, stats, inside = _emb(s, d)
-    fits = [fit.constant_fit_numeric(inside, stats).select("candidate", "column_index", F.lit("constant").alias("pattern"), "error")]
-    fits += [fit.joint_fit(inside, stats, p).select("candidate", "column_index", F.lit(p).alias("pattern"), "error") for p in ("additive", "multiplicative")]
-    return r6(fit.best_pattern(fits[0].unionByName(fits[1]).unionByName(fits[2])), "error")
+    out = assignment.assign(inside, stats, fit.constant_fit_numeric(inside, stats)).columns
+    return r6(out, "error", "parameter", "reference", "margin")
 
 
 # records of evaluated candidates

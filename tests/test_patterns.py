@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bimosaic.functions import pvalues
-from bimosaic.operators import archive, contrast, evaluate, fit, prepare, selection, statistics, structure
+from bimosaic.operators import archive, contrast, evaluate, fit, joint, prepare, selection, statistics, structure
 
 CELLS = "row_index long, column_index int, num double, code int"
 
@@ -43,24 +43,29 @@ def test_imputation_ties_go_to_the_lowest_code(spark):
     assert (out["code"], out["observed"], out["available"]) == (0, False, True)
 
 
-def test_golden_contrast(spark):
-    """Constant, two additive and a boolean column: contrasts 1, 0.5, 0.5 and 1."""
-    cells = numeric(spark, [5.0, 5, 5, 4, 6], [0.0, 2, 4, 1, 3], [10.0, 12, 14, 11, 13])
-    rows, columns = candidate(spark, [0, 1, 2], [0])
+def test_contrast_of_blocks_matches_all_pairs(spark):
+    """A constant block and an additive one, against every pair of a residual inside and one outside."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(30, 4)).round(2)
+    members = sorted(rng.choice(30, 11, replace=False).tolist())
+    x[members, 0] = 3 + rng.normal(size=11).round(2) / 50
+    effect = rng.normal(size=30).round(2) * 2
+    x[members, 1:] = effect[members, None] + np.array([1.0, -2.0, 0.5])
+    cells = numeric(spark, *x.T.tolist())
+    outside = [i for i in range(30) if i not in members]
+    chance = lambda r: np.mean([1.0 if r[a] < r[b] - 1e-12 else 0.5 if abs(r[a] - r[b]) <= 1e-12 else 0.0 for a in members for b in outside])
+    rows, columns = candidate(spark, members, [0])
     fits = fit.constant_fit_numeric(fit.submatrix(cells, rows, columns), prepare.column_stats(cells))
-    assert fits.first()["error"] == 0
-    assert contrast.constant_contrast_numeric(cells, rows, columns, fits).first()["contrast"] == 1.0
-    rows, columns = candidate(spark, [0, 1, 2], [1, 2])
-    inside = fit.submatrix(cells, rows, columns)
-    joint = fit.joint_fit(inside, prepare.column_stats(cells), "additive").collect()
-    assert [r["error"] for r in joint] == [0.0, 0.0]
-    beta = spark.createDataFrame([(0, r["column_index"], r["beta"]) for r in joint], "candidate long, column_index int, beta double")
-    out = contrast.additive_contrast(cells, rows, columns, fit.additive_row_effects(cells, columns, beta), beta)
-    assert [r["contrast"] for r in out.collect()] == [0.5, 0.5]
-    flags = codes(spark, [1, 1, 1, 0, 0])
-    rows, columns = candidate(spark, [0, 1, 2], [0])
-    fits = fit.constant_fit_discrete(fit.submatrix(flags, rows, columns), prepare.frequencies(flags))
-    assert contrast.constant_contrast_discrete(flags, rows, columns, fits).first()["contrast"] == 1.0
+    got = contrast.constant_contrast_numeric(cells, rows, columns, fits).first()["contrast"]
+    assert got == pytest.approx(chance(np.abs(x[:, 0] - np.median(x[members, 0]))), abs=1e-12) and got > 0.9
+    rows, columns = candidate(spark, members, [1, 2, 3])
+    found = joint.joint_fit(fit.submatrix(cells, rows, columns), prepare.column_stats(cells), "additive").orderBy("column_index").collect()
+    assert [r["error"] for r in found] == pytest.approx([0, 0, 0], abs=1e-9)
+    beta = np.array([r["beta"] for r in found])
+    alpha = np.median(x[:, 1:] - beta, axis=1)
+    b = spark.createDataFrame([(0, r["column_index"], r["beta"]) for r in found], "candidate long, column_index int, beta double")
+    out = contrast.additive_contrast(cells, rows, columns, fit.additive_row_effects(cells, columns, b), b).orderBy("column_index").collect()
+    assert [r["contrast"] for r in out] == pytest.approx([chance(np.abs(x[:, j + 1] - alpha - beta[j])) for j in range(3)], abs=1e-9)
 
 
 def test_categorical_separation_matches_brute_force(spark):
@@ -100,12 +105,6 @@ def test_auc_counts_ties_half_at_any_magnitude(spark):
     assert contrast.residual_auc(df).first()["auc"] == pytest.approx(expected, abs=1e-12)
 
 
-def test_multiplicative_fit_recovers_a_product():
-    a, b = np.array([1.0, 2, 4, 0.5]), np.array([3.0, 1.0, -2.0])
-    _, beta, error, _ = fit.fit_multiplicative_matrix(np.outer(a, b), np.ones(3))
-    assert error == pytest.approx([0, 0, 0]) and beta[0] / beta[1] == pytest.approx(3)
-
-
 def test_pareto_front_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(rng.integers(3)), float(rng.integers(8)), float(rng.integers(8))) for i in range(120)]
