@@ -37,6 +37,8 @@ WORDS, SEED, DISTANCE = 3, 42, 3
 GENERATOR, LENGTH, MESSAGE = 0b110001110101, 23, 12
 #: Fingerprints in a block, and hashes whose bits are counted at once.
 BLOCK, CHUNK = 4096, 1 << 16
+#: Fingerprints whose keys one task makes, about.
+IN_TASK = 16_384
 SCHEMA = "doc_id long, fp long"
 
 
@@ -183,7 +185,8 @@ def block_links(blocks: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """a, b: links between the distinct fingerprints (fp) that span their components."""
-    keys = keyed(distinct)
+    # A task gets so many fingerprints, not so many bytes, as each becomes some 69 keys.
+    keys = keyed(distinct.select("fp").repartition(max(1, -(-distinct.count() // IN_TASK)), "fp"))
     per = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     per = materialize(per.filter(f"n > 2 OR bit_count(a ^ b) <= {DISTANCE}"), "shared-keys")
     pairs = per.filter("n = 2").select("a", "b").distinct()
