@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the filter that keeps rows without a partner out of a shuffle: 8 MB, whatever the number of partners.
 FILTER_BITS = 1 << 26
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own: dict[str, str] = {}
 
 
@@ -33,10 +35,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    Meanwhile Arrow batches are small, as rows hold whole texts; the session's own setting comes back afterwards.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, "1000")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -69,7 +79,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """``rows`` whose ``column`` may be among those of ``keys``: one bit for each hash value, in parts of 4 KB, ``FILTER_BITS`` in all.
+    """``rows`` whose ``column`` may be among those of ``keys``."""
+    return with_maybe(rows, keys, column, "__maybe").filter("__maybe").drop("__maybe")
+
+
+def with_maybe(rows: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether ``column`` may be among those of ``keys``; one bit for each hash value, in parts of 4 KB, ``FILTER_BITS`` in all.
 
     The parts are broadcast, as their size has that bound. Where the filter fills up it lets more rows through, never fewer.
     """
@@ -77,5 +92,5 @@ def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     parts = keys.select(value.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("__bits"))
     marked = rows.withColumn("__part", F.bitmap_bucket_number(value)).withColumn("__at", F.bitmap_bit_position(value))
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = marked.join(F.broadcast(parts), "__part").filter(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
-    return hit.select(*rows.columns)
+    hit = F.coalesce(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))
+    return marked.join(F.broadcast(parts), "__part", "left").select(*rows.columns, hit.alias(flag))

@@ -20,14 +20,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, scratch, text_or_empty
+from .common import materialize, maybe_among, scratch, text_or_empty, with_maybe
 
 #: Settings of the state store while the stream runs; the session's own values come back afterwards.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # for all stores of an executor together
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "1",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a stream that has ended are unloaded soon
     "spark.sql.streaming.stateStore.rocksdb.maxOpenFiles": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -129,12 +130,15 @@ def _decide(log: DataFrame, state: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat a text; all columns stay as they are."""
     groups = exact_groups(docs)
-    keep = materialize(groups.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")), "dedup-kept")
+    several = groups.filter("group_size > 1").select("text_sha256")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # the caller's columns, whatever their names
     marked = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
-    out = marked.join(keep, marked["doc_id"].eqNullSafe(keep["id"]) & (marked["text_sha256"] == keep["digest"]), "left_semi")
+    marked = with_maybe(marked, several, "text_sha256", "hit")  # other texts stay as they are and are not shuffled
+    keep = maybe_among(groups.filter("kept").select("doc_id", "text_sha256"), several, "text_sha256")
+    keep = materialize(keep.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")), "dedup-kept")
+    out = marked.filter("hit").join(keep, marked["doc_id"].eqNullSafe(keep["id"]) & (marked["text_sha256"] == keep["digest"]), "left_semi")
     rows = keep.groupBy("id", "digest").count()
-    logged = groups.groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    logged = groups.filter("group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not logged.join(rows, logged["doc_id"].eqNullSafe(rows["id"]) & (logged["text_sha256"] == rows["digest"]), "left_semi").isEmpty():
         out = out.dropDuplicates(["doc_id", "text_sha256"])
-    return out.select("row.*")
+    return marked.filter("NOT hit").select("row.*").unionByName(out.select("row.*"))
