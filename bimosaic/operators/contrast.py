@@ -112,11 +112,21 @@ def _gated(auc: DataFrame, min_background: float) -> DataFrame:
     return auc.select("candidate", "column_index", F.when(enough, F.col("auc")).otherwise(0.0).alias("contrast"), enough.alias("valid"))
 
 
-def constant_contrast_discrete(cells: DataFrame, rows: DataFrame, columns: DataFrame, fits: DataFrame) -> DataFrame:
-    """Separation of the mode's frequency inside and outside, scaled on either side; half is neutral."""
-    x = flagged(cells, rows, columns).filter("code IS NOT NULL").join(fits.select("candidate", "column_index", "mode"), ["candidate", "column_index"])
-    hit = (F.col("code") == F.col("mode")).cast("double")
-    p = x.groupBy("candidate", "column_index").agg(F.avg(F.when(F.col("local") == 1, hit)).alias("inside"), F.avg(F.when(F.col("local") == 0, hit)).alias("outside"))
+def constant_contrast_discrete(cells: DataFrame, rows: DataFrame, columns: DataFrame, fits: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """candidate, column_index, inside, outside, contrast, n_outside, of_outside: separation of the mode's frequency inside and outside,
+    scaled on either side; half is neutral. What lies outside is the table's counts less those inside, so no row meets a candidate
+    it does not belong to."""
+    key = ["candidate", "column_index"]
+    inside = submatrix(cells, rows, columns) if inside is None else inside
+    own = inside.join(fits.select(*key, "mode"), key).groupBy(*key, "mode").agg(
+        F.count_if(F.col("code") == F.col("mode")).alias("hits"), F.count("code").alias("n"), F.count(F.lit(1)).alias("of")
+    )
+    counts = cells.groupBy("column_index", "code").agg(F.count(F.lit(1)).alias("n_code"))
+    whole = counts.groupBy("column_index").agg(F.sum(F.when(F.col("code").isNotNull(), F.col("n_code"))).alias("n_all"), F.sum("n_code").alias("of_all"))
+    x = own.join(whole, "column_index").join(counts.withColumnRenamed("code", "mode"), ["column_index", "mode"])
+    x = x.withColumn("n_outside", F.col("n_all") - F.col("n")).withColumn("of_outside", F.col("of_all") - F.col("of"))
+    x = x.select(*key, (F.col("hits") / F.col("n")).alias("inside"), ((F.col("n_code") - F.col("hits")) / F.nullif("n_outside", F.lit(0))).alias("outside"), "n_outside", "of_outside")
     up = F.when(F.col("outside") < 1, 0.5 + 0.5 * (F.col("inside") - F.col("outside")) / (1 - F.col("outside"))).otherwise(0.5)
     down = F.when(F.col("outside") > 0, 0.5 + 0.5 * (F.col("inside") - F.col("outside")) / F.col("outside")).otherwise(0.5)
-    return p.select("candidate", "column_index", "inside", "outside", F.when(F.col("inside") >= F.col("outside"), up).otherwise(down).alias("contrast"))
+    contrast = F.when(F.col("outside").isNotNull(), F.when(F.col("inside") >= F.col("outside"), up).otherwise(down))
+    return x.select(*key, "inside", "outside", contrast.alias("contrast"), "n_outside", "of_outside")

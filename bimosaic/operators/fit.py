@@ -13,8 +13,9 @@ from .prepare import ZERO, required_support
 
 
 def submatrix(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """candidate, row_index, column_index, num, code of the cells inside each candidate."""
-    return cells.join(columns, "column_index").join(rows, ["candidate", "row_index"]).select("candidate", "row_index", "column_index", "num", "code")
+    """candidate, row_index, column_index, num, code (and observed, if there) of the cells inside each candidate."""
+    own = ["observed"] if "observed" in cells.columns else []
+    return cells.join(columns, "column_index").join(rows, ["candidate", "row_index"]).select("candidate", "row_index", "column_index", "num", "code", *own)
 
 
 def supported(inside: DataFrame, value: str, ratio: float = 0.8) -> DataFrame:
@@ -63,11 +64,11 @@ def additive_row_effects(cells: DataFrame, columns: DataFrame, beta: DataFrame,
     return out.filter(F.col("n") >= required_support(F.col("of"), ratio=ratio)).select("candidate", "row_index", "alpha")
 
 
-def multiplicative_row_effects(cells: DataFrame, columns: DataFrame, beta: DataFrame) -> DataFrame:
-    """candidate, row_index, alpha: median of x / beta over columns with a usable beta, two at least."""
+def multiplicative_row_effects(cells: DataFrame, columns: DataFrame, beta: DataFrame, ratio: float = 0.0) -> DataFrame:
+    """candidate, row_index, alpha: median of x / beta over columns with a usable beta, two at least and this share of them."""
     x = cells.join(columns, "column_index").join(beta.filter(F.abs("beta") > ZERO), ["candidate", "column_index"])
-    out = x.groupBy("candidate", "row_index").agg(F.median(F.col("num") / F.col("beta")).alias("alpha"), F.count("num").alias("n"))
-    return out.filter("n >= 2").select("candidate", "row_index", "alpha")
+    out = x.groupBy("candidate", "row_index").agg(F.median(F.col("num") / F.col("beta")).alias("alpha"), F.count("num").alias("n"), F.count(F.lit(1)).alias("of"))
+    return out.filter(F.col("n") >= required_support(F.col("of"), ratio=ratio)).select("candidate", "row_index", "alpha")
 
 
 def additive_step(inside: DataFrame, beta: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -161,7 +161,7 @@ def _(s, d):
     cells = customer_cells(s, d)
     rows, columns = nation_candidates(s, d)
     fits = fit.constant_fit_discrete(fit.submatrix(cells, rows, columns), prepare.frequencies(cells), 0.7)
-    return r6(contrast.constant_contrast_discrete(cells, rows, columns, fits), "inside", "outside", "contrast")
+    return r6(contrast.constant_contrast_discrete(cells, rows, columns, fits), "inside", "outside", "contrast").drop("n_outside", "of_outside")
 
 
 _B = "beta AS (SELECT candidate, column_index, median(num) AS beta FROM inside GROUP BY 1, 2)"
