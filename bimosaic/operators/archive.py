@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: Distinct points of a cell in a block of the skyline.
+POINTS = 20_000
+
 
 def linear_bin(v: Column, low: float, high: float, bins: int) -> Column:
     """0 .. bins - 1, null outside [low, high]."""
@@ -26,8 +35,12 @@ def exact_bin(v: Column, low: int) -> Column:
     return F.when(v == F.round(v), F.round(v) - low).cast("int")
 
 
-def pareto_front(candidates: DataFrame, loss1: str, loss2: str, cell: str = "cell") -> DataFrame:
-    """Candidates that no other one of the cell dominates in two losses; sorting, not comparing all pairs."""
+def pareto_front(candidates: DataFrame, *losses: str, cell: str = "cell") -> DataFrame:
+    """Candidates that no other one of the cell dominates; a null loss is the worst. Two losses need one sort, more a skyline of blocks."""
+    return _front_of_two(candidates, *losses, cell=cell) if len(losses) == 2 else _skyline(candidates, list(losses), cell)
+
+
+def _front_of_two(candidates: DataFrame, loss1: str, loss2: str, cell: str) -> DataFrame:
     peers = Window.partitionBy(cell, loss1)
     steps = candidates.groupBy(cell, loss1).agg(F.min(loss2).alias("__least"))
     before = Window.partitionBy(cell).orderBy(loss1).rowsBetween(Window.unboundedPreceding, -1)
@@ -37,11 +50,61 @@ def pareto_front(candidates: DataFrame, loss1: str, loss2: str, cell: str = "cel
     return out.filter(~dominated).drop("__peer", "__before")
 
 
-def constrained_front(candidates: DataFrame, loss1: str, loss2: str, cell: str = "cell") -> DataFrame:
+def undominated(x: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+    """Which of the distinct rows no row of ``by`` (itself, if not given) dominates. In order of the sum of losses a row can only be dominated by earlier ones, and it is enough to ask those that stay."""
+    keep = np.ones(len(x), bool)
+    if by is not None:
+        for i, row in enumerate(x):
+            keep[i] = not ((by <= row).all(1) & (by < row).any(1)).any()
+        return keep
+    front = np.empty_like(x)
+    n = 0
+    for i in np.argsort(x.sum(1), kind="stable"):
+        f = front[:n]
+        keep[i] = not ((f <= x[i]).all(1) & (f < x[i]).any(1)).any()
+        if keep[i]:
+            front[n] = x[i]
+            n += 1
+    return keep
+
+
+def _skyline(candidates: DataFrame, losses: list[str], cell: str) -> DataFrame:
+    """Fronts of blocks of distinct points, then every block's front against that of every other of the cell: what dominates a point is on its own block's front or dominated by one that is."""
+    names = [f"l{k}" for k in range(len(losses))]
+    bad = float("inf")
+    points = candidates.select(F.col(cell).alias("c"), *[F.coalesce(F.col(x).cast("double"), F.lit(bad)).alias(n) for x, n in zip(losses, names)]).distinct()
+    points = cut(points, "points")
+    parts = points.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / POINTS).cast("int").alias("parts"))
+    dealt = points.alias("p").join(parts.alias("q"), F.expr("p.c <=> q.c")).select("p.c", *names, F.pmod(F.xxhash64(*names), "parts").cast("int").alias("k"), "parts")
+    schema = ", ".join(f"{n} {k}" for n, k in dealt.dtypes)
+    matrix = lambda t: np.column_stack([t[n].to_numpy() for n in names])
+
+    def local(t: pa.Table) -> pa.Table:
+        return t.filter(pa.array(undominated(matrix(t))))
+
+    fronts = cut(dealt.groupBy("c", "k").applyInArrow(local, schema), "fronts")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
+    met = fronts.filter("parts > 1").select("*", other).filter("o <> k").withColumns({"x": F.least("k", "o"), "y": F.greatest("k", "o")})
+
+    def lost(t: pa.Table) -> pa.Table:
+        own = t["k"].to_numpy() == t["x"].to_numpy()
+        v, gone = matrix(t), np.zeros(len(t), bool)
+        gone[own], gone[~own] = ~undominated(v[own], v[~own]), ~undominated(v[~own], v[own])
+        return t.filter(pa.array(gone)).select(["c", *names])
+
+    kinds = dict(dealt.dtypes)
+    gone = met.groupBy("c", "x", "y").applyInArrow(lost, ", ".join(f"{n} {kinds[n]}" for n in ("c", *names))).distinct()
+    same = lambda a, b: functools.reduce(lambda p, q: p & q, [a[n].eqNullSafe(b[n]) for n in ("c", *names)])
+    front = cut(fronts.select("c", *names).join(gone, same(fronts, gone), "left_anti"), "front")
+    on = [candidates[cell].eqNullSafe(front["c"])] + [F.coalesce(candidates[x].cast("double"), F.lit(bad)) == front[n] for x, n in zip(losses, names)]
+    return candidates.join(front, functools.reduce(lambda p, q: p & q, on), "left_semi")
+
+
+def constrained_front(candidates: DataFrame, *losses: str, cell: str = "cell") -> DataFrame:
     """Feasible before infeasible, less violation before more, then the Pareto front; needs ``violation``."""
     least = Window.partitionBy(cell)
     best = candidates.withColumn("__v", F.min(F.greatest("violation", F.lit(0.0))).over(least)).filter(F.greatest("violation", F.lit(0.0)) == F.col("__v")).drop("__v")
-    return pareto_front(best, loss1, loss2, cell)
+    return pareto_front(best, *losses, cell=cell)
 
 
 def crowding(members: DataFrame, losses: list[str], cell: str = "cell", key: str = "id") -> DataFrame:

@@ -161,7 +161,7 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, draws: int = 2000, lev
 
 
 def cox_binary(df: DataFrame, time: str, event: str, member: str, group: str) -> DataFrame:
-    """group, hazard_ratio of members by Newton steps, ties after Breslow; works on counts per time, not on rows."""
+    """group, hazard_ratio of members by Newton steps, ties after Breslow; 1 where the information vanishes (separated groups, no events). Works on counts per time, not on rows."""
     t = df.groupBy(group, time).agg(F.count(F.lit(1)).alias("n"), F.sum(event).alias("d"), F.sum(member).alias("n1"), F.sum(F.col(member) * F.col(event)).alias("d1"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,14 +169,15 @@ def cox_binary(df: DataFrame, time: str, event: str, member: str, group: str) ->
         at1, at0 = pdf["n1"].cumsum().to_numpy(float), (pdf["n"] - pdf["n1"]).cumsum().to_numpy(float)
         d, d1, b = pdf["d"].to_numpy(float), pdf["d1"].to_numpy(float), 0.0
         for _ in range(50):
-            p = at1 * math.exp(b) / np.maximum(at1 * math.exp(b) + at0, 1e-300)
-            info = (d * p * (1 - p)).sum()
-            if info <= 1e-12:
+            weight = at1 * math.exp(min(max(b, -40.0), 40.0))
+            p = weight / np.maximum(weight + at0, 1e-300)
+            information = (d * p * (1 - p)).sum()
+            if information <= 1e-12:  # groups that no hazard ratio tells apart, or that none can
+                return pd.DataFrame({group: [pdf[group].iloc[0]], "hazard_ratio": [1.0]})
+            step = (d1 - d * p).sum() / information
+            b += step
+            if abs(step) < 1e-9:
                 break
-            step = (d1 - d * p).sum() / info
-            b = min(max(b + step, -20.0), 20.0)
-            if abs(step) < 1e-10:
-                break
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "hazard_ratio": [math.exp(b)]})
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "hazard_ratio": [math.exp(min(max(b, -40.0), 40.0))]})
 
     return t.groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, hazard_ratio double")

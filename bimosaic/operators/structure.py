@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,16 +95,6 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) if flip else (i, j) for i, j in pairs)
 
 
-def matched_weight(pairs: DataFrame, group: str = "task") -> DataFrame:
-    """group, matched: total weight of the best one-to-one matching of (group, a, b, weight); one group holds one small matrix."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf.pivot_table(index="a", columns="b", values="weight", fill_value=0, aggfunc="sum").to_numpy(float)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "matched": [float(sum(w[i, j] for i, j in assignment(w)))]})
-
-    return pairs.select(group, "a", "b", "weight").groupBy(group).applyInPandas(run, f"{group} long, matched double")
-
-
 def nearest_distance(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, nearest: distance to the closest other bicluster, 1 where nothing is shared."""
     near = pairs.filter("a <> b").groupBy("a").agg(F.min("distance").alias("nearest"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pvalues
-from ..operators import archive, assignment, contrast, evaluate, fit, joint, prepare, selection, statistics, structure
+from ..operators import archive, assignment, contrast, evaluate, fit, joint, matching, prepare, scoring, selection, statistics, structure
 from ..streaming import events as ev
 from . import results
 from .inputs import AUC, CUST, EMB, FIT, FITD, MEMBERS, SCORED, customer_cells, embedding_cells, label_candidates, memberships, nation_candidates, scored, table
@@ -233,6 +233,56 @@ def _(s, d):
     return r6(out, "error", "parameter", "reference", "margin")
 
 
+_KINDS = f"""{FITD},
+st AS (SELECT quantile_cont(num, 0.95) - quantile_cont(num, 0.05) AS rr FROM cells WHERE column_index = 0),
+own AS (SELECT candidate, num FROM cells JOIN crows USING (row_index) WHERE column_index = 0),
+par AS (SELECT candidate, median(num) AS p FROM own GROUP BY 1 HAVING count(num) >= greatest(2, ceil(count(*) * 0.7e0))),
+nf AS (SELECT candidate, avg(least(1e0, abs(num - p) / rr)) AS error FROM own JOIN par USING (candidate), st WHERE num IS NOT NULL GROUP BY 1),
+res AS (SELECT par.candidate, abs(num - p) AS r, (crows.row_index IS NOT NULL)::INT AS local FROM par CROSS JOIN cells LEFT JOIN crows ON crows.candidate = par.candidate AND crows.row_index = cells.row_index
+  WHERE column_index = 0 AND num IS NOT NULL),
+rk AS (SELECT *, coalesce(sum(local) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-10 PRECEDING), 0) AS lo, coalesce(sum(local) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-10 FOLLOWING), 0) AS up
+  FROM res WINDOW w AS (PARTITION BY candidate ORDER BY r)),
+auc AS (SELECT candidate, sum(CASE WHEN local = 0 THEN lo + 0.5e0 * (up - lo) END) / (sum(local) * sum(1 - local))::DOUBLE AS contrast FROM rk GROUP BY 1),
+dx AS (SELECT ccols.candidate, column_index, (code = mode)::INT::DOUBLE AS hit, crows.row_index IS NOT NULL AS local FROM cells JOIN ccols USING (column_index)
+  JOIN fits USING (candidate, column_index) LEFT JOIN crows ON crows.candidate = ccols.candidate AND crows.row_index = cells.row_index WHERE code IS NOT NULL),
+dp AS (SELECT candidate, column_index, avg(hit) FILTER (local) AS i, avg(hit) FILTER (NOT local) AS o FROM dx GROUP BY 1, 2),
+every AS (SELECT n_nationkey::BIGINT AS candidate, c AS column_index FROM nation, (SELECT unnest([0, 2, 3]) AS c)),
+col AS (SELECT candidate, 0 AS column_index, error, contrast FROM nf JOIN auc USING (candidate)
+  UNION ALL SELECT candidate, column_index, error, CASE WHEN i >= o THEN CASE WHEN o < 1 THEN 0.5e0 + 0.5e0 * (i - o) / (1 - o) ELSE 0.5e0 END ELSE CASE WHEN o > 0 THEN 0.5e0 + 0.5e0 * (i - o) / o ELSE 0.5e0 END END
+  FROM fits JOIN dp USING (candidate, column_index)),
+per AS (SELECT candidate, sqrt(avg(power(coalesce(error, 1), 2))) AS coherence, avg(coalesce(contrast, 0)) AS contrast, count(error) = 3 AS valid FROM every LEFT JOIN col USING (candidate, column_index) GROUP BY 1),
+size AS (SELECT candidate, count(*) AS n_rows, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS r, 3 / 4e0 AS c FROM crows GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def _nation_three(s, d):
+    columns = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("candidate"), F.explode(F.array(*map(F.lit, (0, 2, 3)))).alias("column_index"))
+    return nation_candidates(s, d)[0], columns
+
+
+@query("q_evaluate_kinds", f"""WITH {_KINDS} SELECT candidate, n_rows, round(coherence, 6) AS coherence, round(contrast, 6) AS contrast, round(2 * r * c / (r + c), 6) AS size, valid
+  FROM size JOIN per USING (candidate)""")
+def _(s, d):
+    found = scoring.evaluate_biclusters(customer_cells(s, d), *_nation_three(s, d), patterns=(scoring.CONSTANT,), ratio=0.7).summary
+    return r6(found.filter("coherence IS NOT NULL"), "coherence", "contrast", "size").select("candidate", "n_rows", "coherence", "contrast", "size", "valid")
+
+
+@query("q_evaluate_columns", f"""WITH {_KINDS} SELECT candidate, column_index, CASE WHEN error IS NOT NULL THEN 'constant' END AS pattern, round(coalesce(error, 1), 6) AS error, round(coalesce(contrast, 0), 6) AS contrast
+  FROM every JOIN size USING (candidate) LEFT JOIN col USING (candidate, column_index)""")
+def _(s, d):
+    found = scoring.evaluate_biclusters(customer_cells(s, d), *_nation_three(s, d), patterns=(scoring.CONSTANT,), ratio=0.7).columns
+    return r6(found, "error", "contrast").select("candidate", "column_index", "pattern", "error", "contrast")
+
+
+@query("q_evaluate_mixed")
+def _(s, d):
+    """All patterns over the embeddings and their label, a discrete column of its own."""
+    label = table(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("row_index"), F.lit(64).alias("column_index"), F.lit(None).cast("double").alias("num"), F.col("label").cast("int").alias("code"))
+    cells, rows, columns, *_ = _emb(s, d)
+    cells = cells.select("row_index", "column_index", "num", F.lit(None).cast("int").alias("code")).unionByName(label)
+    columns = columns.unionByName(columns.select("candidate", F.lit(64).alias("column_index")).distinct())
+    return r6(scoring.evaluate_biclusters(cells, rows, columns).summary, "coherence", "contrast", "size", "violation")
+
+
 # records of evaluated candidates
 
 
@@ -266,6 +316,20 @@ def _(s, d):
     return archive.constrained_front(scored(s, d), "loss1", "loss2").select("id", "cell")
 
 
+def _dominates(*losses: str) -> str:
+    return " AND ".join(f"b.{x} <= a.{x}" for x in losses) + f" AND ({' OR '.join(f'b.{x} < a.{x}' for x in losses)})"
+
+
+@query("q_pareto_three", f"WITH {SCORED} SELECT id, cell FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.cell = a.cell AND {_dominates('loss1', 'loss2', 'n_rows')})")
+def _(s, d):
+    return archive.pareto_front(scored(s, d), "loss1", "loss2", "n_rows").select("id", "cell")
+
+
+@query("q_pareto_four", f"WITH {SCORED} SELECT id, generation FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.generation = a.generation AND {_dominates('loss1', 'loss2', 'n_rows', 'n_columns')})")
+def _(s, d):
+    return archive.pareto_front(scored(s, d), "loss1", "loss2", "n_rows", "n_columns", cell="generation").select("id", "generation")
+
+
 _GAP = "CASE WHEN max({0}) OVER c - min({0}) OVER c <= 1e-15 THEN 0 ELSE coalesce((lead({0}) OVER {1} - lag({0}) OVER {1}) / (max({0}) OVER c - min({0}) OVER c), 'inf'::DOUBLE) END"
 
 
@@ -410,16 +474,65 @@ def _(s, d):
 @query("q_assignment")
 def _(s, d):
     p = _pairs(s, d).select((F.col("a") % 5).alias("task"), "a", "b", F.col("similarity").alias("weight"))
-    return r6(structure.matched_weight(p), "matched")
+    return r6(matching.matched_weight(p, "task"), "matched")
+
+
+def _shared(s, d):
+    return _pairs(s, d).select("a", "b", (F.col("shared_rows") * F.col("shared_columns")).alias("weight"))
+
+
+def _member_cells(s, d):
+    m = memberships(s, d)
+    return m["ref_rows"].join(m["ref_columns"], "id"), m["det_rows"].join(m["det_columns"], "id")
 
 
 @query("q_error_complement")
 def _(s, d):
     """Clustering-error complement: best one-to-one shared cells over the cells of the multiset union."""
+    union = structure.cell_union(*_member_cells(s, d))
+    return r6(matching.matched_weight(_shared(s, d)).crossJoin(F.broadcast(union)).select((F.col("matched") / F.col("cells")).alias("value")), "value")  # one row each
+
+
+@query("q_bootstrap_error")
+def _(s, d):
+    return matching.bootstrap_error(_shared(s, d), *_member_cells(s, d)).select(*[F.round(c, 4).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query("q_bootstrap_relevance")
+def _(s, d):
+    m = memberships(s, d)
+    j = F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both"))
+    best = lambda x, y, e, n: structure.overlap(x, y, e).groupBy(F.col("a").alias("id")).agg(F.max(j).alias(n))
+    x = m["ref_rows"].select("id").distinct().join(best(m["ref_rows"], m["det_rows"], "row_index", "r"), "id", "left").join(best(m["ref_columns"], m["det_columns"], "column_index", "c"), "id", "left")
+    return matching.bootstrap_relevance(x.fillna(0.0)).select(*[F.round(c, 4).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query("q_set_components", f"""WITH RECURSIVE {MEMBERS}, e AS (SELECT a, b + 1000 AS b FROM pairs WHERE similarity >= 0.045 UNION SELECT b + 1000, a FROM pairs WHERE similarity >= 0.045),
+reach AS (SELECT DISTINCT a AS node, a AS m FROM e UNION SELECT e.b, reach.m FROM reach JOIN e ON e.a = reach.node)
+SELECT node, min(m) AS component FROM reach GROUP BY node""")
+def _(s, d):
+    return matching.components(_pairs(s, d).filter("similarity >= 0.045").select("a", (F.col("b") + 1000).alias("b")))
+
+
+def _set_scores(s, d):
+    return _pairs(s, d).withColumn("right", F.col("b") % 3).select(F.lit(-1).cast("long").alias("left"), "right", "a", "b", F.col("similarity").alias("weight"))
+
+
+@query("q_repertoire_stability")
+def _(s, d):
+    """The reference set against three sets of detected biclusters."""
     m = memberships(s, d)
-    shared = _pairs(s, d).select(F.lit(0).cast("long").alias("task"), "a", "b", (F.col("shared_rows") * F.col("shared_columns")).alias("weight"))
-    union = structure.cell_union(m["ref_rows"].join(m["ref_columns"], "id"), m["det_rows"].join(m["det_columns"], "id"))
-    return r6(structure.matched_weight(shared).crossJoin(F.broadcast(union)).select((F.col("matched") / F.col("cells")).alias("value")), "value")
+    left = m["ref_rows"].agg(F.count_distinct("id").alias("left_count"))
+    right = m["det_rows"].select("id").distinct().groupBy((F.col("id") % 3).alias("right")).agg(F.count(F.lit(1)).alias("right_count"))
+    sizes = right.crossJoin(F.broadcast(left)).withColumn("left", F.lit(-1).cast("long"))  # one row
+    return r6(matching.repertoire_stability(_set_scores(s, d), sizes, (0.05, 0.1)), "mean_matched_stability", "median_matched_stability", "coverage_at_0_05", "coverage_at_0_1")
+
+
+@query("q_reference_stability")
+def _(s, d):
+    scores = _set_scores(s, d)
+    out = matching.reference_stability(scores, memberships(s, d)["ref_rows"].select("id").distinct(), scores.select("right").distinct(), 0.05)
+    return r6(out, *[c for c in out.columns if c.endswith("stability") or c == "support_fraction"])
 
 
 # associations
@@ -559,7 +672,7 @@ def _(s, d):
 
 @query("q_bootstrap")
 def _(s, d):
-    return statistics.bootstrap_mean(_res(s, d), "variant", "value", draws=500).withColumns({c: F.round(c, 3) for c in ("low", "high")})
+    return statistics.bootstrap_mean(_res(s, d), "variant", "value").withColumns({c: F.round(c, 3) for c in ("low", "high")})
 
 
 @query("q_replicate_aggregate", "SELECT c_nationkey AS grp, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN any_value(c_mktsegment) END AS segment FROM customer GROUP BY 1")
