@@ -5,7 +5,11 @@ Allocation and choice are plans over relations; the loop runs one set of Spark j
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -160,14 +164,59 @@ def _digest(rows: DataFrame, columns: DataFrame) -> DataFrame:
     return out.select("candidate", "n_rows", "n_columns", F.sha2(F.concat_ws(":", "n_rows", "n_columns", *parts), 256).alias("signature"))
 
 
-def search(cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int = 12, n_columns: int = 4, bins: int = 4, capacity: int = 4, rate: float = 0.02, max_coherence: float = 0.30, seed: str = "search-1") -> DataFrame:
-    """The archive after ``generations`` batches: candidate, generation, cell, signature, n_rows, n_columns, coherence, contrast, violation.
+STATE = "step long, evaluated long, fingerprint string, place string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def save_state(checkpoint: str, step: int, evaluated: int, fingerprint: str, tables: dict[str, DataFrame]) -> None:
+    """Write the tables of a step, then its entry in the log of steps: a step without an entry never was."""
+    spark = next(iter(tables.values())).sparkSession
+    place = f"{checkpoint.rstrip('/')}/steps/{step:06d}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{place}/{name}")
+    entry = spark.createDataFrame([(step, evaluated, fingerprint, place)], STATE).coalesce(1)
+    entry.write.mode("append").parquet(f"{checkpoint.rstrip('/')}/log")
+
+
+def load_state(spark: SparkSession, checkpoint: str, fingerprint: str) -> tuple[int, int, dict[str, DataFrame]] | None:
+    """Step, evaluations and tables of the last step at ``checkpoint``; None if there is none. Another fingerprint is refused."""
+    log = f"{checkpoint.rstrip('/')}/log"
+    if not _exists(spark, log):
+        return None
+    last = spark.read.schema(STATE).parquet(log).orderBy(F.desc("step"), "place").first()
+    if last is None:
+        return None
+    if last["fingerprint"] != fingerprint:
+        raise ValueError(f"{checkpoint} belongs to a search over other cells or with other settings")
+    return last["step"], last["evaluated"], {name: spark.read.parquet(f"{last['place']}/{name}") for name in ("archive", "row_index", "column_index")}
+
+
+def _fingerprint(cells: DataFrame, settings: dict) -> str:
+    whole = cells.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row_index", "column_index", "num", "code")).alias("x"), F.sum(F.xxhash64("code", "num", "column_index", "row_index").cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(json.dumps([settings, str(tuple(whole))], sort_keys=True).encode()).hexdigest()
+
+
+def search(
+    cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int = 12, n_columns: int = 4, bins: int = 4, capacity: int = 4, rate: float = 0.02, max_coherence: float = 0.30,
+    seed: str = "search-1", budget: int | None = None, patterns: tuple[str, ...] = ("constant",), checkpoint: str | None = None,
+) -> DataFrame:
+    """The archive after ``budget`` evaluations (``generations`` batches, if not given): candidate, generation, cell, signature, n_rows, n_columns, coherence, contrast, violation.
 
     The first batch is drawn at random, with shapes up to four times ``n_rows`` and ``n_columns``; later ones cross two parents of drawn
     cells and flip ``rate`` times their size of rows and columns, in or out, as expected. The grid spans all sizes the table allows. All of a batch is scored in one
-    plan, and enters the archive cell by cell in candidate order. The same seed gives the same archive. An empty table gives none.
+    plan (``patterns`` other than constant: by the mixed assignment), and enters the archive cell by cell in candidate order; the last
+    batch is as large as the budget leaves. The same seed gives the same archive. An empty table gives none.
+
+    With a ``checkpoint`` folder each batch ends with its archive and members written there and one entry in a log. A search with
+    the same cells and settings goes on after the last entry, to the same archive as one that was never stopped (if it stopped after whole
+    batches); the budget may be another. With other cells or settings it is refused.
     """
     spark = cells.sparkSession
+    budget = generations * batch if budget is None else budget
     cells = cut(cells.select("row_index", "column_index", "num", "code"), "search-cells")
     stats = cut(prepare.column_stats(cells), "search-stats")
     every = {e: cut(cells.select(e).distinct().withColumn("stratum", F.lit(0)), f"search-{e}") for e in ("row_index", "column_index")}
@@ -177,9 +226,17 @@ def search(cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int
     bounds = spark.range(1).select(F.lit(0).alias("bound"), *[F.lit(v).cast("long").alias(f"{k}_{n}") for n, v_ in (("rows", most["row_index"]), ("columns", most["column_index"])) for k, v in (("min", 2), ("max", v_))])
     first = shapes(bounds, batch, bins, f"{seed}:shape")
     members: dict[str, DataFrame] = {}
-    kept = None
-    for g in range(generations):
-        new = spark.range(g * batch, (g + 1) * batch).select(F.col("id").alias("candidate"))
+    kept, g, evaluated = None, 0, 0
+    if checkpoint:
+        settings = {"batch": batch, "n_rows": n_rows, "n_columns": n_columns, "bins": bins, "capacity": capacity, "rate": rate, "max_coherence": max_coherence, "seed": seed, "patterns": list(patterns)}
+        fingerprint = _fingerprint(cells, settings)
+        found = load_state(spark, checkpoint, fingerprint)
+        if found is not None:
+            g, evaluated, tables = found[0] + 1, found[1], found[2]
+            kept, members = tables.pop("archive"), tables
+    while evaluated < budget:
+        count = min(batch, budget - evaluated)
+        new = spark.range(g * batch, g * batch + count).select(F.col("id").alias("candidate"))
         made: dict[str, DataFrame] = {}
         if kept is not None:
             pool = kept.withColumn("loss", (F.col("loss1") + F.col("loss2")) / 2).withColumn("id", F.col("candidate"))
@@ -200,13 +257,30 @@ def search(cells: DataFrame, batch: int = 16, generations: int = 3, n_rows: int
         rows, columns = made["row_index"], made["column_index"]
         shape = _digest(rows, columns).filter("n_rows >= 2 AND n_columns >= 2")
         rows, columns = (x.join(shape.select("candidate"), "candidate", "left_semi") for x in (rows, columns))
-        scored = evaluate.evaluate_constant(cells, rows, columns, stats, max_coherence=max_coherence).select("candidate", "coherence", "contrast", "violation").join(shape, "candidate")
+        scored = _scores(cells, rows, columns, stats, patterns, max_coherence).join(shape, "candidate")
         cell = archive.geometric_bin(F.col("n_rows"), 2, max(3, total["row_index"]), bins) * bins + archive.linear_bin(F.col("n_columns"), 2, max(3, total["column_index"]), bins)
-        scored = scored.select("candidate", F.lit(g).alias("generation"), cell.cast("long").alias("cell"), "signature", "n_rows", "n_columns", "coherence", "contrast", "violation", F.col("coherence").alias("loss1"), (1 - F.col("contrast")).alias("loss2"))
-        together = cut(scored if kept is None else kept.unionByName(scored), "search-scored")
-        status = archive.insert_fold(together.withColumn("sequence", F.col("candidate")).withColumn("valid", F.lit(True)), capacity)
-        kept = cut(together.join(archive.survivors(status).withColumnRenamed("sequence", "candidate"), "candidate", "left_semi"), "search-archive")
+        scored = scored.select("candidate", F.lit(g).alias("generation"), cell.cast("long").alias("cell"), "signature", "n_rows", "n_columns", "coherence", "contrast", "violation", F.col("coherence").alias("loss1"), (1 - F.col("contrast")).alias("loss2"), "valid")
+        together = cut(scored if kept is None else kept.withColumn("valid", F.lit(True)).unionByName(scored), "search-scored")
+        status = archive.insert_fold(together.withColumn("sequence", F.col("candidate")), capacity)
+        kept = cut(together.drop("valid").join(archive.survivors(status).withColumnRenamed("sequence", "candidate"), "candidate", "left_semi"), "search-archive")
         for e in sizes:
             both = made[e] if e not in members else members[e].unionByName(made[e])
             members[e] = cut(both.join(kept.select("candidate"), "candidate", "left_semi"), f"search-members-{e}")
+        evaluated += count
+        if checkpoint:
+            save_state(checkpoint, g, evaluated, fingerprint, {"archive": kept, **members})
+        g += 1
+    if kept is None:
+        raise ValueError("a search needs a budget of one evaluation at least")
     return kept.drop("loss1", "loss2")
+
+
+def _scores(cells: DataFrame, rows: DataFrame, columns: DataFrame, stats: DataFrame, patterns: tuple[str, ...], max_coherence: float) -> DataFrame:
+    """candidate, coherence, contrast, violation, valid of a batch."""
+    if tuple(patterns) == ("constant",):
+        out = evaluate.evaluate_constant(cells, rows, columns, stats, max_coherence=max_coherence)
+        return out.select("candidate", "coherence", "contrast", "violation", F.lit(True).alias("valid"))
+    from . import scoring  # which builds on this module
+
+    found = scoring.evaluate_biclusters(cells, rows, columns, patterns, stats, max_coherence=max_coherence).summary
+    return found.filter("coherence IS NOT NULL").select("candidate", "coherence", "contrast", "violation", "valid")

@@ -81,6 +81,32 @@ def test_children_enter_whatever_the_table_size(spark, n):
     assert any(r["generation"] == 1 for r in out) and len({r["cell"] for r in out}) > 1
 
 
+def small_cells(spark):
+    cells = spark.range(60).select(F.col("id").alias("row_index"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("column_index"))
+    return cells.withColumn("num", F.when(F.col("row_index") < 25, 1.0).otherwise((F.col("row_index") * 31 + F.col("column_index") * 17) % 23 / 1.0)).withColumn("code", F.lit(None).cast("int"))
+
+
+def test_stopped_and_resumed_search_equals_an_uninterrupted_one(spark, tmp_path):
+    cells, place = small_cells(spark), str(tmp_path / "state")
+    run = lambda **k: sorted(map(tuple, search.search(cells, batch=5, n_rows=8, n_columns=3, capacity=2, **k).collect()))
+    whole = run(budget=13)
+    assert run(budget=5, checkpoint=place) == run(budget=5)
+    (tmp_path / "state/steps/000001-lost/archive").mkdir(parents=True)  # a step that ended before its entry
+    assert run(budget=13, checkpoint=place) == whole
+    assert run(budget=13, checkpoint=place) == whole  # nothing is left to do
+    assert spark.read.parquet(f"{place}/log").orderBy("step").select("step", "evaluated").collect() == [(0, 5), (1, 10), (2, 13)]
+    for other in ({"rate": 0.5}, {"seed": "other"}, {"patterns": ("constant", "additive")}):
+        with pytest.raises(ValueError, match="other settings"):
+            run(budget=20, checkpoint=place, **other)
+    with pytest.raises(ValueError, match="other cells"):
+        search.search(cells.filter("row_index > 0"), batch=5, n_rows=8, n_columns=3, capacity=2, budget=20, checkpoint=place)
+
+
+def test_search_by_any_pattern_keeps_what_is_valid(spark):
+    out = search.search(small_cells(spark), batch=6, budget=6, n_rows=8, n_columns=3, patterns=("constant", "additive")).collect()
+    assert out and all(r["coherence"] is not None and r["contrast"] is not None for r in out)
+
+
 def test_index_outside_fails(spark):
     docs = spark.createDataFrame([(1, '[{"rows": [0, 9], "columns": [true, false]}]')], "source long, json string")
     sets = imports.coordinate_sets(docs, "A_B")
