@@ -134,14 +134,19 @@ _MANY = _EVAL.replace("SELECT label::BIGINT AS candidate, vec_id::BIGINT AS row_
 _MANY = _MANY.replace("SELECT (c % 10)::BIGINT AS candidate, c::INT AS column_index FROM range(64) t(c)", "SELECT i::BIGINT AS candidate, ((i * 7 + k * 11) % 64)::INT AS column_index FROM range(1000) u(i), range(6) t(k)")
 
 
-@query("q_evaluate_thousand", _MANY)
-def q_evaluate_thousand(s, d):
-    """A thousand overlapping candidates in one plan."""
-    cells, k = embedding_cells(s, d), F.col("k")
+def _thousand(s, d):
+    k = F.col("k")
     rows = table(s, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
     rows = rows.select(((F.col("vec_id") * 37 + k * 101) % 1000).cast("long").alias("candidate"), F.col("vec_id").cast("long").alias("row_index")).distinct()
     columns = s.range(1000).select(F.col("id").alias("candidate"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
-    columns = columns.select("candidate", ((F.col("candidate") * 7 + k * 11) % 64).cast("int").alias("column_index"))
+    return rows, columns.select("candidate", ((F.col("candidate") * 7 + k * 11) % 64).cast("int").alias("column_index"))
+
+
+@query("q_evaluate_thousand", _MANY)
+def q_evaluate_thousand(s, d):
+    """A thousand overlapping candidates in one plan."""
+    cells = embedding_cells(s, d)
+    rows, columns = _thousand(s, d)
     return r6(evaluate.evaluate_constant(cells, rows, columns, prepare.column_stats(cells), max_coherence=0.25), "coherence", "contrast", "size", "violation")
 
 
@@ -226,6 +231,13 @@ def _(s, d):
     return r6(joint.joint_fit(inside, stats, "multiplicative"), "beta", "error")
 
 
+@query("q_joint_thousand")
+def _(s, d):
+    """Additive fits of a thousand overlapping candidates in one plan."""
+    cells = embedding_cells(s, d)
+    return r6(joint.joint_fit(fit.submatrix(cells, *_thousand(s, d)), prepare.column_stats(cells), "additive"), "beta", "error")
+
+
 @query("q_best_pattern")
 def _(s, d):
     _, _, _, stats, inside = _emb(s, d)

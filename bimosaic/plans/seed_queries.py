@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fit, prepare, seeds
+from ..operators import fit, joint_seeds, prepare, seeds
 from ..sources import delimited
 from .inputs import EMB, FIT, embedding_cells, label_candidates, table
 from .queries import query, r6
@@ -133,3 +133,39 @@ def _(s, d):
 def _(s, d):
     masks = table(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double") > 0.1).alias("mask"))
     return delimited.mask_members(masks, "id", "mask", "column_index").withColumn("column_index", F.col("column_index").cast("long"))
+
+
+def _relations(s, d):
+    """The two lowest rows of each label as a pair."""
+    two = table(s, d, "embeddings").groupBy(F.col("label").cast("long").alias("candidate")).agg(F.array_sort(F.collect_list(F.col("vec_id").cast("long"))).alias("v"))
+    return two.select("candidate", F.col("v")[0].alias("first"), F.col("v")[1].alias("second"), F.lit(4).alias("n_columns"), F.lit(10).alias("n_rows"))
+
+
+_RELATION = """WITH {emb}, pr AS (SELECT label::BIGINT AS candidate, list_sort(list(vec_id::BIGINT)) AS v FROM embeddings GROUP BY 1),
+x AS (SELECT candidate, v[1] AS first, v[2] AS second, a.column_index, {relation} AS rel, {scale} AS scale FROM pr JOIN cells a ON a.row_index = v[1] JOIN cells b ON b.row_index = v[2] AND b.column_index = a.column_index
+  JOIN stats s ON s.column_index = a.column_index WHERE {usable}),
+m AS (SELECT candidate, median(rel) AS m FROM x GROUP BY 1)
+SELECT candidate, first, second, column_index, row_number() OVER (PARTITION BY candidate ORDER BY round(abs(rel - m) / scale, 12), column_index)::INT AS rank, round(abs(rel - m) / scale, {digits}) AS off FROM x JOIN m USING (candidate)"""
+
+
+@query("q_pair_ranking_additive", _RELATION.format(emb=EMB, relation="b.num - a.num", scale="CASE WHEN rr > 1e-12 THEN rr ELSE greatest(abs(median), 1) END", usable="a.num IS NOT NULL AND b.num IS NOT NULL", digits=6))
+def _(s, d):
+    cells = embedding_cells(s, d)
+    return r6(joint_seeds.relation_ranking(cells, _relations(s, d), prepare.column_stats(cells), "additive", pool=64), "off").drop("n_columns")
+
+
+@query("q_pair_ranking_multiplicative", _RELATION.format(emb=EMB, relation="b.num / a.num", scale="1", usable="abs(a.num) > 1e-12 AND b.num IS NOT NULL", digits=5))
+def _(s, d):
+    cells = embedding_cells(s, d)
+    out = joint_seeds.relation_ranking(cells, _relations(s, d), prepare.column_stats(cells), "multiplicative", pool=64)
+    return out.withColumn("off", F.round("off", 5)).drop("n_columns")
+
+
+@query("q_joint_seeds")
+def _(s, d):
+    """Ten additive seeds of 12 rows and 4 columns, one row a member."""
+    cells = embedding_cells(s, d)
+    wanted = s.range(10).select(F.col("id").alias("candidate"), F.lit(12).alias("n_rows"), F.lit(4).alias("n_columns"))
+    rows, columns = joint_seeds.joint_seeds(cells, wanted, prepare.column_stats(cells), "additive")
+    side = lambda df, axis, c: df.select("candidate", F.lit(axis).alias("axis"), F.col(c).cast("long").alias("member"))
+    return side(rows, "row", "row_index").unionByName(side(columns, "column", "column_index"))
