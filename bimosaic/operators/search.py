@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, exists
 from . import archive, evaluate, prepare, seeds
 from .fit import residual_scale
 from .prepare import ZERO
@@ -167,11 +167,6 @@ def _digest(rows: DataFrame, columns: DataFrame) -> DataFrame:
 STATE = "step long, evaluated long, fingerprint string, place string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def save_state(checkpoint: str, step: int, evaluated: int, fingerprint: str, tables: dict[str, DataFrame]) -> None:
     """Write the tables of a step, then its entry in the log of steps: a step without an entry never was."""
     spark = next(iter(tables.values())).sparkSession
@@ -185,7 +180,7 @@ def save_state(checkpoint: str, step: int, evaluated: int, fingerprint: str, tab
 def load_state(spark: SparkSession, checkpoint: str, fingerprint: str) -> tuple[int, int, dict[str, DataFrame]] | None:
     """Step, evaluations and tables of the last step at ``checkpoint``; None if there is none. Another fingerprint is refused."""
     log = f"{checkpoint.rstrip('/')}/log"
-    if not _exists(spark, log):
+    if not exists(spark, log):
         return None
     last = spark.read.schema(STATE).parquet(log).orderBy(F.desc("step"), "place").first()
     if last is None:

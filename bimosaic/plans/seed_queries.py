@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fit, joint_seeds, prepare, seeds
+from ..operators import fit, initialise, joint_seeds, prepare, seeds
 from ..sources import delimited
 from .inputs import EMB, FIT, embedding_cells, label_candidates, table
 from .queries import query, r6
@@ -169,3 +169,25 @@ def _(s, d):
     rows, columns = joint_seeds.joint_seeds(cells, wanted, prepare.column_stats(cells), "additive")
     side = lambda df, axis, c: df.select("candidate", F.lit(axis).alias("axis"), F.col(c).cast("long").alias("member"))
     return side(rows, "row", "row_index").unionByName(side(columns, "column", "column_index"))
+
+
+@query("q_next_targets", """WITH t AS (SELECT c_nationkey::BIGINT AS cell, c_custkey % 4 AS slot, count(*) % 5 AS attempts FROM customer GROUP BY 1, 2),
+s AS (SELECT n_nationkey::BIGINT AS cell, k AS slot, ['constant', 'additive', 'multiplicative', 'constant'][k + 1] AS pattern, coalesce(attempts, 0) AS attempts, coalesce(attempts, 0) % 2 = 1 AS made
+  FROM nation CROSS JOIN range(4) r(k) LEFT JOIN t ON t.cell = n_nationkey AND t.slot = k),
+o AS (SELECT *, sum(attempts) OVER (PARTITION BY cell) AS tried FROM s),
+f AS (SELECT * FROM o WHERE NOT made AND tried < 8 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY attempts, slot) = 1)
+SELECT cell, slot::INT AS slot, pattern, attempts::BIGINT AS attempts FROM f ORDER BY tried, cell LIMIT 10""")
+def _(s, d):
+    plan = initialise.coverage_plan(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("cell")), ("constant", "additive", "multiplicative"))
+    tried = table(s, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("cell"), (F.col("c_custkey") % 4).cast("int").alias("slot")).agg((F.count(F.lit(1)) % 5).alias("n")).filter("n > 0")
+    attempts = tried.select("cell", "slot", F.explode(F.array_repeat(F.col("n") % 2 == 1, F.col("n").cast("int"))).alias("hit"))
+    return initialise.next_targets(initialise.recorded(plan, attempts), 10, 8).select("cell", "slot", "pattern", "attempts")
+
+
+@query("q_pattern_aware")
+def _(s, d):
+    """Twelve candidates of three patterns, one row a candidate: its shape as it came out."""
+    cells = embedding_cells(s, d)
+    bounds = s.range(1).select(F.lit(0).alias("bound"), *[F.lit(v).cast("long").alias(n) for n, v in (("min_rows", 4), ("max_rows", 30), ("min_columns", 3), ("max_columns", 8))])
+    asked = initialise.pattern_requests(bounds, 12, ("constant", "additive", "multiplicative"), 4)
+    return initialise.grow(cells.withColumn("code", F.lit(None).cast("int")), asked, prepare.column_stats(cells))[2]

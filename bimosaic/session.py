@@ -36,3 +36,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in it, whatever store that is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = files(spark, path)
+    return store.exists(place)
+
+
+def beside(path: str) -> str:
+    """Where a folder is written before it is put in its place."""
+    return f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, aside: str, path: str) -> None:
+    """Rename a written folder to its place, where nothing may be yet."""
+    store, place = files(spark, path)
+    if store.exists(place):
+        raise FileExistsError(path)
+    if not store.rename(files(spark, aside)[1], place):
+        raise OSError(f"{aside} can't be renamed to {path}")

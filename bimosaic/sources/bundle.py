@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import beside, put
+
 MANIFEST = "identifier string, n_rows long, n_columns long, n_cells long, digest string"
 
 
@@ -42,13 +44,15 @@ def _check(cells: DataFrame, columns: DataFrame, n_rows: int) -> None:
 
 
 def write_bundle(cells: DataFrame, columns: DataFrame, n_rows: int, path: str, identifier: str) -> None:
-    """Checks, then writes; the manifest comes last, so a folder without one is no bundle."""
+    """Checks, writes beside its place and renames, so a reader sees the whole bundle or none; what is there already is not touched."""
     _check(cells, columns, n_rows)
+    whole, path = path, beside(path)
     cells.select("row_index", "column_index", "num", "code").write.option("compression", "zstd").parquet(f"{path}/cells")
     columns.write.option("compression", "zstd").parquet(f"{path}/columns")
     spark = cells.sparkSession
     kept = fingerprint(spark.read.parquet(f"{path}/cells"))
     kept.select(F.lit(identifier).alias("identifier"), F.lit(n_rows).cast("long").alias("n_rows"), F.lit(columns.count()).alias("n_columns"), "n_cells", "digest").coalesce(1).write.json(f"{path}/manifest")
+    put(spark, path, whole)
 
 
 def inspect_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -7,12 +7,13 @@ left out. A set is written beside its place and then renamed, so a reader sees a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import beside, exists, put
+
 ISSUE = "struct<code:string,message:string,column_index:bigint,pattern:string>"
 NAMED = "struct<name:string,value:double>"
 NESTED = (
@@ -53,18 +54,12 @@ def head(nested: DataFrame) -> DataFrame:
     return nested.withColumn("objectives", slim).withColumn("has_pattern_fit", F.col("patterns").isNotNull()).select(*HEAD)
 
 
-def _files(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def write_repertoire(nested: DataFrame, columns: DataFrame, path: str, row_count: int) -> None:
     """Write a result set; ``columns``: column_index, name, kind, categories of the table it is about, ``row_count`` its rows."""
     spark = nested.sparkSession
-    files, place = _files(spark, path)
-    if files.exists(place):
+    if exists(spark, path):
         raise FileExistsError(path)
-    aside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    aside = beside(path)
     save = lambda df, name, order: df.repartitionByRange("bicluster_id").sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{aside}/{name}")
     save(head(nested), "biclusters", ["bicluster_id"])
     for name, (take, order) in DETAILS.items():
@@ -72,16 +67,14 @@ def write_repertoire(nested: DataFrame, columns: DataFrame, path: str, row_count
         if not rows.isEmpty():
             save(rows, name, ["bicluster_id", *order])
     columns.withColumn("row_count", F.lit(row_count).cast("long")).write.parquet(f"{aside}/columns")
-    if not files.rename(_files(spark, aside)[1], place):
-        raise OSError(f"{aside} can't be renamed to {path}")
+    put(spark, aside, path)
 
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All tables of a result set, those that were left out without rows."""
     out = {"columns": spark.read.parquet(f"{path}/columns")}
     for name, schema in _schemas(spark).items():
-        files, place = _files(spark, f"{path}/{name}")
-        out[name] = spark.read.schema(schema).parquet(f"{path}/{name}") if files.exists(place) else spark.createDataFrame([], schema)
+        out[name] = spark.read.schema(schema).parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
     return out
 
 

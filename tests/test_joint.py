@@ -29,7 +29,7 @@ def nanmed(a, axis=None):
             return np.nanmedian(a, axis)
 
 
-def fit_once(x, seen, scale, names, pattern, ratio):
+def fit_once(x, seen, scale, names, pattern, ratio, limit=25):
     """('reject', column, reason) or ('ok', alpha, beta, errors, rounds, converged)."""
     rows, cols = x.shape
     row_need = needed(rows, ratio)
@@ -71,7 +71,7 @@ def fit_once(x, seen, scale, names, pattern, ratio):
     else:
         beta = nanmed(y, 0)
     unit = 1.0 if product else np.median(scale)
-    for k in range(1, 26):
+    for k in range(1, limit + 1):
         with np.errstate(all="ignore"):
             if product:
                 use = np.abs(beta) > TINY
@@ -105,11 +105,11 @@ def fit_once(x, seen, scale, names, pattern, ratio):
     return "ok", alpha, beta, np.nanmean(r, 0), k, moved <= 1e-6
 
 
-def fit_group(x, seen, scale, names, pattern, ratio):
+def fit_group(x, seen, scale, names, pattern, ratio, limit=25):
     names, gone = list(names), []
     while len(names) >= 2:
         at = np.array(names)
-        out = fit_once(x[:, at], seen[:, at], scale[at], names, pattern, ratio)
+        out = fit_once(x[:, at], seen[:, at], scale[at], names, pattern, ratio, limit)
         if out[0] == "ok":
             return names, out[1:], gone
         gone.append(out[1:])
@@ -160,7 +160,8 @@ def test_joint_fits_match_numpy(spark, monkeypatch, pattern, ratio, in_task):
     cells, inside, whole, seen = frames(spark, blocks, seen)
     stats = prepare.column_stats(cells)
     groups = inside.select("candidate", "column_index").distinct().withColumn("grp", joint.F.col("candidate"))
-    found = joint.fit_groups(inside, groups, stats, pattern, ratio)
+    limit = 25 if in_task else 5
+    found = joint.fit_groups(inside, groups, stats, pattern, ratio, iterations=limit)
     columns, rows, rejected = ({}, {}, {})
     for r in found.columns.collect():
         columns.setdefault(r["grp"], {})[r["column_index"]] = r
@@ -172,7 +173,7 @@ def test_joint_fits_match_numpy(spark, monkeypatch, pattern, ratio, in_task):
     fitted = 0
     for k, b in enumerate(blocks):
         s = seen[at : at + len(b)]
-        names, out, gone = fit_group(b, s, scale, range(6), pattern, ratio)
+        names, out, gone = fit_group(b, s, scale, range(6), pattern, ratio, limit)
         assert sorted(columns.get(k, {})) == names
         assert dict(gone).items() <= rejected.get(k, {}).items()
         if names:
