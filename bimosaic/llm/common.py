@@ -34,14 +34,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: int = 500) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 
-    Meanwhile Arrow batches are small, as rows hold whole texts; the session's own setting comes back afterwards.
+    Meanwhile Arrow batches have ``batch`` rows at most, as rows hold whole texts or more; the session's own setting comes back afterwards.
     """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, "1000")
+    spark.conf.set(BATCH, str(batch))
     try:
         df.write.parquet(path)
     finally:

@@ -362,7 +362,7 @@ def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> Da
                 links = _full_links([np.frombuffer(s.as_py(), np.uint64) for s in b.column(1)[k]])
                 yield pa.RecordBatch.from_arrays([pa.array([reps_[x] for x, _ in links], pa.int64()), pa.array([reps_[y] for _, y in links], pa.int64())], ["a", "b"])
 
-    return materialize(rows.mapInArrow(compare, "a long, b long"), "links")
+    return materialize(rows.mapInArrow(compare, "a long, b long"), "links", 16)  # a row holds a block of full sets
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
@@ -384,12 +384,12 @@ def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFra
     if crossed is not None:  # what one part or the pivot ties into one candidate group need not be compared across the node
         crossed = materialize(crossed, "crossed")
         nodes = nodes.unionByName(dealt(crossed.filter("open")))
-    maybe = materialize(compared_leaves(nodes, reps), "candidates")
+    maybe = materialize(compared_leaves(nodes, reps), "candidates", 64)
     group = components(maybe, "candidate-groups")
     if crossed is not None:
         label = group.select(F.col("node").alias("label"), "component")
         rows = crossed.join(label, "label", "left").select("grp", "rep", F.coalesce("component", "label").alias("label"), F.lit(0).alias("size"))
-        more = materialize(compared_leaves(cross_blocks(rows).withColumnRenamed("block", "node"), reps), "candidates")
+        more = materialize(compared_leaves(cross_blocks(rows).withColumnRenamed("block", "node"), reps), "candidates", 64)
         if not more.isEmpty():
             group = components(maybe.unionByName(more), "candidate-groups")
     group = materialize(reps.select("rep", "label", "size").join(group.select(F.col("node").alias("label"), F.col("component").alias("grp")), "label"), "candidate-groups")
