@@ -5,12 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ZERO = 1e-12
 
 
-def column_stats(cells: DataFrame) -> DataFrame:
-    """column_index, n, p05, median, p95, robust_range, zero_scale of numeric columns (linear interpolation, exact)."""
-    p = cells.groupBy("column_index").agg(F.count("num").alias("n"), F.percentile("num", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
+#: Distinct values of a group that one task sorts, about.
+IN_RANGE = 50_000
+
+
+def exact_percentiles(values: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
+    """keys, n, p (array): the exact percentiles of each group, interpolated, without a group's values ever meeting in one task.
+
+    Equal values are counted first; the distinct ones are dealt into ranges by approximate percentiles, as many ranges as the largest
+    group needs; a value's ranks are its range's start, from the totals of the ranges below, and a running count inside the range.
+    """
+    counts = cut(values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value-counts")
+    widest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-widest // IN_RANGE))
+    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
+    splits = F.percentile_approx("__v", cuts, F.lit(max(1000, 10 * parts))) if parts > 1 else F.array().cast("array<double>")
+    per = counts.groupBy(*keys).agg(F.sum("__n").alias("n"), splits.alias("__splits") if parts > 1 else F.first(splits).alias("__splits"))
+    part = F.size(F.filter("__splits", lambda s: s < F.col("__v")))
+    dealt = counts.join(per, keys).withColumn("__part", part).drop("__splits")
+    totals = dealt.groupBy(*keys, "__part").agg(F.sum("__n").alias("__total"))
+    below = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, "__part", F.coalesce(below, F.lit(0)).alias("__below"))
+    running = F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    x = dealt.withColumn("__running", running).join(totals, [*keys, "__part"]).withColumn("__upto", F.col("__below") + F.col("__running"))
+    index = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    here = lambda i: F.when((F.col("__upto") - F.col("__n") <= i) & (i < F.col("__upto")), F.col("__v"))
+    ends = [e for k, q in enumerate(at) for e in (F.max(here(F.floor(index(q)))).alias(f"__low{k}"), F.max(here(F.ceil(index(q)))).alias(f"__high{k}"))]
+    found = x.groupBy(*keys, "n").agg(*ends)
+    between = [F.col(f"__low{k}") + (F.col(f"__high{k}") - F.col(f"__low{k}")) * (index(q) - F.floor(index(q))) for k, q in enumerate(at)]
+    return found.select(*keys, "n", F.array(*between).alias("p"))
+
+
+def column_stats(cells: DataFrame, by_ranges: bool = False) -> DataFrame:
+    """column_index, n, p05, median, p95, robust_range, zero_scale of numeric columns (linear interpolation, exact).
+
+    ``by_ranges``: for tables whose columns' distinct values do not fit one task (``exact_percentiles``); the figures are the same.
+    """
+    at = [0.05, 0.5, 0.95]
+    if by_ranges:
+        found = exact_percentiles(cells, ["column_index"], "num", at)
+        p = cells.select("column_index").distinct().join(found, "column_index", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:
+        p = cells.groupBy("column_index").agg(F.count("num").alias("n"), F.percentile("num", F.array(*map(F.lit, at))).alias("p"))
     out = p.select("column_index", "n", F.col("p")[0].alias("p05"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p95"))
     out = out.withColumn("robust_range", F.col("p95") - F.col("p05"))
     return out.withColumn("zero_scale", F.coalesce(F.col("robust_range") <= ZERO, F.lit(False)))

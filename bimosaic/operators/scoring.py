@@ -76,7 +76,7 @@ def evaluate_biclusters(
     ``cells``: row_index, column_index, num (numeric columns), code (discrete ones) and, where values were imputed, observed.
     Candidates below the minimum numbers of rows or columns get their issue and nothing else.
     """
-    stats = cut(prepare.column_stats(cells) if stats is None else stats, "stats")
+    stats = cut(prepare.column_stats(cells, by_ranges=True) if stats is None else stats, "stats")
     frequencies = prepare.frequencies(cells) if frequencies is None else frequencies
     n = rows.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_rows")).join(columns.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_columns")), "candidate", "full")
     n = cut(n.fillna(0, ["n_rows", "n_columns"]).withColumn("sound", (F.col("n_rows") >= minimum_rows) & (F.col("n_columns") >= minimum_columns)), "sizes")

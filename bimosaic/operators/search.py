@@ -213,7 +213,7 @@ def search(
     spark = cells.sparkSession
     budget = generations * batch if budget is None else budget
     cells = cut(cells.select("row_index", "column_index", "num", "code"), "search-cells")
-    stats = cut(prepare.column_stats(cells), "search-stats")
+    stats = cut(prepare.column_stats(cells, by_ranges=True), "search-stats")
     every = {e: cut(cells.select(e).distinct().withColumn("stratum", F.lit(0)), f"search-{e}") for e in ("row_index", "column_index")}
     total = {e: x.count() for e, x in every.items()}
     sizes = {"row_index": "n_rows", "column_index": "n_columns"}

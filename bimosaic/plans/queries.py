@@ -124,6 +124,13 @@ v AS (SELECT *, 2 * (n_rows / tr) * (n_columns / tc) / (n_rows / tr + n_columns
 SELECT candidate, n_rows, n_columns, round(coherence, 6) AS coherence, round(contrast, 6) AS contrast, round(size, 6) AS size, round(greatest(0, coherence - 0.25e0), 6) AS violation, coherence <= 0.25e0 AS feasible FROM v"""
 
 
+@query("q_exact_percentiles", """SELECT l_returnflag AS flag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS p01, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999
+FROM lineitem GROUP BY 1""")
+def _(s, d):
+    x = prepare.exact_percentiles(table(s, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), ["flag"], "l_extendedprice", [0.01, 0.5, 0.999])
+    return x.select("flag", "n", *[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("p01", "p50", "p999"))])
+
+
 @query("q_evaluate_constant", _EVAL)
 def q_evaluate_constant(s, d):
     cells, rows, columns, stats, _ = _emb(s, d)

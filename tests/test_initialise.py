@@ -106,3 +106,20 @@ def test_streams_agree_with_batches(spark, tmp_path):
     windows.writeStream.outputMode("complete").format("memory").queryName("by_time").trigger(availableNow=True).start().awaitTermination()
     want = df.groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     assert sorted(map(str, spark.table("by_time").collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("size", [50_000, 7])
+def test_percentiles_by_ranges_are_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(prepare, "IN_RANGE", size)
+    r = np.random.default_rng(4)
+    values = {0: r.normal(size=300), 1: r.integers(0, 5, 200).astype(float), 2: np.array([3.5]), 3: np.repeat(2.0, 50), 4: np.array([])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [(k, None) for k in values]
+    df = spark.createDataFrame(rows, "column_index int, num double").repartition(5)
+    at = [0.0, 0.05, 1 / 3, 0.5, 0.95, 1.0]
+    got = {q["column_index"]: q for q in prepare.exact_percentiles(df, ["column_index"], "num", at).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for k, q in got.items():
+        assert q["n"] == len(values[k]) and q["p"] == pytest.approx(np.quantile(values[k], at).tolist(), abs=1e-12)
+    same = lambda x: sorted((tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in q) for q in x.collect()), key=str)
+    assert same(prepare.column_stats(df, by_ranges=True)) == same(prepare.column_stats(df))
+    assert prepare.exact_percentiles(df.limit(0), ["column_index"], "num", at).collect() == []
