@@ -191,3 +191,21 @@ def _(s, d):
     bounds = s.range(1).select(F.lit(0).alias("bound"), *[F.lit(v).cast("long").alias(n) for n, v in (("min_rows", 4), ("max_rows", 30), ("min_columns", 3), ("max_columns", 8))])
     asked = initialise.pattern_requests(bounds, 12, ("constant", "additive", "multiplicative"), 4)
     return initialise.grow(cells.withColumn("code", F.lit(None).cast("int")), asked, prepare.column_stats(cells))[2]
+
+
+_IDS = ("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+
+
+@query("q_usable_identifiers", "SELECT unnest(['" + "', '".join(_IDS) + "']) AS name, unnest([" + ", ".join(f"count(*) = count(DISTINCT trim({c}::VARCHAR)) AND count(*) FILTER (trim({c}::VARCHAR) <> '') = count(*)" for c in _IDS) + "]) AS usable FROM orders")
+def _(s, d):
+    return delimited.usable_identifiers(table(s, d, "orders"), list(_IDS))
+
+
+@query("q_default_identifiers", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR AS identifier FROM orders")
+def _(s, d):
+    return delimited.default_identifiers(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("q_category_order", "SELECT c_mktsegment AS value, (row_number() OVER (ORDER BY min(c_custkey)) - 1)::INT AS code FROM customer GROUP BY 1")
+def _(s, d):
+    return delimited.category_order(table(s, d, "customer"), "c_custkey", "c_mktsegment")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: What stands for a missing value, and for true and false, in any case.
 MISSING = ("", "na", "n/a", "nan", "null", "?")
 TRUE = ("true", "t", "yes", "y", "1")
@@ -99,3 +101,27 @@ def nested_results(results: DataFrame, rows: DataFrame, columns: DataFrame) -> D
     r = rows.groupBy("id").agg(F.array_sort(F.collect_set("row_index")).alias("rows"))
     c = columns.groupBy("id").agg(F.array_sort(F.collect_set("column_index")).alias("columns"))
     return results.join(r, "id", "left").join(c, "id", "left")
+
+
+def usable_identifiers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, usable, for each column: whether every row has a value of its own there, none missing or blank. One pass over the table."""
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    good = lambda c: (F.count_if(text(c) != "") == F.count(F.lit(1))) & (F.count_distinct(text(c)) == F.count(F.lit(1)))
+    one = df.agg(*[F.coalesce(good(c), F.lit(False)).alias(c) for c in columns])
+    return one.unpivot([], columns, "name", "usable")
+
+
+def default_identifiers(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with identifier, the position of each row in order of ``key`` as text, from 0; positions come from counts of ranges, so no task numbers all rows."""
+    spread = df.withColumn("__k", F.col(key)).repartitionByRange("__k").sortWithinPartitions("__k").withColumn("__part", F.spark_partition_id())
+    spread = cut(spread.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "positions")
+    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    out = spread.join(sizes.select("__part", before.alias("__before")), "__part")
+    return out.withColumn("identifier", (F.col("__before") + F.col("__at")).cast("string")).select(*df.columns, "identifier")
+
+
+def category_order(df: DataFrame, key: str, column: str) -> DataFrame:
+    """value, code: the categories of a column in order of first appearance by ``key``; nulls are none."""
+    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(key).alias("__first"))
+    return first.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).cast("int").alias("code"))  # one row a category

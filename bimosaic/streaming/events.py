@@ -14,9 +14,11 @@ def cadence(step, every: int):
     return F.ceil((step + 1) / every).cast("long")
 
 
-def outcome_rates(events: DataFrame, every: int) -> DataFrame:
-    """window, n and the share of each outcome within windows of ``every`` evaluations; events (step, kind)."""
-    kinds = ("click", "error", "purchase", "signup", "view")
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def outcome_rates(events: DataFrame, every: int, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """window, n and the share of each of ``kinds`` within windows of ``every`` evaluations; events (step, kind)."""
     return events.groupBy(cadence(F.col("step"), every).alias("window")).agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("kind") == k).cast("double")).alias(f"{k}_rate") for k in kinds])
 
 
