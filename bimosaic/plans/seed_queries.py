@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fit, initialise, joint_seeds, prepare, seeds
+from ..operators import fit, initialise, joint_seeds, local, prepare, seeds
 from ..sources import delimited
 from .inputs import EMB, FIT, embedding_cells, label_candidates, table
 from .queries import query, r6
@@ -209,3 +209,21 @@ def _(s, d):
 @query("q_category_order", "SELECT c_mktsegment AS value, (row_number() OVER (ORDER BY min(c_custkey)) - 1)::INT AS code FROM customer GROUP BY 1")
 def _(s, d):
     return delimited.category_order(table(s, d, "customer"), "c_custkey", "c_mktsegment")
+
+
+_LU = "('0x' || substr(md5('local-1:{0}:' || candidate || ':' || sequence), 1, 13))::BIGINT / 4503599627370496e0"
+
+
+@query("q_local_plan", f"""WITH p AS (SELECT c_custkey::BIGINT AS candidate, CASE WHEN c_custkey % 3 = 0 THEN 'initializer' ELSE 'alternating_pattern_local_search' END AS producer,
+  CASE WHEN c_custkey % 2 = 0 THEN 'swap_row' ELSE 'add_column' END AS last, c_nationkey::BIGINT AS sequence, 2 + c_custkey % 4 AS n_rows, 2 + c_custkey % 3 AS n_columns FROM customer),
+t AS (SELECT *, CASE WHEN producer = 'alternating_pattern_local_search' THEN CASE WHEN last = 'swap_row' THEN 'columns' ELSE 'rows' END WHEN sequence % 2 = 0 THEN 'rows' ELSE 'columns' END AS turn,
+  {_LU.format('kind')} AS u, {_LU.format('way')} AS v FROM p),
+s AS (SELECT *, CASE turn WHEN 'rows' THEN n_rows < 5 ELSE n_columns < 4 END AS grow, CASE turn WHEN 'rows' THEN n_rows > 2 ELSE n_columns > 2 END AS shrink FROM t)
+SELECT candidate, turn AS side, CASE WHEN grow AND u >= 0.25 THEN 'swap' WHEN grow AND shrink THEN CASE WHEN v < 0.5 THEN 'add' ELSE 'remove' END WHEN grow THEN 'add' ELSE 'remove' END AS operation FROM s""")
+def _(s, d):
+    k = F.col("c_custkey").cast("long")
+    c = table(s, d, "customer").withColumn("candidate", k)
+    producer = F.when(k % 3 == 0, "initializer").otherwise(local.NAME)
+    parents = c.select("candidate", producer.alias("producer"), F.when(k % 2 == 0, "swap_row").otherwise("add_column").alias("operation"), F.col("c_nationkey").cast("long").alias("sequence"))
+    sizes = c.select("candidate", (k % 4 + 2).alias("n_rows"), (k % 3 + 2).alias("n_columns"), F.lit(5).alias("all_rows"), F.lit(4).alias("all_columns"))
+    return local.local_plan(parents, sizes)
