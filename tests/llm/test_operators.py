@@ -277,6 +277,38 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert all(r["kept"] != r["base_failed"] for r in rules.judge(docs, known.limit(0)).collect())
 
 
+def test_rules_fit_counts_every_labelled_row(spark):
+    r = np.random.default_rng(6)
+    n = 9000
+    quality = (r.random(n) < 0.8).astype(int)
+    words = r.integers(60, 900, n)
+    symbols = np.where(quality == 1, r.integers(0, 20, n), r.integers(0, 500, n))
+    cells = [range(n), words, words * r.integers(3, 9, n), symbols, words * 0, r.integers(0, 25, n), words * 0 + 1, r.integers(0, 40, n), words * 3, r.integers(0, 9, n)]
+    stats = spark.createDataFrame([tuple(map(int, x)) for x in zip(*cells, strict=True)], rules.STATS)
+    labels = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quality)], "doc_id long, quality int")
+    forest, threshold = rules.fit(stats, labels)
+    x = rules.features({c: np.array(v, float) for c, v in zip(rules.NAMES, cells, strict=True)})
+    halves = {i: h for i, h in spark.range(n).selectExpr("id", "pmod(xxhash64(id, 23), 2)").collect()}
+    grow = x[[i for i in range(n) if quality[i] and halves[i] == 0]]
+    for t in forest.trees[::12]:  # every row that grows the forest is in one leaf of each tree
+        held = {}
+        for row in grow:
+            k = d = 0
+            while t[k][0] >= 0:
+                k, d = int(t[k][3] if row[int(t[k][0])] >= t[k][1] else t[k][2]), d + 1
+            held[k, d] = held.get((k, d), 0) + 1
+        assert all(t[k][4] == pytest.approx(d + float(rules._mean_path(c))) for (k, d), c in held.items())
+    rest = [i for i in range(n) if not quality[i] or halves[i]]
+    score, good = forest.score(x[rest]), quality[rest] == 1
+    gain = {}
+    for s in np.unique(score):
+        lost, caught = int((score[good] > s).sum()), int((score[~good] > s).sum())
+        if lost <= rules.MAX_CLEAN_LOSS * good.sum():
+            gain[s] = (caught * int(good.sum()) - lost * int((~good).sum()), s)
+    best = max(gain, key=gain.get)
+    assert threshold == pytest.approx((best + score[score > best].min()) / 2, abs=1e-12)
+
+
 # packing
 
 
