@@ -3,7 +3,9 @@
 A slim log (row number, doc_id, SHA-256 of the text, bytes, locator) is written once and then read as a stream.
 The stream keeps one state row per digest, without expiry, in RocksDB: the stable identifier that stays, its row number,
 its content locator (the file that holds it), and the number of rows seen. A later run may go on from the same checkpoint
-(``dedup_stream``). Only hits, the digests of more than one row, are confirmed on their whole bytes: a filter of fixed size keeps
+(``dedup_stream``). What each batch changes in the state is written beside it, so the groups are read without opening the
+stores again; every store that an executor opens costs it some memory that it does not get back, so there are as many
+as the rows and the cores need. Only hits, the digests of more than one row, are confirmed on their whole bytes: a filter of fixed size keeps
 all other texts out of the shuffle, and the least and the greatest text of a digest are equal exactly if all are; both aggregate
 on the map side, so a group that holds a third of all rows shuffles a few rows.
 
@@ -33,6 +35,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: Rows for each part of the state, unless the cores need more parts; never more parts than the session's shuffles have.
+STORE_ROWS = 50_000
 
 
 def sha256(text: Column) -> Column:
@@ -50,23 +54,49 @@ def digest_log(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     )
 
 
-def dedup_stream(spark: SparkSession, log: DataFrame, checkpoint: str) -> None:
-    """Fold what a streaming ``log`` has now into the state at ``checkpoint``; call it again when more has arrived."""
+def stores(spark: SparkSession, rows: int) -> int:
+    """Parts of the state for a log of so many rows."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // STORE_ROWS)))
+
+
+def dedup_stream(spark: SparkSession, log: DataFrame, checkpoint: str, updates: str | None = None, parts: int | None = None) -> int:
+    """Fold what a streaming ``log`` has now into the state at ``checkpoint``; call it again when more has arrived. Returns the number of batches.
+
+    updates: a folder for the keys that each batch changed, with their state after it. parts: of the state, where the checkpoint is new.
+    """
     keyed = log.groupBy("digest").agg(
         F.max(F.struct("doc_id", "row_no", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size")
     )
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    settings = STATE_CONF | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    batches: set[int] = set()
+
+    def put(batch: DataFrame, k: int) -> None:
+        batches.add(k)
+        if updates:
+            batch.write.mode("overwrite").parquet(f"{updates}/batch={k}")
+        else:
+            batch.write.format("noop").mode("overwrite").save()
+
+    if updates:  # a log without a batch has changed nothing
+        spark.createDataFrame([], keyed.schema).write.parquet(f"{updates}/batch=-1")
     try:
-        for k, v in STATE_CONF.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
-        query = (
-            keyed.writeStream.outputMode("update").format("noop")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
+        query = keyed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return len(batches)
+
+
+def read_updates(spark: SparkSession, updates: str, batches: int) -> DataFrame:
+    """What ``read_state`` gives, from the updates of all batches since the state was empty: the last one of each digest."""
+    found = spark.read.schema("digest string, keeper struct<doc_id: long, row_no: long, locator: string>, group_size long, batch long").parquet(updates)
+    if batches > 1:
+        found = found.groupBy("digest").agg(F.max_by(F.struct("keeper", "group_size"), "batch").alias("s")).select("digest", "s.*")
+    return found.select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.row_no").alias("keep_row"), "keeper.locator", "group_size")
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -92,13 +122,16 @@ def unequal_digests(docs: DataFrame, hits: DataFrame, digest: Callable[[Column],
 def exact_groups(docs: DataFrame, max_bytes_per_trigger: int = 64 << 30, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (the digest), row_no, locator (file of the row that stays)."""
     spark = docs.sparkSession
-    path, checkpoint = scratch(spark, "digest-log"), scratch(spark, "dedup-state")
+    path, checkpoint, updates = (scratch(spark, x) for x in ("digest-log", "dedup-state", "dedup-updates"))
     digest_log(docs, digest).write.parquet(path)
     log = spark.read.schema("row_no long, doc_id long, digest string, n_bytes long, locator string").parquet(path)
     stream = spark.readStream.schema(log.schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(path)
-    dedup_stream(spark, stream, checkpoint)
-    state = materialize(read_state(spark, checkpoint), "dedup-groups")
-    out = _decide(log, state)
+    rows = log.count()
+    batches = dedup_stream(spark, stream, checkpoint, updates, stores(spark, rows))
+    state = read_updates(spark, updates, batches)
+    if batches > 1:
+        state = materialize(state, "dedup-groups")
+    out = _decide(log, state, rows)
     bad = materialize(unequal_digests(docs, state.filter("group_size > 1"), digest), "dedup-unequal")
     if not bad.isEmpty():
         exact = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text_or_empty()).alias("digest"), text_or_empty().alias("text"), F.input_file_name().alias("locator"))
@@ -113,9 +146,9 @@ def exact_groups(docs: DataFrame, max_bytes_per_trigger: int = 64 << 30, digest:
     return out
 
 
-def _decide(log: DataFrame, state: DataFrame) -> DataFrame:
+def _decide(log: DataFrame, state: DataFrame, rows: int) -> DataFrame:
     """Rows with their group. Groups above a thousandth of all rows are a thousand at most: those are broadcast, the others join by digest."""
-    limit = max(1000, log.count() // 1000)
+    limit = max(1000, rows // 1000)
     hot = state.filter(F.col("group_size") > limit)
     rest = state.filter(F.col("group_size") <= limit)
     columns = (

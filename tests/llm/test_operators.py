@@ -386,6 +386,27 @@ def test_dedup_state_goes_on_from_its_checkpoint(spark, tmp_path):
         assert collect(exact_dedup.read_state(spark, str(tmp_path / "state")), "keep_id", "group_size") == [(2, 2), (3, 3)][step : step + 1]
 
 
+def test_state_has_the_parts_it_needs_and_updates_equal_it(spark, tmp_path, monkeypatch):
+    texts = [random.Random(i % 37).choice("abcdefg") * (i % 23) for i in range(200)]
+    docs, parts = frame(spark, texts).repartition(6), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        for name, size in (("one", 64 << 30), ("several", 1)):
+            monkeypatch.setattr(exact_dedup, "scratch", lambda _, x, name=name: str(tmp_path / name / x))
+            got = collect(exact_dedup.exact_groups(docs, max_bytes_per_trigger=size), "doc_id", "keep_id", "group_size")
+            assert sorted(got) == [(i, max(j for j, u in enumerate(texts) if u == t), texts.count(t)) for i, t in enumerate(texts)]
+            at = tmp_path / name
+            assert len([x for x in (at / "dedup-state/state/0").iterdir() if x.name.isdigit()]) == spark.sparkContext.defaultParallelism < 24
+            batches = len(list((at / "dedup-updates").glob("batch=[0-9]*")))
+            assert (batches > 1) == (name == "several")
+            state, updates = exact_dedup.read_state(spark, str(at / "dedup-state")), exact_dedup.read_updates(spark, str(at / "dedup-updates"), batches)
+            assert sorted(map(tuple, state.collect())) == sorted(map(tuple, updates.select(state.columns).collect()))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+        assert [exact_dedup.stores(spark, n) for n in (0, 900_000, 10**9)] == [4, 18, 24]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_equal_digests_with_other_bytes_are_told_apart(spark):
     texts, ids = ["a", "b", "a", "c", "d", None, "a"], [3, 8, 5, 1, 2, 9, 5]
     weak = lambda c: F.when(c.isin("a", "b", ""), F.lit("same")).otherwise(F.sha2(c, 256))
