@@ -123,21 +123,33 @@ def _token(position: F.Column) -> F.Column:
 
 
 def roots(reps: DataFrame, trees: int = TREES) -> DataFrame:
-    """rep, tree, at (position in the tree), node, n: the first nodes of every set that others share, and how many do."""
+    """rep, label, tree, at (position in the tree), node: the first nodes of every set; reps: rep, sig and, where sets are tied, label."""
+    if "label" not in reps.columns:
+        reps = labelled(reps, None)
     first = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _token(F.lit(t))).alias("node")) for t in range(trees)])
-    at = reps.select("rep", F.explode(first).alias("b"))
-    return shared(at.select("rep", "b.tree", F.lit(1).alias("at"), "b.node"))
+    at = reps.select("rep", "label", F.explode(first).alias("b"))
+    return materialize(at.select("rep", "label", "b.tree", F.lit(1).alias("at"), "b.node"), "paths")
 
 
-def shared(at: DataFrame) -> DataFrame:
-    """``at`` without sets that are alone in a node, with n, the sets in the node."""
-    at = materialize(at, "paths")
-    return materialize(at.join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node"), "nodes")
+def large(at: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """node, n: the nodes of more than twice ``leaf`` sets."""
+    return materialize(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * leaf), "large-nodes")
 
 
-def homes(at: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """grp, rep, n: the smallest large node of each set that has one, and how many sets are at home there."""
-    home = at.filter(F.col("n") > 2 * leaf).groupBy("rep").agg(F.min(F.struct("n", "node")).alias("h"))
+def mixed(at: DataFrame, tied: bool) -> DataFrame:
+    """``at`` in the nodes where sets of several labels meet, with n, the sets in the node, and pairs, those of different labels; others are done. tied: sets may share a label."""
+    if tied:
+        per = at.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node")
+        per = per.agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"))
+    else:
+        per = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("same", F.col("n").cast("double"))
+    pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2
+    return materialize(at.join(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "node"), "nodes")
+
+
+def homes(at: DataFrame, nodes: DataFrame) -> DataFrame:
+    """grp, rep, n: the smallest large node (node, n) of each set that has one, and how many sets are at home there."""
+    home = at.join(nodes, "node").groupBy("rep").agg(F.min(F.struct("n", "node")).alias("h"))
     home = materialize(home.select("rep", F.col("h.node").alias("grp")), "homes")
     return home.join(home.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grp").select("grp", "rep", "n")
 
@@ -150,21 +162,18 @@ def labelled(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
     return found.withColumn("label", F.coalesce("known", "rep")).drop("known")
 
 
-def leaves(reps: DataFrame, at: DataFrame, tied: DataFrame | None = None, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
-    """node, rep of the nodes of few sets; and grp, rep, label, open of larger nodes to compare across labels: those that this makes small, and the open ones that no level parts."""
+def leaves(reps: DataFrame, at: DataFrame, tied: bool = False, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """node, rep of the nodes of few sets; and grp, rep, label, open of larger nodes to compare across labels: those that this makes small, and the open ones that no level parts.
+
+    Nodes of one label need no comparison and are left out."""
     done = crossed = None
     for level in range(1, DEPTH + 1):
+        at = mixed(at, tied)
         small = at.filter(F.col("n") <= 2 * leaf).select("node", "rep")
         done = small if done is None else done.unionByName(small)
-        rest = at.filter(F.col("n") > 2 * leaf).drop("n")
+        rest = at.filter(F.col("n") > 2 * leaf).withColumn("open", F.col("pairs") > F.col("n") * leaf)
         if rest.isEmpty():
             break
-        rest = materialize(labelled(rest, tied), "large-nodes")
-        per = rest.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"))
-        pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2  # in different components
-        per = materialize(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "mixed-nodes")
-        is_small = F.col("pairs") <= F.col("n") * leaf
-        rest = materialize(rest.join(per.select("node", (~is_small).alias("open")), "node"), "mixed")
         ready = rest if level == DEPTH else rest.filter("NOT open")
         ready = ready.select(F.col("node").alias("grp"), "rep", "label", "open")
         crossed = ready if crossed is None else crossed.unionByName(ready)
@@ -175,8 +184,8 @@ def leaves(reps: DataFrame, at: DataFrame, tied: DataFrame | None = None, leaf:
         child = [F.struct((2 * F.col("at") + k).alias("at"), F.xxhash64("node", F.lit(k), _token(place(k))).alias("node")) for k in (0, 1)]
         if level == 1:  # later levels need the tokens of few sets
             reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching")
-        at = rest.select("node", "rep", "tree", "at").join(reps, "rep")
-        at = shared(at.select("rep", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "tree", "c.at", "c.node"))
+        rest = rest.select("node", "rep", "label", "tree", "at").join(reps, "rep")
+        at = materialize(rest.select("rep", "label", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "label", "tree", "c.at", "c.node"), "paths")
     return done, crossed
 
 
@@ -375,12 +384,16 @@ def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFra
     """Confirmed links (a, b) that span the components of the distinct sets."""
     at = roots(by_set, trees)
     links = tied = None
-    if not at.filter(F.col("n") > 2 * LEAF).isEmpty():
-        links = confirmed_links(docs, tie_blocks(homes(at), by_set), by_set)
-        tied = components(links, "tied").select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    reps = materialize(labelled(by_set.select("rep", "size", "sketch"), tied), "labelled-sets")
-
-    nodes, crossed = leaves(by_set, at, tied)
+    crowded = large(at)
+    if not crowded.isEmpty():
+        links = confirmed_links(docs, tie_blocks(homes(at, crowded), by_set), by_set)
+        if not links.isEmpty():
+            tied = components(links, "tied").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    reps = materialize(labelled(by_set.select("rep", "size", "sketch", "sig"), tied), "labelled-sets")
+    if tied is not None:
+        at = roots(reps, trees)
+
+    nodes, crossed = leaves(by_set, at, tied is not None)
     if crossed is not None:  # what one part or the pivot ties into one candidate group need not be compared across the node
         crossed = materialize(crossed, "crossed")
         nodes = nodes.unionByName(dealt(crossed.filter("open")))

@@ -137,6 +137,19 @@ def test_pairs_in_large_nodes_survive_branching(spark):
     assert sum(bool(at.get(i, set()) & at.get(i + 2000, set())) for i in range(2000)) >= 1990
 
 
+def test_nodes_of_one_label_are_left_out(spark):
+    r, n = np.random.default_rng(8), near_dedup.PATH_TOKENS
+    tied, open_, both = (bytearray(r.integers(1, 1 << 32, n, dtype=np.uint32).tobytes()) for _ in range(3))
+    rows = [(i, tied, 0) for i in range(50)] + [(i, open_, i) for i in range(50, 70)] + [(i, both, 70 + i % 2) for i in range(70, 120)]
+    reps = spark.createDataFrame(rows, "rep long, sig binary, label long")
+    at = near_dedup.roots(reps)
+    assert sorted(r["n"] for r in near_dedup.large(at, leaf=16).collect()) == [50] * 16
+    assert {(r["rep"] // 50 + r["rep"] // 70, r["n"], r["pairs"]) for r in near_dedup.mixed(at, True).collect()} == {(1, 20, 190), (2, 50, 625), (3, 50, 625)}
+    nodes, crossed = near_dedup.leaves(reps, at, True, leaf=16)
+    assert {r["rep"] for r in nodes.collect()} == set(range(50, 70))  # 0 to 49 are one component already
+    assert {(r["rep"], r["open"]) for r in crossed.collect()} == {(i, False) for i in range(70, 120)}
+
+
 def test_full_links_in_column_chunks():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 1 << 60, 90_000).astype(np.uint64))
