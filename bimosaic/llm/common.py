@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: A word: a run without space, tab, newline, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bits of the filter that keeps rows without a partner out of a shuffle: 8 MB, whatever the number of partners.
+#: Bits of the filter that keeps rows without a partner out of a shuffle: 8 MB at most, whatever the number of partners.
 FILTER_BITS = 1 << 26
+#: Bits for each partner where they are few: executors hold a broadcast long after its join.
+KEY_BITS = 256
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -78,17 +80,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
-def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for at most so many keys: a power of two, from one part of 4 KB to ``FILTER_BITS``."""
+    return min(FILTER_BITS, max(1 << 15, 1 << (KEY_BITS * keys - 1).bit_length()))
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """``rows`` whose ``column`` may be among those of ``keys``."""
-    return with_maybe(rows, keys, column, "__maybe").filter("__maybe").drop("__maybe")
+    return with_maybe(rows, keys, column, "__maybe", bits).filter("__maybe").drop("__maybe")
 
 
-def with_maybe(rows: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
-    """``rows`` with ``flag``: whether ``column`` may be among those of ``keys``; one bit for each hash value, in parts of 4 KB, ``FILTER_BITS`` in all.
+def with_maybe(rows: DataFrame, keys: DataFrame, column: str, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``flag``: whether ``column`` may be among those of ``keys``; one bit for each hash value, in parts of 4 KB, ``bits`` in all.
 
     The parts are broadcast, as their size has that bound. Where the filter fills up it lets more rows through, never fewer.
     """
-    value = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long") + 1
+    value = F.pmod(F.xxhash64(column), F.lit(bits)).cast("long") + 1
     parts = keys.select(value.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("__bits"))
     marked = rows.withColumn("__part", F.bitmap_bucket_number(value)).withColumn("__at", F.bitmap_bit_position(value))
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, scratch, text_or_empty, with_maybe
+from .common import filter_bits, materialize, maybe_among, scratch, text_or_empty, with_maybe
 
 #: Settings of the state store while the stream runs; the session's own values come back afterwards.
 STATE_CONF = {
@@ -115,7 +115,7 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 def unequal_digests(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Digests among ``hits`` whose rows differ in their bytes."""
     rows = docs.select(digest(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
-    found = maybe_among(rows, hits.select("digest"), "digest").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    found = maybe_among(rows, hits.select("digest"), "digest", filter_bits(hits.count())).groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
     return found.filter(F.col("a") != F.col("b")).select("digest")
 
 
@@ -162,12 +162,13 @@ def _decide(log: DataFrame, state: DataFrame, rows: int) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat a text; all columns stay as they are."""
-    groups = exact_groups(docs)
-    several = groups.filter("group_size > 1").select("text_sha256")
+    groups = materialize(exact_groups(docs).select("doc_id", "text_sha256", "group_size", "kept"), "dedup-decided")
+    several = groups.filter("group_size > 1 AND kept").select("text_sha256")
+    bits = filter_bits(several.count())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # the caller's columns, whatever their names
     marked = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
-    marked = with_maybe(marked, several, "text_sha256", "hit")  # other texts stay as they are and are not shuffled
-    keep = maybe_among(groups.filter("kept").select("doc_id", "text_sha256"), several, "text_sha256")
+    marked = with_maybe(marked, several, "text_sha256", "hit", bits)  # other texts stay as they are and are not shuffled
+    keep = maybe_among(groups.filter("kept").select("doc_id", "text_sha256"), several, "text_sha256", bits)
     keep = materialize(keep.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")), "dedup-kept")
     out = marked.filter("hit").join(keep, marked["doc_id"].eqNullSafe(keep["id"]) & (marked["text_sha256"] == keep["digest"]), "left_semi")
     rows = keep.groupBy("id", "digest").count()

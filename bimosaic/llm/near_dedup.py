@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, slices, unused
+from .common import filter_bits, materialize, maybe_among, slices, unused
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -353,7 +353,7 @@ def _full_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> DataFrame:
     """Links (a, b) between the sets of ``blocks`` (block, rep), confirmed on full sets; by_set has rep, set_key and first_id, a doc_id."""
     blocks = materialize(blocks.join(by_set.select("rep", "set_key", "first_id"), "rep"), "blocks")
-    texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id")
+    texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", filter_bits(blocks.count()))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -371,7 +371,7 @@ def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> Da
                 links = _full_links([np.frombuffer(s.as_py(), np.uint64) for s in b.column(1)[k]])
                 yield pa.RecordBatch.from_arrays([pa.array([reps_[x] for x, _ in links], pa.int64()), pa.array([reps_[y] for _, y in links], pa.int64())], ["a", "b"])
 
-    return materialize(rows.mapInArrow(compare, "a long, b long"), "links", 16)  # a row holds a block of full sets
+    return materialize(rows.mapInArrow(compare, "a long, b long"), "links", 2)  # a row holds a block of full sets, up to 16 MB
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bimosaic.llm import chat, exact_dedup, langid, mixing, near_dedup, packing, pii, quality_mil, queries, rules, sharding
+from bimosaic.llm import chat, common, exact_dedup, langid, mixing, near_dedup, packing, pii, quality_mil, queries, rules, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long"
 DIR = "/root/testdata/sf0.001"
@@ -150,6 +150,16 @@ def test_nodes_of_one_label_are_left_out(spark):
     assert {(r["rep"], r["open"]) for r in crossed.collect()} == {(i, False) for i in range(70, 120)}
 
 
+def test_filter_grows_with_its_keys_and_loses_none(spark):
+    rows, keys = spark.range(100_000).selectExpr("id", "id % 7 AS x"), spark.range(0, 100_000, 500)
+    bits = common.filter_bits(200)
+    assert bits == 1 << 16 and common.filter_bits(0) == 1 << 15 and common.filter_bits(1 << 40) == common.FILTER_BITS
+    got = {r["id"] for r in common.maybe_among(rows, keys, "id", bits).collect()}
+    assert got >= set(range(0, 100_000, 500)) and len(got) < 2000
+    sent = common.with_maybe(rows, keys, "id", "hit", bits)
+    assert sent.columns == ["id", "x", "hit"] and sent.count() == 100_000
+
+
 def test_full_links_in_column_chunks():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 1 << 60, 90_000).astype(np.uint64))
