@@ -53,6 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(_byte_letters()))
         self.first, self.inner = _Words(self, ""), _Words(self, " ")
         self.line_feed = self.whole("\n")
@@ -62,7 +63,11 @@ class Encoder:
 
     def letters_only(self, word: str) -> bytes:
         """Ids of letters, maybe after a blank: one stretch for the vocabulary's merges, so no pre-tokenizer is needed."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if word.isascii():  # letters stand for themselves
+            shown = word.replace(" ", self.letters[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.special) or any(x in text for x in _ODD) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
@@ -76,22 +81,28 @@ class Encoder:
 
 
 class _Words(dict):
-    """Ids of words that stand after ``before``."""
+    """Ids of words that stand after ``before``; those of a word with marks are put together from both.
+
+    When half of ``MEMO`` words have come, they become the older half, whose words come back as they recur; the half before them goes.
+    """
 
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.older = encoder, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(_MARKS)
-        if stem.isalpha():
-            if stem != word:
-                return self[stem] + self.encoder.first[word[len(stem) :]]
-            ids = self.encoder.letters_only(self.before + word)
-        else:
-            ids = self.encoder.whole(self.before + word)
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self.encoder.letters_only(self.before + word)
+            else:
+                stem = word.rstrip(_MARKS)
+                if stem != word and stem.isalpha():
+                    return self[stem] + self.encoder.first[word[len(stem) :]]
+                ids = self.encoder.whole(self.before + word)
         if len(word) <= 48:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

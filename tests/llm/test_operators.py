@@ -343,6 +343,18 @@ def test_encoder_equals_the_tokenizer():
     assert [t for t in odd if e.encode(t) != e.whole(t)] == []
 
 
+def test_recurring_words_stay_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 40)
+    e = packing.Encoder(queries.tokenizer_path())
+    coded, real = [], e.letters_only
+    monkeypatch.setattr(e, "letters_only", lambda word: coded.append(word) or real(word))
+    letters = "abcdefghij"
+    text = "a " + " ".join(f"again, {x}{y}{z}" for x in letters for y in letters for z in letters)
+    assert e.encode(text) == e.whole(text)
+    assert coded.count(" again") == 1  # 1000 other words came between
+    assert len(e.inner) + len(e.inner.older) <= 40
+
+
 def test_plan_places_every_piece_once():
     r = random.Random(2)
     counts = {r.randint(1, 100): r.randint(1, 50) for _ in range(40)} | {100: 3}
