@@ -19,6 +19,8 @@ FILTER_BITS = 1 << 26
 KEY_BITS = 256
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows for each task that writes a table of known size, unless the cores need more tasks.
+TASK_ROWS = 50_000
 
 _own: dict[str, str] = {}
 
@@ -36,18 +38,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, batch: int = 500) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a slim table of so many rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def materialize(df: DataFrame, name: str, batch: int = 500, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 
-    Meanwhile Arrow batches have ``batch`` rows at most, as rows hold whole texts or more; the session's own setting comes back afterwards.
+    Meanwhile batches have few rows, those for Arrow ``batch`` at most, as rows hold whole texts or more; the session's own settings come back afterwards.
+    rows: about how many there are at most, where that is known; then a slim table is not written in as many files as shuffles have parts.
     """
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, str(batch))
+    path, settings = scratch(spark, name), {BATCH: str(batch)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        df.write.parquet(path)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        (df if rows is None else df.coalesce(tasks_for(spark, rows))).write.parquet(path)
     finally:
-        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,8 +19,8 @@ and so meets in some tree with 1 - 0.325**TREES = 0.9998; every branching of a t
 Comparison in a node uses sketches (one byte of each minwise token) and keeps pairs that may reach the threshold; they form
 candidate groups. Then full sets are compared: every two sets of a group that are not in one component yet, as one block or as pairs
 of blocks. That costs about the group's size where a centre ties it together, and at worst the square. Only confirmed links count:
-the components are those of links with 100 * intersection >= 75 * union on full sets. A comparison emits links that span its
-components, never all pairs.
+the components are those of links with 100 * intersection >= 75 * union on full sets. A comparison emits one pair for each set
+but the smallest of its components, never all pairs.
 
 Defined cases: with fewer than five words the whole sequence is the only shingle; without words or text the set is empty and
 links with nothing; equal sets link (whatever their size above 0); repeated rows are one set; rows that share a doc_id but not a
@@ -136,7 +136,7 @@ def large(at: DataFrame, leaf: int = LEAF) -> DataFrame:
     return materialize(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * leaf), "large-nodes")
 
 
-def mixed(at: DataFrame, tied: bool) -> DataFrame:
+def mixed(at: DataFrame, tied: bool, rows: int | None = None) -> DataFrame:
     """``at`` in the nodes where sets of several labels meet, with n, the sets in the node, and pairs, those of different labels; others are done. tied: sets may share a label."""
     if tied:
         per = at.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node")
@@ -144,13 +144,13 @@ def mixed(at: DataFrame, tied: bool) -> DataFrame:
     else:
         per = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("same", F.col("n").cast("double"))
     pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2
-    return materialize(at.join(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "node"), "nodes")
+    return materialize(at.join(per.select("node", "n", pairs.alias("pairs")).filter("pairs > 0"), "node"), "nodes", rows=rows)
 
 
-def homes(at: DataFrame, nodes: DataFrame) -> DataFrame:
+def homes(at: DataFrame, nodes: DataFrame, sets: int | None = None) -> DataFrame:
     """grp, rep, n: the smallest large node (node, n) of each set that has one, and how many sets are at home there."""
     home = at.join(nodes, "node").groupBy("rep").agg(F.min(F.struct("n", "node")).alias("h"))
-    home = materialize(home.select("rep", F.col("h.node").alias("grp")), "homes")
+    home = materialize(home.select("rep", F.col("h.node").alias("grp")), "homes", rows=sets)
     return home.join(home.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grp").select("grp", "rep", "n")
 
 
@@ -168,7 +168,7 @@ def leaves(reps: DataFrame, at: DataFrame, tied: bool = False, leaf: int = LEAF)
     Nodes of one label need no comparison and are left out."""
     done = crossed = None
     for level in range(1, DEPTH + 1):
-        at = mixed(at, tied)
+        at = mixed(at, tied, at.count())
         small = at.filter(F.col("n") <= 2 * leaf).select("node", "rep")
         done = small if done is None else done.unionByName(small)
         rest = at.filter(F.col("n") > 2 * leaf).withColumn("open", F.col("pairs") > F.col("n") * leaf)
@@ -183,9 +183,9 @@ def leaves(reps: DataFrame, at: DataFrame, tied: bool = False, leaf: int = LEAF)
         place = lambda k: TREES + F.col("tree") * (2**DEPTH - 2) + 2 * F.col("at") + k - 2
         child = [F.struct((2 * F.col("at") + k).alias("at"), F.xxhash64("node", F.lit(k), _token(place(k))).alias("node")) for k in (0, 1)]
         if level == 1:  # later levels need the tokens of few sets
-            reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching")
+            reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching", rows=rest.count())
         rest = rest.select("node", "rep", "label", "tree", "at").join(reps, "rep")
-        at = materialize(rest.select("rep", "label", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "label", "tree", "c.at", "c.node"), "paths")
+        at = materialize(rest.select("rep", "label", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "label", "tree", "c.at", "c.node"), "paths", rows=2 * rest.count())
     return done, crossed
 
 
@@ -223,13 +223,13 @@ def cross_blocks(rows: DataFrame) -> DataFrame:
     return dealt.join(sides, ["grp", "owner", "k"]).select("block", "rep")
 
 
-def tie_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
+def tie_blocks(members: DataFrame, reps: DataFrame, sets: int | None = None) -> DataFrame:
     """block, rep: the sets of each group (grp, rep, n sets in it) that look like its centre, in blocks of bounded size that all have it.
 
     The centre agrees best with the most frequent bytes of a sample of the group's sketches; what is sampled decides only which
     sets are tied early.
     """
-    rows = materialize(members.join(reps.select("rep", "sketch", "size"), "rep").select("grp", "rep", "n", "size", "sketch"), "members")
+    rows = materialize(members.join(reps.select("rep", "sketch", "size"), "rep").select("grp", "rep", "n", "size", "sketch"), "members", rows=sets)
     some = rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n")) < SAMPLE).groupBy("grp").agg(F.collect_list("sketch").alias("sketches"))
 
     def modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +245,10 @@ def tie_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
 
     common = some.mapInArrow(modes, "grp long, mode binary")
     found = rows.join(common, "grp").select("grp", "rep", "size", "sketch", "mode").mapInArrow(agree, "grp long, rep long, size long, same long")
-    near = materialize(found.filter(F.col("same") >= MAYBE * HASHES), "alike")
+    near = materialize(found.filter(F.col("same") >= MAYBE * HASHES), "alike", rows=sets)
     most = F.ceil(F.greatest(F.count(F.lit(1)) / LEAF, F.sum("size") / GROUP_ELEMENTS)).cast("long")
     per = near.groupBy("grp").agg(F.max_by("rep", F.struct("same", -F.col("rep"))).alias("rep"), most.alias("parts"), F.count(F.lit(1)).alias("n"))
-    per = materialize(per.filter("n > 1"), "centres")
+    per = materialize(per.filter("n > 1"), "centres", rows=sets)
     dealt = near.join(per.select("grp", "parts"), "grp").select(F.xxhash64("grp", F.pmod(F.xxhash64("rep", F.lit(9)), "parts")).alias("block"), "rep")
     copies = per.select("grp", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).select(F.xxhash64("grp", "k").alias("block"), "rep")
     return dealt.unionByName(copies).distinct()
@@ -275,6 +275,22 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs that span the same components as ``links``, each of a component's smallest member and another: labels need not travel along chains."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return [(root(x), x) for x in list(parent) if root(x) != x]
+
+
 def _maybe_pairs(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a leaf whose signatures agree enough."""
     n = len(sketches)
@@ -299,7 +315,7 @@ def compared_leaves(nodes: DataFrame, reps: DataFrame) -> DataFrame:
                 names, own = np.unique(np.array(labels, np.int64), return_inverse=True)
                 x, y = _maybe_pairs(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), HASHES))
                 x, y = own[x], own[y]
-                out += [(names[x[k]], names[y[k]]) for k in _spanning(x, y, len(names))]
+                out += _stars([(int(names[x[k]]), int(names[y[k]])) for k in _spanning(x, y, len(names))])
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -308,19 +324,20 @@ def compared_leaves(nodes: DataFrame, reps: DataFrame) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, component (its smallest node) of all nodes with links (a, b): each node hooks to the smallest label near it, and labels
     are followed to their own label, until nothing changes; rounds grow with the logarithm of the longest chain."""
+    rows = 2 * links.count()  # no more nodes than that
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, f"{name}-links")
-    label = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"), name)
+    both = materialize(both, f"{name}-links", rows=rows)
+    label = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"), name, rows=rows)
     while True:
         ends = both.join(label.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b").groupBy("a").agg(F.min("cb").alias("near"))
         hop = label.join(ends, label["node"] == ends["a"]).select("node", "c", F.least("c", "near").alias("m"))
         # The label of a node's label learns the smaller one too, so long chains fold in a few rounds.
         lower = hop.groupBy("c").agg(F.min("m").alias("m")).withColumnRenamed("c", "node")
         new = hop.select("node", "c", "m").join(lower.withColumnRenamed("m", "m2"), "node", "left").select("node", "c", F.least("m", F.coalesce("m2", "m")).alias("m"))
-        new = materialize(new, name)
+        new = materialize(new, name, rows=rows)
         jump = new.select(F.col("node").alias("k"), F.col("m").alias("up"))
         after = new.join(jump, new["m"] == jump["k"], "left").select("node", F.coalesce("up", "m").alias("c"), (F.coalesce("up", "m") != F.col("c")).alias("moved"))
-        after = materialize(after, name)
+        after = materialize(after, name, rows=rows)
         if after.filter("moved").isEmpty():
             return after.select("node", F.col("c").alias("component"))
         label = after.select("node", "c")
@@ -351,7 +368,7 @@ def _full_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of ``blocks`` (block, rep), confirmed on full sets; by_set has rep, set_key and first_id, a doc_id."""
+    """Pairs (a, b) of sets of ``blocks`` (block, rep) that span the components of a block's links, which are confirmed on full sets; by_set has rep, set_key and first_id, a doc_id."""
     blocks = materialize(blocks.join(by_set.select("rep", "set_key", "first_id"), "rep"), "blocks")
     texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", filter_bits(blocks.count()))
 
@@ -369,7 +386,8 @@ def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> Da
             for k in range(b.num_rows):
                 reps_ = b.column(0)[k].as_py()
                 links = _full_links([np.frombuffer(s.as_py(), np.uint64) for s in b.column(1)[k]])
-                yield pa.RecordBatch.from_arrays([pa.array([reps_[x] for x, _ in links], pa.int64()), pa.array([reps_[y] for _, y in links], pa.int64())], ["a", "b"])
+                links = _stars([(reps_[x], reps_[y]) for x, y in links])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return materialize(rows.mapInArrow(compare, "a long, b long"), "links", 2)  # a row holds a block of full sets, up to 16 MB
 
@@ -377,16 +395,16 @@ def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> Da
 def distinct_sets(rows: DataFrame) -> DataFrame:
     """rep (a number of its own), set_key, first_id (its smallest doc_id, or null), size, sig and sketch of every distinct set."""
     by_set = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    return materialize(by_set.withColumn("rep", F.monotonically_increasing_id()), "distinct-sets")
+    return materialize(by_set.withColumn("rep", F.monotonically_increasing_id()), "distinct-sets", rows=rows.count())
 
 
 def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFrame:
     """Confirmed links (a, b) that span the components of the distinct sets."""
-    at = roots(by_set, trees)
+    at, sets = roots(by_set, trees), by_set.count()
     links = tied = None
     crowded = large(at)
     if not crowded.isEmpty():
-        links = confirmed_links(docs, tie_blocks(homes(at, crowded), by_set), by_set)
+        links = confirmed_links(docs, tie_blocks(homes(at, crowded, sets), by_set, sets), by_set)
         if not links.isEmpty():
             tied = components(links, "tied").select(F.col("node").alias("rep"), F.col("component").alias("label"))
     reps = materialize(labelled(by_set.select("rep", "size", "sketch", "sig"), tied), "labelled-sets")
@@ -405,8 +423,8 @@ def set_links(docs: DataFrame, by_set: DataFrame, trees: int = TREES) -> DataFra
         more = materialize(compared_leaves(cross_blocks(rows).withColumnRenamed("block", "node"), reps), "candidates", 64)
         if not more.isEmpty():
             group = components(maybe.unionByName(more), "candidate-groups")
-    group = materialize(reps.select("rep", "label", "size").join(group.select(F.col("node").alias("label"), F.col("component").alias("grp")), "label"), "candidate-groups")
-    sizes = materialize(group.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")), "group-sizes")
+    group = materialize(reps.select("rep", "label", "size").join(group.select(F.col("node").alias("label"), F.col("component").alias("grp")), "label"), "candidate-groups", rows=sets)
+    sizes = materialize(group.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")), "group-sizes", rows=sets)
     is_large = (F.col("n") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)
     blocks = group.join(sizes.filter(~is_large).select("grp"), "grp").select(F.col("grp").alias("block"), "rep")
     if not sizes.filter(is_large).isEmpty():
@@ -423,7 +441,7 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     of_set = by_set.select("rep", "set_key", "first_id").join(final, by_set["rep"] == final["node"], "left")
     of_set = of_set.select("set_key", "first_id", F.coalesce("component", "rep").alias("label"))
     names = of_set.filter("label IS NOT NULL").groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_set = materialize(of_set.join(names, "label").select("set_key", "component_id"), "named-sets")
+    of_set = materialize(of_set.join(names, "label").select("set_key", "component_id"), "named-sets", rows=by_set.count())
     linked = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     out = linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

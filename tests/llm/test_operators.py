@@ -167,6 +167,43 @@ def test_full_links_in_column_chunks():
     assert sorted({y for x in near_dedup._full_links(sets) for y in x}) == list(range(200))
 
 
+def test_a_chain_of_links_becomes_a_star():
+    chain = [(k, k + 1) for k in range(10, 59)] + [(5, 3), (8, 5)]
+    assert sorted(near_dedup._stars(chain[::-1])) == sorted([(10, k) for k in range(11, 60)] + [(3, 5), (3, 8)])
+    assert near_dedup._stars([]) == []
+
+
+def test_blocks_give_stars_so_labels_arrive_in_one_round(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[10 * k : 10 * k + 204]) for k in range(20)]  # each like the next ones only
+    docs = frame(spark, texts)
+    by_set = near_dedup.distinct_sets(near_dedup.sets_of(docs))
+    links = near_dedup.confirmed_links(docs, by_set.select(F.lit(1).alias("block"), "rep"), by_set)
+    reps = sorted(r["rep"] for r in by_set.collect())
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == [(reps[0], x) for x in reps[1:]]
+    written = []
+    real = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name, *a, **k: written.append(name) or real(df, name, *a, **k))
+    assert {r["component"] for r in near_dedup.components(links).collect()} == {reps[0]}
+    assert written == ["components-links"] + ["components"] * 3  # first labels, and one round that changes nothing
+
+
+def test_tables_of_known_size_have_few_files_and_settings_come_back(spark):
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", common.BATCH: "77"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        rows = spark.range(1000).groupBy("id").count()
+        few, many = common.materialize(rows, "few", rows=1000), common.materialize(rows, "many")
+        assert len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < 40 == len(many.inputFiles())
+        assert few.count() == many.count() == 1000
+        assert spark.conf.get(common.BATCH) == "77" and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).collect() == []
     twice = frame(spark, ["a b c d e f"] * 3 + ["g h"], ids=[4, 4, 7, 9])
