@@ -19,6 +19,8 @@ FILTER_BITS = 1 << 26
 KEY_BITS = 256
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Spark's reader of Parquet decodes at once; its own 4096 are tens of MB where rows hold whole texts, for each task.
+READ = {"spark.sql.parquet.columnarReaderBatchSize": "512"}
 #: Rows for each task that writes a table of known size, unless the cores need more tasks.
 TASK_ROWS = 50_000
 
@@ -50,7 +52,7 @@ def materialize(df: DataFrame, name: str, batch: int = 500, rows: int | None = N
     rows: about how many there are at most, where that is known; then a slim table is not written in as many files as shuffles have parts.
     """
     spark = df.sparkSession
-    path, settings = scratch(spark, name), {BATCH: str(batch)}
+    path, settings = scratch(spark, name), READ | {BATCH: str(batch)}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
