@@ -194,7 +194,7 @@ def test_tables_of_known_size_have_few_files_and_settings_come_back(spark):
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
-        rows = spark.range(1000).groupBy("id").count()
+        rows = spark.range(1000).selectExpr("id * 7 AS k").groupBy("k").count()
         few, many = common.materialize(rows, "few", rows=1000), common.materialize(rows, "many")
         assert len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < 40 == len(many.inputFiles())
         assert few.count() == many.count() == 1000
