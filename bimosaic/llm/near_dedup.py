@@ -162,6 +162,12 @@ def labelled(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
     return found.withColumn("label", F.coalesce("known", "rep")).drop("known")
 
 
+def in_each(places: DataFrame, name: str, sets: DataFrame) -> DataFrame:
+    """The distinct rows of ``places`` (name, rep) with the other columns of ``sets``: a set meets its row once, however many places it has."""
+    per = places.groupBy("rep").agg(F.collect_set(name).alias("__places"))
+    return per.join(sets, "rep").select(F.explode("__places").alias(name), *sets.columns)
+
+
 def leaves(reps: DataFrame, at: DataFrame, tied: bool = False, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
     """node, rep of the nodes of few sets; and grp, rep, label, open of larger nodes to compare across labels: those that this makes small, and the open ones that no level parts.
 
@@ -182,10 +188,11 @@ def leaves(reps: DataFrame, at: DataFrame, tied: bool = False, leaf: int = LEAF)
             break
         place = lambda k: TREES + F.col("tree") * (2**DEPTH - 2) + 2 * F.col("at") + k - 2
         child = [F.struct((2 * F.col("at") + k).alias("at"), F.xxhash64("node", F.lit(k), _token(place(k))).alias("node")) for k in (0, 1)]
+        rows = rest.count()
         if level == 1:  # later levels need the tokens of few sets
-            reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching", rows=rest.count())
-        rest = rest.select("node", "rep", "label", "tree", "at").join(reps, "rep")
-        at = materialize(rest.select("rep", "label", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "label", "tree", "c.at", "c.node"), "paths", rows=2 * rest.count())
+            reps = materialize(reps.select("rep", "sig").join(rest.select("rep").distinct(), "rep", "left_semi"), "branching", rows=rows)
+        rest = in_each(rest.select("rep", F.struct("node", "label", "tree", "at").alias("place")), "place", reps).select("place.*", *reps.columns)
+        at = materialize(rest.select("rep", "label", "tree", F.explode(F.array(*child)).alias("c")).select("rep", "label", "tree", "c.at", "c.node"), "paths", rows=2 * rows)
     return done, crossed
 
 
@@ -304,8 +311,8 @@ def compared_leaves(nodes: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b: links that span the labels of each node (node, rep) whose sets may be similar; reps: rep, label, sketch."""
     # Nodes of the same sets, in several trees, are one leaf; nodes that get one name by chance are only compared together.
     leaf = F.bit_xor(F.xxhash64("rep")).over(Window.partitionBy("node"))
-    own = nodes.select(leaf.alias("leaf"), "rep").distinct()
-    rows = own.join(reps.select("rep", F.struct("label", "sketch").alias("m")), "rep").groupBy("leaf").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    own = nodes.select(leaf.alias("leaf"), "rep")
+    rows = in_each(own, "leaf", reps.select("rep", F.struct("label", "sketch").alias("m"))).groupBy("leaf").agg(F.sort_array(F.collect_list("m")).alias("m"))
     rows = rows.select(F.transform("m", lambda x: x["label"]).alias("labels"), F.transform("m", lambda x: x["sketch"]).alias("sketches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +376,7 @@ def _full_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def confirmed_links(docs: DataFrame, blocks: DataFrame, by_set: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of ``blocks`` (block, rep) that span the components of a block's links, which are confirmed on full sets; by_set has rep, set_key and first_id, a doc_id."""
-    blocks = materialize(blocks.join(by_set.select("rep", "set_key", "first_id"), "rep"), "blocks")
+    blocks = materialize(in_each(blocks, "block", by_set.select("rep", "set_key", "first_id")), "blocks")
     texts = maybe_among(_texts(docs), blocks.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", filter_bits(blocks.count()))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

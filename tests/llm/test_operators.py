@@ -188,6 +188,28 @@ def test_blocks_give_stars_so_labels_arrive_in_one_round(spark, monkeypatch):
     assert written == ["components-links"] + ["components"] * 3  # first labels, and one round that changes nothing
 
 
+def joined_rows(plan):
+    """Rows that the joins of an executed plan made."""
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    children = plan.children()
+    return own + sum(joined_rows(children.apply(k)) for k in range(children.size()))
+
+
+def test_a_set_meets_its_row_once_however_many_nodes_it_is_in(spark):
+    sets = 12
+    nodes = spark.createDataFrame([(100 + k, r) for k, pair in enumerate(itertools.combinations(range(sets), 2)) for r in pair], "node long, rep long")
+    sketches = [bytes([r // 2]) * near_dedup.HASHES for r in range(sets)]
+    reps = spark.createDataFrame([(r, r, sketches[r]) for r in range(sets)], "rep long, label long, sketch binary")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        links = near_dedup.compared_leaves(nodes, reps)
+        assert sorted(collect(links, "a", "b")) == [(r, r + 1) for r in range(0, sets, 2)]
+        assert joined_rows(links._jdf.queryExecution().executedPlan()) == sets
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_tables_of_known_size_have_few_files_and_settings_come_back(spark):
     own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", common.BATCH: "77"}
     before = {k: spark.conf.get(k) for k in own}
