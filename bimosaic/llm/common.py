@@ -18,6 +18,7 @@ FILTER_BITS = 1 << 26
 #: Bits for each partner where they are few: executors hold a broadcast long after its join.
 KEY_BITS = 256
 
+CODEC = "spark.sql.parquet.compression.codec"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that Spark's reader of Parquet decodes at once; its own 4096 are tens of MB where rows hold whole texts, for each task.
 READ = {"spark.sql.parquet.columnarReaderBatchSize": "512"}
@@ -49,10 +50,13 @@ def materialize(df: DataFrame, name: str, batch: int = 500, rows: int | None = N
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 
     Meanwhile batches have few rows, those for Arrow ``batch`` at most, as rows hold whole texts or more; the session's own settings come back afterwards.
+    Tables without text (numbers, hashes, digests) hardly shrink and are not compressed, which spares the codec's buffers for each column of each task.
     rows: about how many there are at most, where that is known; then a slim table is not written in as many files as shuffles have parts.
     """
     spark = df.sparkSession
     path, settings = scratch(spark, name), READ | {BATCH: str(batch)}
+    if "string" not in df.schema.simpleString():
+        settings[CODEC] = "uncompressed"
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():

@@ -188,6 +188,15 @@ def test_blocks_give_stars_so_labels_arrive_in_one_round(spark, monkeypatch):
     assert written == ["components-links"] + ["components"] * 3  # first labels, and one round that changes nothing
 
 
+def test_only_tables_with_text_are_compressed(spark):
+    before = spark.conf.get(common.CODEC)
+    plain = common.materialize(spark.range(10).select("id", F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest")), "plain")
+    text = common.materialize(spark.range(10).select(F.col("id").cast("string").alias("text")), "text")
+    assert sorted(r["id"] for r in plain.collect()) == list(range(10)) and text.count() == 10
+    assert [f".{before}." in f for df in (plain, text) for f in df.inputFiles()[:1]] == [False, True]
+    assert spark.conf.get(common.CODEC) == before
+
+
 def joined_rows(plan):
     """Rows that the joins of an executed plan made."""
     own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
