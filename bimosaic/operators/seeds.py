@@ -5,11 +5,20 @@ Random choices hash (seed, candidate, element), so a lost task makes the same ca
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digests
+from ..session import cut
 from .prepare import ZERO
 
+#: How far above ``size`` the draws kept at first are expected to be, as a multiple of its root and as a number.
+_SPREAD, _MORE = 4, 8
+#: Candidates, and elements, that one task call hashes against each other, about.
+_BLOCK = 2048
+
 
 def draw(seed: str, *parts: str) -> Column:
     """A number in [0, 1) that depends on the seed and the values of ``parts`` alone."""
@@ -22,14 +31,57 @@ def _smallest(df: DataFrame, element: str, order: list[Column], size: Column) ->
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= size).drop("__rank")
 
 
+def first_draws(asked: DataFrame, elements: DataFrame, candidate: str, element: str, seed: str) -> DataFrame:
+    """The ``size`` smallest draws of each candidate: candidate, size, the columns of elements (stratum, element), ``__u`` (a draw's 52 bits) and ``__rank``.
+
+    asked: candidate, stratum, size. A candidate draws from its own stratum, and to know its smallest draws every such pair is hashed, in
+    pairs of blocks of ``_BLOCK`` rows at most. Few pairs leave a task: those below a limit that a candidate is expected to meet ``size +
+    4 * sqrt(size) + 8`` times. That is no cut: candidates that find fewer than they need also take all that lies above their limit.
+    """
+    pool = elements.select("stratum", element).distinct()
+    n, m = (x.groupBy("stratum").agg(F.count(F.lit(1)).alias(c)) for x, c in ((pool, "__n"), (asked, "__m")))
+    few = F.col("size") + _SPREAD * F.sqrt("size") + _MORE
+    limit = F.floor(F.least(F.lit(1.0), few / F.col("__n")) * float(1 << digests.BITS)).cast("long")
+    x = asked.filter("size > 0").join(n, "stratum").join(m, "stratum").withColumns({"__low": F.lit(0).cast("long"), "__high": limit})
+    sizes = n.join(m, "stratum")
+    pool = pool.join(sizes, "stratum")
+
+    blocks = lambda c: F.ceil(F.col(c) / _BLOCK)
+    dealt = lambda c, k: F.pmod(F.xxhash64(c), blocks(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), blocks(k) - 1))
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["stratum", "__a", "__b"]
+    right = pool.select("stratum", dealt(element, "__n").alias("__b"), every("__m").alias("__a"), element, F.coalesce(F.col(element).cast("string"), F.lit("")).alias("__end"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = lambda t, c: [v.encode() for v in t[c].to_pylist()]
+        low, high = (left[c].to_numpy() for c in ("__low", "__high"))
+        i, j, u = digests.heads_between(text(left, "__start"), text(right, "__end"), low, high) if left.num_rows and right.num_rows else (np.empty(0, np.int64),) * 3
+        return pa.table({candidate: left[candidate].take(i), "stratum": left["stratum"].take(i), "size": left["size"].take(i), element: right[element].take(j), "__u": pa.array(u, pa.int64())})
+
+    kinds = dict(elements.dtypes) | dict(asked.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (candidate, "stratum", "size", element)) + ", __u long"
+
+    def hashed(some: DataFrame) -> DataFrame:
+        start = F.concat_ws(":", F.lit(seed), F.col(candidate).cast("string"), F.lit(""))
+        left = some.select("stratum", dealt(candidate, "__m").alias("__a"), every("__n").alias("__b"), candidate, "size", "__low", "__high", start.alias("__start"))
+        return left.repartition(parts, *place).groupBy(*place).cogroup(right.repartition(parts, *place).groupBy(*place)).applyInArrow(run, schema)
+
+    found = cut(hashed(x), "draws")
+    counts = found.groupBy(candidate, "stratum").agg(F.count(F.lit(1)).alias("__found"))
+    short = x.join(counts, [candidate, "stratum"], "left").filter(F.coalesce("__found", F.lit(0)) < F.least("size", "__n"))
+    more = hashed(short.withColumns({"__low": F.col("__high"), "__high": F.lit(1 << digests.BITS)}))
+    out = found.unionByName(more).join(elements, ["stratum", element])
+    rank = F.row_number().over(Window.partitionBy(candidate).orderBy("__u", element))
+    return out.withColumn("__rank", rank).filter(F.col("__rank") <= F.col("size"))
+
+
 def random_members(candidates: DataFrame, elements: DataFrame, element: str, seed: str = "draw-1") -> DataFrame:
     """candidate, element: exactly ``size`` elements of each candidate (candidate, size), drawn without replacement.
 
     A candidate draws from its own ``stratum`` alone: the draws are candidates times the elements of a stratum, so strata bound the work.
     """
-    pairs = candidates.join(elements, "stratum")
-    drawn = pairs.withColumn("__u", draw(seed, "candidate", element))
-    return _smallest(drawn, element, [F.col("__u")], F.col("size")).select("candidate", element)
+    return first_draws(candidates, elements, "candidate", element, seed).select("candidate", element)
 
 
 def nearest_rows(cells: DataFrame, anchors: DataFrame, columns: DataFrame, stats: DataFrame, size: int) -> DataFrame:
