@@ -77,9 +77,9 @@ def parents(requests: DataFrame, members: DataFrame, pool: int, guided: bool = T
     n = cells.agg(F.count(F.lit(1)).alias("n"))
     asked = requests.select("request").crossJoin(F.broadcast(n))  # one row
     asked = asked.withColumn("at", (F.floor(seeds.draw(seed + ":cell", "request") * F.col("n")) + 1).cast("int")).join(cells, "at").select("request", "cell")
-    pooled = asked.join(m, "cell").withColumn("u", seeds.draw(seed, "request", "id"))
-    pooled = pooled.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("u", "id"))).filter(F.col("rank") <= pool)
-    key = F.struct("loss", "signature", "id") if guided else F.struct("u", "id")
+    asked = asked.select("request", F.col("cell").alias("stratum"), F.lit(pool).alias("size"))
+    pooled = seeds.first_draws(asked, m.withColumnRenamed("cell", "stratum"), "request", "id", seed)
+    key = F.struct("loss", "signature", "id") if guided else F.struct("__u", "id")
     return pooled.groupBy("request").agg(F.min(key).alias("best")).select("request", F.col("best.id").alias("id"))
 
 

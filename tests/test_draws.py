@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bimosaic.functions import digests
-from bimosaic.operators import seeds
+from bimosaic.operators import search, seeds
 
 
 def head(text: str) -> int:
@@ -50,3 +50,17 @@ def test_few_pairs_are_written_and_none_is_missed(spark, monkeypatch, spread, mo
     expected = {c: set(sorted(own[c % 2], key=lambda e: (head(f"draw-1:{c}:{e}"), e))[: c % 6]) for c in range(40) if c % 6}
     assert got == expected
     assert written and sum(written) < 40 * 25  # of some 40,000 pairs
+
+
+def test_parents_by_brute_force(spark):
+    members = [(i, i % 3, i * 7 % 11 / 10, str(i % 5)) for i in range(400)] + [(5, 2, 0.05, "x")]
+    m = spark.createDataFrame(members, "id long, cell long, loss double, signature string")
+    asked = spark.range(60).withColumnRenamed("id", "request")
+    for guided in (True, False):
+        got = {r.request: r.id for r in search.parents(asked, m, 4, guided).collect()}
+        expected = {}
+        for q in range(60):
+            cell = int(head(f"parent-1:cell:{q}") / 2.0**52 * 3)
+            pool = sorted((x for x in members if x[1] == cell), key=lambda x: (head(f"parent-1:{q}:{x[0]}"), x[0]))[:4]
+            expected[q] = min(pool, key=lambda x: (x[2], x[3], x[0]))[0] if guided else pool[0][0]
+        assert got == expected
