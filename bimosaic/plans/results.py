@@ -136,13 +136,16 @@ def feasible_shapes(wanted: DataFrame, supports: DataFrame, ratio: float = 0.8)
     """shape, n_rows, n_columns: the shape nearest to each wanted one whose columns are all observed often enough, none if there is no such.
 
     wanted: shape, rows, min_rows, max_rows, columns, min_columns, max_columns; supports: column_index, support. Fewer rows need less
-    support, so the largest number of rows up to the wanted one at which ``min_columns`` columns suffice is the nearest. The supports
-    travel as one array, as long as the table is wide.
+    support, so the largest number of rows up to the wanted one at which ``min_columns`` columns suffice is the nearest. Shapes meet the
+    distinct supports only, of which a table of n cells has some sqrt(2 n) at most, and each distinct question is asked once.
     """
-    one = supports.agg(F.sort_array(F.collect_list("support"), asc=False).alias("s"))
-    x = wanted.filter("min_rows <= max_rows AND min_columns <= max_columns").crossJoin(F.broadcast(one))  # one row
-    x = x.withColumn("bounded", F.least(F.greatest("rows", "min_rows"), "max_rows")).withColumn("least", F.try_element_at("s", F.col("min_columns").cast("int")))
-    x = x.filter("least >= 2").withColumn("n_rows", F.least("bounded", F.floor(F.col("least") / ratio + 1e-9))).filter("n_rows >= min_rows")
-    x = x.withColumn("required", required_support(F.col("n_rows"), ratio=ratio)).withColumn("capacity", F.size(F.filter("s", lambda v: v >= F.col("required"))))
+    counts = supports.filter("support IS NOT NULL").groupBy("support").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("support"))))  # columns with this support or more
+    x = wanted.filter("min_rows <= max_rows AND min_columns <= max_columns").withColumn("bounded", F.least(F.greatest("rows", "min_rows"), "max_rows"))
+    least = x.select("min_columns").distinct().join(counts, F.col("upto") >= F.col("min_columns")).groupBy("min_columns").agg(F.max("support").alias("least"))
+    x = x.join(least, "min_columns").filter("least >= 2").withColumn("n_rows", F.least("bounded", F.floor(F.col("least") / ratio + 1e-9))).filter("n_rows >= min_rows")
+    x = x.withColumn("required", required_support(F.col("n_rows"), ratio=ratio))
+    capacity = x.select("required").distinct().join(counts, F.col("support") >= F.col("required")).groupBy("required").agg(F.max("upto").alias("capacity"))
+    x = x.join(capacity, "required")
     n = F.least(F.greatest("columns", "min_columns"), F.least("max_columns", "capacity"))
     return x.select("shape", F.col("n_rows").cast("long").alias("n_rows"), n.cast("long").alias("n_columns"))

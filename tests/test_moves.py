@@ -6,6 +6,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bimosaic.operators import grouping, moves
 from bimosaic.plans import results
@@ -151,3 +152,21 @@ def test_feasible_shape_by_brute_force(spark):
     w = spark.createDataFrame(wanted, "shape long, rows long, min_rows long, max_rows long, columns long, min_columns long, max_columns long")
     got = results.feasible_shapes(w, spark.createDataFrame(list(enumerate(supports)), "column_index int, support long"))
     assert {r.shape: (r.n_rows, r.n_columns) for r in got.collect()} == expected
+
+
+def test_feasible_shapes_of_a_wide_table(spark):
+    """Shapes meet the distinct supports; no row holds the supports of all columns."""
+    supports = spark.range(5000).select("id", (F.col("id") % 37).alias("support")).withColumnRenamed("id", "column_index")
+    wanted = [(i, i % 50 + 1, 2, 60, 5000, 1 + i * 131 % 6000, 6000) for i in range(300)]
+    w = spark.createDataFrame(wanted, "shape long, rows long, min_rows long, max_rows long, columns long, min_columns long, max_columns long")
+    out = results.feasible_shapes(w, supports)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    have = [i % 37 for i in range(5000)]
+    expected = {}
+    for shape, rows, low, high, columns, least, most in wanted:
+        for n in range(min(max(rows, low), high), low - 1, -1):
+            fit = sum(v >= max(2, -(-n * 4 // 5)) for v in have)
+            if fit >= least:
+                expected[shape] = (n, min(max(columns, least), most, fit))
+                break
+    assert {r.shape: (r.n_rows, r.n_columns) for r in out.collect()} == expected
