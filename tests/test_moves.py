@@ -170,3 +170,31 @@ def test_feasible_shapes_of_a_wide_table(spark):
                 expected[shape] = (n, min(max(columns, least), most, fit))
                 break
     assert {r.shape: (r.n_rows, r.n_columns) for r in out.collect()} == expected
+
+
+def test_archive_distributions_without_a_row_for_each_member_and_window(spark, monkeypatch):
+    """Statistics of each window from comings and goings, equal to those of the members listed window by window."""
+    rng = random.Random(5)
+    steps = [(i, i, rng.choice([None, 1, 2, 3]), "INSERTED" if rng.random() < 0.7 else "REJECTED_INVALID", [rng.randrange(max(1, i))] if i % 3 == 0 else []) for i in range(600)]
+    outcomes = spark.createDataFrame(steps, "id long, step long, cell long, status string, evicted array<long>")
+    value = {i: {"wide": rng.choice([1e300, -1e300, rng.gauss(0, 1)]) if i < 100 else rng.gauss(0, 1), "few": float(rng.randrange(4))} for i in range(600)}
+    value[7]["few"] = None
+    d = spark.createDataFrame([(i, n, v) for i, own in value.items() for n, v in own.items()], "id long, name string, value double")
+    there = {w: set(ids) for w, ids in _groups(observers.residents(outcomes, 20), "window", "id").items()}
+    monkeypatch.setattr(observers, "residents", None)
+    got = {(r.window, r.metric): r.value for r in observers.archive_distributions(outcomes, d, 20).collect()}
+    expected = {}
+    for w, ids in there.items():
+        lists = {f"archive_descriptor.{n}": sorted(value[i][n] for i in ids if value[i][n] is not None) for n in ("wide", "few")}
+        lists["archive_cell.members"] = sorted(float(sum(steps[i][2] == c for i in ids)) for c in {steps[i][2] for i in ids})
+        for name, own in lists.items():
+            if not own:
+                continue
+            at = lambda q: own[int(q * (len(own) - 1))] + (own[min(len(own) - 1, int(q * (len(own) - 1)) + 1)] - own[int(q * (len(own) - 1))]) * (q * (len(own) - 1) % 1)
+            six = [own[0], at(0.25), at(0.5), sum(sorted(own, key=abs)) / len(own), at(0.75), own[-1]]
+            expected |= {(w, f"{name}.{s}"): v for s, v in zip(observers.STATISTICS, six)}
+    assert got.keys() == expected.keys()
+    for k, v in expected.items():
+        if k[1] == "archive_descriptor.wide.mean" and any(abs(value[i]["wide"]) > 1e299 for i in there[k[0]]):
+            continue  # sums of numbers of such sizes depend on their order
+        assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-9), k
