@@ -13,9 +13,13 @@ from .prepare import ZERO, required_support
 
 
 def submatrix(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """candidate, row_index, column_index, num, code (and observed, if there) of the cells inside each candidate."""
+    """candidate, row_index, column_index, num, code (and observed, if there) of the cells inside each candidate.
+
+    Rows meet columns before cells: the places inside candidates are no more than the result has (in a table without gaps), while cells
+    meeting columns first are as many as the table's cells times the candidates that share a column, all dealt out by candidate and row.
+    """
     own = ["observed"] if "observed" in cells.columns else []
-    return cells.join(columns, "column_index").join(rows, ["candidate", "row_index"]).select("candidate", "row_index", "column_index", "num", "code", *own)
+    return rows.join(columns, "candidate").join(cells, ["row_index", "column_index"]).select("candidate", "row_index", "column_index", "num", "code", *own)
 
 
 def supported(inside: DataFrame, value: str, ratio: float = 0.8) -> DataFrame:

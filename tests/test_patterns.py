@@ -257,3 +257,30 @@ def test_contrast_against_all_pairs(spark):
     long = [(k, c, None if v is None else abs(v - parameter[k, c]), int(r in set(members[k]))) for k, c in parameter for r, v in enumerate(columns[c]) if c != 2]
     again = contrast.residual_auc(spark.createDataFrame(long, "candidate long, column_index int, r double, local long")).filter("n_background > 1").collect()
     assert len(again) >= 6 and all(r["auc"] == pytest.approx(got[r["candidate"], r["column_index"]][0], abs=1e-12) for r in again)
+
+
+def test_submatrix_makes_no_more_rows_than_it_returns(spark):
+    """Cells do not meet every candidate that has their column before rows are known."""
+    cells = spark.range(300).select(F.col("id").alias("row_index"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("column_index"))
+    cells = cells.withColumns({"num": F.rand(3), "code": F.lit(None).cast("int")})
+    rows = spark.range(300).select((F.col("id") % 60).alias("candidate"), F.col("id").alias("row_index"))
+    columns = spark.range(60).select(F.col("id").alias("candidate"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("column_index"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        out = fit.submatrix(cells, rows, columns)
+        assert out.count() == 300 * 6 == out.select("candidate", "row_index", "column_index").distinct().count()
+        plan = out._jdf.queryExecution().executedPlan()
+        out._jdf.queryExecution().toRdd().count()
+        made, todo = [], [plan]
+        while todo:
+            p = todo.pop()
+            if "Join" in p.nodeName():
+                made.append(p.metrics().apply("numOutputRows").value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert made and max(made) <= 300 * 6
